@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe
+from cairn.llm import bpe, sst
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.digest_frame(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op10_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids as sorted-string-table shards and read them back."""
+    return sst.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)

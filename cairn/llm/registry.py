@@ -6,7 +6,7 @@ from cairn.llm import queries as q
 
 
 def queries() -> dict:
-    return {"op3_byte_bpe": q.op3_byte_bpe}
+    return {"op3_byte_bpe": q.op3_byte_bpe, "op10_sst_shards": q.op10_sst_shards}
 
 
 def oracle_sql() -> dict[str, str]:
