@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, sst
+from cairn.llm import bpe, sst, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,3 +22,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as sorted-string-table shards and read them back."""
     return sst.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives, normalise them and read them back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+t AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t
+"""

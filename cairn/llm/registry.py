@@ -6,8 +6,14 @@ from cairn.llm import queries as q
 
 
 def queries() -> dict:
-    return {"op3_byte_bpe": q.op3_byte_bpe, "op10_sst_shards": q.op10_sst_shards}
+    return {
+        "op3_byte_bpe": q.op3_byte_bpe,
+        "op7_warc": q.op7_warc,
+        "op10_sst_shards": q.op10_sst_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_warc": q.OP7_SQL,
+    }
