@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it runs from a source checkout."""
+    """Let Python workers import this package from a source checkout, and hand them rows in batches that stay small with long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
