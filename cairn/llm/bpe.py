@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -61,7 +62,7 @@ class PerfectHash:
         self.values = [0] * n
         buckets: dict[int, list[bytes]] = {}
         for key in values:
-            buckets.setdefault(self._hash(key) % self.n_buckets, []).append(key)
+            buckets.setdefault(xxhash.xxh3_64_intdigest(key) % self.n_buckets, []).append(key)
         free = None
         for b, keys in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
             if len(keys) == 1:
@@ -69,9 +70,9 @@ class PerfectHash:
                 slots = [free.pop()]
                 self.displacement[b] = -1 - slots[0]
             else:
-                hashes, d = [self._hash(k) for k in keys], 0
+                hashes, d = [xxhash.xxh3_64_intdigest(k) for k in keys], 0
                 while True:
-                    slots = [self._slot(h, d) for h in hashes]
+                    slots = [((h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF) % n for h in hashes]
                     if len(set(slots)) == len(slots) and all(self.keys[s] is None for s in slots):
                         break
                     d += 1
@@ -79,94 +80,105 @@ class PerfectHash:
             for key, s in zip(keys, slots, strict=True):
                 self.keys[s], self.values[s] = key, values[key]
 
-    @staticmethod
-    def _hash(key: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(key)
-
-    def _slot(self, h: int, d: int) -> int:
-        x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
-        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-        return (x ^ (x >> 32)) % self.n
-
     def get(self, key: bytes) -> int | None:
         """The key's value, or None for a string outside the set."""
         if not self.n:
             return None
-        h = self._hash(key)
+        h = xxhash.xxh3_64_intdigest(key)
         d = self.displacement[h % self.n_buckets]
-        s = -1 - d if d < 0 else self._slot(h, d)
+        s = -1 - d if d < 0 else ((h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF) % self.n
         return self.values[s] if self.keys[s] == key else None
 
 
-def merge_bytes(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
-    """Merge a piece's bytes: always the pair of lowest rank, leftmost first. Parts are linked by their ends."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # end of the part that starts here
-    before = list(range(-1, n))  # start of the part before the one that starts here
-    heap: list[tuple[int, int, int]] = []  # rank, start, end of the joined pair
+def pair_table(table: dict[bytes, int]) -> dict[int, int]:
+    """For each two entries whose bytes joined are an entry: left id * 2**32 + right id -> joined id."""
+    pairs = {}
+    for whole, rank in table.items():
+        for k in range(1, len(whole)):
+            left, right = table.get(whole[:k]), table.get(whole[k:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = rank
+    return pairs
+
 
-    def offer(i: int) -> None:
-        if i >= 0 and end[i] < n and (r := rank(piece[i : (e := end[end[i]])])) is not None:
-            heapq.heappush(heap, (r, i, e))
+def merge_bytes(ids: list[int], joined: Callable[[int], int | None]) -> list[int]:
+    """Merge a piece's byte ids in place: always the pair of lowest rank, leftmost first.
 
-    for i in range(n - 1):
-        offer(i)
-    alive = [True] * n
+    Parts are linked by the starts of their neighbours; the heap holds rank and start of pairs, and a pair that
+    has changed since it was pushed is passed over.
+    """
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r << 32 | i for i in range(n - 1) if (r := joined(ids[i] << 32 | ids[i + 1])) is not None]
+    heapq.heapify(heap)
     while heap:
-        _, i, e = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != e or not alive[end[i]]:
+        top = heapq.heappop(heap)
+        i, rank = top & 0xFFFFFFFF, top >> 32
+        left = ids[i]
+        if left < 0 or (j := after[i]) >= n or joined(left << 32 | ids[j]) != rank:
             continue
-        alive[end[i]] = False
-        end[i] = e
-        if e < n:
-            before[e] = i
-        offer(before[i])
-        offer(i)
-    out, i = [], 0
-    while i < n:
-        out.append(rank(piece[i : end[i]]))
-        i = end[i]
-    return out
+        ids[i], ids[j] = rank, -1
+        after[i] = j = after[j]
+        if j < n:
+            before[j] = i
+            if (r := joined(rank << 32 | ids[j])) is not None:
+                heapq.heappush(heap, r << 32 | i)
+        j = before[i]
+        if j >= 0 and (r := joined(ids[j] << 32 | rank)) is not None:
+            heapq.heappush(heap, r << 32 | j)
+    return [x for x in ids if x >= 0]
 
 
 class Codec:
-    """Encodes texts to ids and back by one rank table."""
+    """Encodes texts to ids and back by one rank table. It is built once on the driver and sent as it is."""
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(key): int(value) for key, value in map(bytes.split, ranks.splitlines()) if key}
         self.whole = PerfectHash(table)
+        self.pairs = pair_table(table)
+        self.bytes = [table.get(bytes([b]), -1) for b in range(256)]
         self.pieces = [b""] * (max(table.values(), default=-1) + 1)
         for key, value in table.items():
             self.pieces[value] = key
-        self.split = compile_pattern(pattern).findall
-        self.encoder = PieceEncoder(self._encode_many)
-
-    def _encode_many(self, pieces: list[str]) -> Iterator[bytes]:
-        for piece in pieces:
-            ids: list[int] = []
-            for token in self.split(piece):
-                raw = token.encode()
-                found = self.whole.get(raw)
-                if found is None:
-                    ids += merge_bytes(raw, self.whole.get)
-                else:
-                    ids.append(found)
-            yield np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        return self.encoder.encode(texts)
+        self.pattern = pattern
+        self._prepare()
+
+    def _prepare(self) -> None:
+        self.split = compile_pattern(self.pattern).findall
+        self.encoder = PieceEncoder(self._encode_piece)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "encoder")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._prepare()
+
+    def _encode_piece(self, piece: str) -> bytes:
+        ids: list[int] = []
+        for token in self.split(piece):
+            raw = token.encode()
+            found = self.whole.get(raw)
+            if found is None:
+                ids += merge_bytes([self.bytes[b] for b in raw], self.pairs.get)
+            else:
+                ids.append(found)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        return self.encoder.encode(text)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.pieces.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(ranks: bytes, pattern: str) -> Codec:
-    """This process's codec for a rank table; kept between tasks."""
+    """This process's codec for a rank table."""
     key = (hashlib.sha256(ranks).hexdigest(), pattern)
     if key not in _codecs:
         _codecs.clear()
@@ -186,16 +198,16 @@ def map_ids(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
     """`keep` columns of df, and what make() gives for the ids of each row's whole text."""
     spark = df.sparkSession
     ship(spark)
-    ranks = spark.sparkContext.broadcast(read_vocabulary(spark, ranks_path))
+    sent = spark.sparkContext.broadcast(codec(read_vocabulary(spark, ranks_path), pattern))
     source = df.select(*keep, df[text].alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), columns])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
+        own = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = make(own, own.encode(part.column(len(keep)).to_pylist()))
+                made = make(own, [own.encode(t) for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(x) for x in made.values())], names=[*keep, *made])
 
     return source.mapInArrow(run, schema)

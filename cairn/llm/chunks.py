@@ -10,63 +10,51 @@ at the safe spaces only.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 #: Cuts before a single space between two non-space characters.
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-#: Cuts a piece between a Latin letter and plain punctuation, and around a line break between non-spaces.
-_SAFE_INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?|])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+
+
+class _Unsafe(Exception):
+    """A piece touches other white space than the single space before it."""
+
+
+class _Memo(dict):
+    """Bytes of the ids of pieces; pieces over 32 characters are not kept."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.before and (not piece or piece[0].isspace() or piece[-1].isspace()):
+            raise _Unsafe
+        made = self.encode(self.before + piece)
+        if len(piece) <= 32:
+            self[piece] = made
+        return made
 
 
 class PieceEncoder:
-    """Encodes texts to bytes (ids as little-endian numbers), each distinct piece once.
+    """Encodes texts to bytes (ids as little-endian numbers), each distinct piece once while the memo holds it.
 
-    encode_many maps distinct pieces to the bytes of their ids. Memos are emptied between calls once they
-    hold `limit` pieces, and pieces over 64 characters are forgotten after the call, so memory is bounded.
+    A memo of `limit` pieces is emptied, so memory is bounded whatever the corpus.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = 300_000):
-        self.encode_many, self.limit = encode_many, limit
-        self.spaced: dict[str, bytes] = {}  # keyed by the piece without the space before it
-        self.bare: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-
-    def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        cut = {p: _SAFE_INNER.split(p) for p in [*(" " + p for p in spaced), *bare]}
-        new = list({x for parts in cut.values() for x in parts if x not in self.inner})
-        if new:
-            self.inner.update(zip(new, self.encode_many(new), strict=True))
-        ids = {p: b"".join([self.inner[x] for x in parts]) for p, parts in cut.items()}
-        self.spaced.update((p, ids[" " + p]) for p in spaced)
-        self.bare.update((p, ids[p]) for p in bare)
-        for x in new:
-            if len(x) > 64:
-                del self.inner[x]
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000):
+        self.limit = limit
+        self.spaced = _Memo(encode, " ")  # keyed by the piece without the space before it
+        self.bare = _Memo(encode, "")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The bytes of each text's ids; a null text counts as empty."""
-        for memo in (self.spaced, self.bare, self.inner):
+    def encode(self, text: str | None) -> bytes:
+        """The bytes of a text's ids; a null text counts as empty."""
+        for memo in (self.spaced, self.bare):
             if len(memo) > self.limit:
                 memo.clear()
-        jobs: list[tuple[str | None, list[str]]] = []
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for text in texts:
-            first, *rest = (text or "").split(" ")
-            new = set(rest).difference(self.spaced)
-            if (first and not first[-1].isspace() or not rest) and all(p and not p[0].isspace() and not p[-1].isspace() for p in new):
-                spaced |= new
-                bare.add(first)
-                jobs.append((first, rest))
-            else:
-                pieces = _SAFE_SPACE.split(text)
-                bare.update(pieces)
-                jobs.append((None, pieces))
-        bare.difference_update(self.bare)
-        self._learn(spaced, bare)
-        out = [b"".join([*([] if first is None else [self.bare[first]]), *map((self.bare if first is None else self.spaced).__getitem__, rest)]) for first, rest in jobs]
-        for memo, keys in ((self.spaced, spaced), (self.bare, bare)):
-            for p in keys:
-                if len(p) > 64:
-                    del memo[p]
-        return out
+        first, *rest = (text or "").split(" ")
+        try:
+            if rest and (not first or first[-1].isspace()):
+                raise _Unsafe
+            return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
+        except _Unsafe:
+            return b"".join(map(self.bare.__getitem__, _SAFE_SPACE.split(text)))
