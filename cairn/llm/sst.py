@@ -22,6 +22,8 @@ table gives no documents. Other columns are not stored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -186,32 +188,52 @@ class Shard:
         return found
 
 
-_encoders: dict[str, PieceEncoder] = {}
+#: A word of Latin letters after a space, and plain punctuation: a match of the split pattern each.
+_WORD = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
 
 
-def library_encoder(vocabulary: bytes) -> PieceEncoder:
-    """The tokenizers library's encoder for a vocabulary, memoised by piece; kept between tasks."""
-    name = hashlib.sha256(vocabulary).hexdigest()
-    if name not in _encoders:
-        own = Tokenizer.from_str(vocabulary.decode())
+class LibraryEncoder:
+    """The tokenizers library's encoding of whole texts, each distinct piece asked for once while it is remembered.
 
-        def encode_many(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(pieces, add_special_tokens=False)]
+    Plain words go straight to the library's merge model in its byte alphabet; all else goes through its full
+    encoder. Texts that hold an added token's string go to the library whole.
+    """
 
-        _encoders.clear()
-        _encoders[name] = PieceEncoder(encode_many)
-        _encoders[name].whole = encode_many
-        _encoders[name].specials = [t.content for t in own.get_added_tokens_decoder().values()]
-    return _encoders[name]
+    def __init__(self, vocabulary: bytes):
+        self.own = Tokenizer.from_str(vocabulary.decode())
+        self.specials = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        byte_level = json.loads(vocabulary).get("pre_tokenizer") or {}
+        self.plain = byte_level.get("type") == "ByteLevel" and byte_level.get("use_regex", True) and not byte_level.get("add_prefix_space") and self.own.normalizer is None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.pieces = PieceEncoder(self._piece)
+        self.width = 2 if self.own.get_vocab_size() <= 65536 else 4
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-def encode_texts(own: PieceEncoder, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text. Texts that hold an added token's string go to the library whole."""
-    out = own.encode([None if t and any(s in t for s in own.specials) else t for t in texts])
-    for i, t in enumerate(texts):
-        if t and any(s in t for s in own.specials):
-            (out[i],) = own.whole([t])
-    return out
+    def _piece(self, piece: str) -> bytes:
+        if not (self.plain and (m := _WORD.fullmatch(piece))):
+            return self._whole(piece)
+        ids = [t.id for part in m.groups() if part for t in self.own.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        return self._whole(text) if text and any(s in text for s in self.specials) else self.pieces.encode(text)
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(vocabulary: bytes) -> LibraryEncoder:
+    """This process's encoder for a vocabulary; kept between tasks."""
+    name = hashlib.sha256(vocabulary).hexdigest()
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = LibraryEncoder(vocabulary)
+    return _encoders[name]
 
 
 def write_shards(df: DataFrame, path: str, vocabulary_path: str, end_id: int, id_column: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> None:
@@ -236,9 +258,9 @@ def write_shards(df: DataFrame, path: str, vocabulary_path: str, end_id: int, id
             for at in range(0, batch.num_rows, 256):
                 keys, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 if writer is None:
-                    writer = ShardWriter(TaskContext.get().partitionId(), 2 if end_id < 65536 and vocabulary_fits(vocabulary.value) else 4)
-                for key, ids in zip(keys, encode_texts(own, texts), strict=True):
-                    value = np.frombuffer(ids + end, "<u4").astype(f"<u{writer.width}").tobytes()
+                    writer = ShardWriter(TaskContext.get().partitionId(), own.width if end_id < 65536 else 4)
+                for key, t in zip(keys, texts, strict=True):
+                    value = np.frombuffer(own.encode(t) + end, "<u4").astype(f"<u{writer.width}").tobytes()
                     rows += writer.add(key_of(key), value)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["raw"])
@@ -249,17 +271,6 @@ def write_shards(df: DataFrame, path: str, vocabulary_path: str, end_id: int, id
     dealt.mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value")).write.text(path)
 
 
-_fits: dict[str, bool] = {}
-
-
-def vocabulary_fits(vocabulary: bytes) -> bool:
-    """Whether all ids are below 65,536."""
-    name = hashlib.sha256(vocabulary).hexdigest()
-    if name not in _fits:
-        _fits[name] = Tokenizer.from_str(vocabulary.decode()).get_vocab_size() < 65536
-    return _fits[name]
-
-
 def _scan(spark: SparkSession, path: str, make: Callable[[Shard], dict[str, pa.Array]], schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").where("length > 0")
 
