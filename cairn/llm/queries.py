@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, sst, warc
+from cairn.llm import bpe, mixing, quality, sst, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,3 +38,76 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM t
 """
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate documents so that sources' shares of characters follow size ** 0.7."""
+    made = mixing.replicate(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "source", "lang", "text", F.col("copy").cast("long").alias("copy"))
+
+
+OP1_SQL = """
+WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY source),
+totals AS (SELECT sum(size)::DOUBLE AS all_size, sum(pow(size::DOUBLE, 0.7)) AS all_target FROM sizes),
+rates AS (SELECT source, CASE WHEN size > 0 AND all_target > 0 THEN pow(size::DOUBLE, 0.7) / all_target * all_size / size ELSE 1 END AS rate FROM sizes, totals),
+steps AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+),
+u AS (SELECT *, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+counted AS (SELECT doc_id, u.source, lang, text, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM u.source AND s.total < u.u) AS n FROM u)
+SELECT doc_id, source, lang, text, unnest(range(1, n + 1)) AS copy FROM counted
+"""
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by the base counts and by the distance of its histograms to its language's."""
+    made = quality.judge(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op2_sql() -> str:
+    rules = quality.Rules()
+    langs = ", ".join(f"('{name}', [{', '.join(repr(w) for w in ws)}])" for name, ws in quality.COMMON_WORDS.items())
+    n_words = len(next(iter(quality.COMMON_WORDS.values()))) + 1
+    left, chain = "body", []
+    for k, pattern in enumerate(quality.CLASSES):
+        chain.append(f"r{k} AS (SELECT *, regexp_replace({left}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS left{k} FROM {'d' if k == 0 else f'r{k - 1}'})")
+        left = f"left{k}"
+    n = len(quality.CLASSES)
+    sizes = ", ".join([f"length({'body' if k == 0 else f'left{k - 1}'}) - length(left{k})" for k in range(n)] + [f"length(left{n - 1})"])
+    distance = lambda c, q: f"sqrt(greatest(list_sum([(CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0 END) + (CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0 END) FOR x IN list_transform(list_zip({c}, {q}), lambda y: [y[1] / list_sum({c}), y[2]])]) / 2, 0))"
+    return f"""
+WITH langs(lang, common) AS (VALUES {langs}),
+d AS (SELECT doc_id, documents.lang, coalesce(text, '') AS body, common FROM documents LEFT JOIN langs ON documents.lang = langs.lang),
+{", ".join(chain)},
+w AS (SELECT *, list_filter(string_split_regex(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, [{sizes}] AS classes,
+  list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM r{n - 1}),
+h AS (SELECT *, list_transform(common, lambda b: len(list_filter(words, lambda x: x = b))) AS bins FROM w),
+f AS (SELECT *, list_append(bins, len(words) - list_sum(bins)) AS hist FROM h),
+refs AS (
+  SELECT lang, [{", ".join(f"sum(classes[{i + 1}])" for i in range(n + 1))}] AS cs, [{", ".join(f"sum(hist[{i + 1}])" for i in range(n_words))}] AS ws
+  FROM f WHERE common IS NOT NULL GROUP BY lang
+),
+shares AS (SELECT lang, list_transform(cs, lambda x: x / list_sum(cs)) AS rc, list_transform(ws, lambda x: x / list_sum(ws)) AS rw FROM refs WHERE list_sum(cs) > 0 AND list_sum(ws) > 0),
+win AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
+keyed AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM win),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1),
+cov AS (SELECT doc_id, sum(least(8, coalesce(i - before, 8)))::BIGINT AS n_repeat_words FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM rep) GROUP BY doc_id),
+j AS (
+  SELECT f.doc_id, len(words)::BIGINT AS n_words, (length(body) - classes[{quality.SPACE_CLASS + 1}])::BIGINT AS word_chars, classes[{quality.SYMBOL_CLASS + 1}]::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CASE WHEN length(body) >= {rules.min_chars} AND rc IS NOT NULL THEN {distance("classes", "rc")} END AS cd,
+    CASE WHEN len(words) >= {rules.min_words_for_distance} AND rw IS NOT NULL THEN {distance("hist", "rw")} END AS wd
+  FROM f LEFT JOIN cov ON f.doc_id = cov.doc_id LEFT JOIN shares ON f.lang = shares.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words) AS base_failed,
+  NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)
+    AND NOT coalesce(cd > {rules.char_distance}, false) AND NOT coalesce(wd > {rules.word_distance}, false) AS kept
+FROM j
+"""
+
+
+OP2_SQL = _op2_sql()

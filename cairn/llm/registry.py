@@ -7,6 +7,8 @@ from cairn.llm import queries as q
 
 def queries() -> dict:
     return {
+        "op1_mix_sources": q.op1_mix_sources,
+        "op2_quality_rules": q.op2_quality_rules,
         "op3_byte_bpe": q.op3_byte_bpe,
         "op7_warc": q.op7_warc,
         "op10_sst_shards": q.op10_sst_shards,
@@ -15,5 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mix_sources": q.OP1_SQL,
+        "op2_quality_rules": q.OP2_SQL,
         "op7_warc": q.OP7_SQL,
     }
