@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": q.op1_mix_sources,
         "op2_quality_rules": q.op2_quality_rules,
         "op3_byte_bpe": q.op3_byte_bpe,
+        "op4_substring_dedup": q.op4_substring_dedup,
         "op7_warc": q.op7_warc,
         "op10_sst_shards": q.op10_sst_shards,
     }
@@ -19,5 +20,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": q.OP1_SQL,
         "op2_quality_rules": q.OP2_SQL,
+        "op4_substring_dedup": q.OP4_SQL,
         "op7_warc": q.OP7_SQL,
     }
