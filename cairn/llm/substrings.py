@@ -158,25 +158,25 @@ def _spans_of(width: int):
         doc = np.searchsorted(ends, marks, "right")
         start = marks - np.concatenate([[0], ends])[doc]
         if not len(marks):
-            return pa.table({"__k": pa.array([], pa.int64()), "__r": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+            return pa.table({"__k": pa.array([], pa.int64()), "__r": pa.array([], pa.int64()), "__spans": pa.array([], pa.binary())})
         first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(start) > width)]))
         last = np.concatenate([first[1:] - 1, [len(marks) - 1]])
         begin, end, doc = start[first], start[last] + width, doc[first]
         cut = np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0]))
         spans = [np.stack([begin[a:b], end[a:b]], 1).astype("<i4").tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)]
-        return pa.table({"__k": pa.array(np.frombuffer(ks, np.int64)[doc[cut]], pa.int64()), "__r": pa.array(unpack(rs).astype(np.int64)[doc[cut]], pa.int64()), "spans": pa.array(spans, pa.binary())})
+        return pa.table({"__k": pa.array(np.frombuffer(ks, np.int64)[doc[cut]], pa.int64()), "__r": pa.array(unpack(rs).astype(np.int64)[doc[cut]], pa.int64()), "__spans": pa.array(spans, pa.binary())})
 
     return run
 
 
 def removal_spans(docs: DataFrame, width: int = 20, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Staged table (__k, __r, spans): for each document with repeats its maximal spans [begin, end) of words."""
+    """Staged table (__k, __r, __spans): for each document with repeats its maximal spans [begin, end) of words."""
     ship(docs.sparkSession)
     keyed = _keyed(docs, id_column, text)
     ranges = max(64, scan_bytes(docs) // RANGE_BYTES)
     marks = _windows(keyed, width, ranges).groupBy("g").applyInArrow(_mark_range, "batch bigint, raw binary")
-    spans = marks.groupBy("batch").applyInArrow(_spans_of(width), "__k bigint, __r bigint, spans binary")
-    found = staged(spans.groupBy("__k", "__r").agg(F.first("spans").alias("spans")), "spans")
+    spans = marks.groupBy("batch").applyInArrow(_spans_of(width), "__k bigint, __r bigint, __spans binary")
+    found = staged(spans.groupBy("__k", "__r").agg(F.first("__spans").alias("__spans")), "spans")
     docs.sparkSession._jvm.System.gc()  # lets Spark delete the windows' shuffle files before texts are shuffled
     return found
 
@@ -196,7 +196,7 @@ def _with_spans(docs: DataFrame, width: int, id_column: str, text: str, *keep: s
     spans = removal_spans(docs, width, id_column, text)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     left = docs.select(*keep, F.coalesce(F.col(id_column).cast("long"), F.lit(LOWEST)).alias("__k"), F.xxhash64(body).bitwiseAND(F.lit(0xFFFFFFFF)).alias("__r"), F.col(text).cast("string").alias("__t"))
-    return left.join(spans, ["__k", "__r"], "left").select(*keep, "__t", "spans")
+    return left.join(spans, ["__k", "__r"], "left").select(*keep, "__t", "__spans")
 
 
 def digest(docs: DataFrame, width: int = 20, id_column: str = "doc_id", text: str = "text") -> DataFrame:
