@@ -216,8 +216,10 @@ class LibraryEncoder:
     def _piece(self, piece: str) -> bytes:
         if not (self.plain and (m := _WORD.fullmatch(piece))):
             return self._whole(piece)
-        ids = [t.id for part in m.groups() if part for t in self.own.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        word, tail = m.groups()
+        shown = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.own.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids) + (self.pieces.bare[tail] if tail else b"")
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
