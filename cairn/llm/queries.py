@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, mixing, quality, sst, substrings, warc
+from cairn.llm import bpe, jaccard, mixing, quality, sst, substrings, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -130,3 +130,25 @@ kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(stri
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+raw AS (
+  SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM d WHERE len(words) BETWEEN 1 AND 4
+),
+sets AS (SELECT DISTINCT doc_id, s FROM raw),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+both_of AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM both_of JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both_n >= 75 * (p.n + q.n - both_n)),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT x, y FROM sym UNION SELECT reach.a, sym.y FROM reach JOIN sym ON reach.b = sym.x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+"""
