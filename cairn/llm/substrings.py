@@ -1,6 +1,6 @@
 """Substring dedup: windows of `width` words that start earlier elsewhere, merged into maximal removal spans.
 
-1. Each task hashes every window of its documents (Rabin-Karp over 64-bit word hashes) in batches of about a
+1. Each task hashes every window of its documents (Rabin-Karp over 64-bit word hashes) in batches of about two
    million words. Within a batch only the first of equal windows goes on; the later ones are marked at once.
    Hashes are cut into ranges of the 64-bit space and packed: a shuffled row holds one batch's hashes of one
    range, about ten bytes a window. The number of ranges follows the size of the input.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cairn.llm.words import Rolling, find_words, hash_words, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
 from cairn.session import scan_bytes, ship, staged
 
-BATCH_WORDS = 1_000_000
-RANGE_BYTES = 3 << 20  # stored input for each range of hashes
+BATCH_WORDS = 2_000_000
+RANGE_BYTES = 6 << 20  # stored input for each range of hashes
 LOWEST = -(2**63)
 
 
