@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, jaccard, mixing, quality, sst, substrings, warc
+from cairn.llm import bpe, embeddings, jaccard, mixing, quality, sst, substrings, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -152,3 +152,21 @@ reach(a, b) AS (SELECT x, y FROM sym UNION SELECT reach.a, sym.y FROM reach JOIN
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS component_id
 FROM d LEFT JOIN sizes ON d.doc_id = sizes.doc_id
 """
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of equal label with a cosine of 0.98 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+  FROM embeddings
+),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.good AND b.good AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT x, y FROM links UNION SELECT reach.a, links.y FROM reach JOIN links ON reach.b = links.x)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = v.vec_id), v.vec_id)) AS component_id,
+  least(v.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = v.vec_id), v.vec_id)) = v.vec_id AS kept
+FROM v
+"""

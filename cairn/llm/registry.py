@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_byte_bpe": q.op3_byte_bpe,
         "op4_substring_dedup": q.op4_substring_dedup,
         "op7_warc": q.op7_warc,
+        "op8_embedding_dedup": q.op8_embedding_dedup,
         "op9_jaccard_join": q.op9_jaccard_join,
         "op10_sst_shards": q.op10_sst_shards,
     }
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": q.OP2_SQL,
         "op4_substring_dedup": q.OP4_SQL,
         "op7_warc": q.OP7_SQL,
+        "op8_embedding_dedup": q.OP8_SQL,
         "op9_jaccard_join": q.OP9_SQL,
     }
