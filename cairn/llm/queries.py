@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, embeddings, jaccard, mixing, quality, sst, substrings, warc
+from cairn.llm import bpe, embeddings, html, jaccard, mixing, quality, sst, substrings, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -170,3 +170,8 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, lea
   least(v.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = v.vec_id), v.vec_id)) = v.vec_id AS kept
 FROM v
 """
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, host templates removed."""
+    return html.extract(table(spark, sf_dir, "pages"))

@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": q.op2_quality_rules,
         "op3_byte_bpe": q.op3_byte_bpe,
         "op4_substring_dedup": q.op4_substring_dedup,
+        "op5_html_extraction": q.op5_html_extraction,
         "op7_warc": q.op7_warc,
         "op8_embedding_dedup": q.op8_embedding_dedup,
         "op9_jaccard_join": q.op9_jaccard_join,
