@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,14 @@ def unstage(*dfs: DataFrame) -> None:
         drop_path(df.sparkSession, df._cairn_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Collect garbage in both drivers, so that Spark deletes shuffle files that no plan refers to any more."""
+    gc.collect()
+    time.sleep(0.1)
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a scan in bytes (the size on disk of the files read); 0 where it knows none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
