@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.words import Rolling, find_words, hash_words, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
-from cairn.session import scan_bytes, ship, staged
+from cairn.session import free_shuffles, scan_bytes, ship, staged
 
 BATCH_WORDS = 2_000_000
 RANGE_BYTES = 6 << 20  # stored input for each range of hashes
@@ -176,9 +176,7 @@ def removal_spans(docs: DataFrame, width: int = 20, id_column: str = "doc_id", t
     ranges = max(64, scan_bytes(docs) // RANGE_BYTES)
     marks = _windows(keyed, width, ranges).groupBy("g").applyInArrow(_mark_range, "batch bigint, raw binary")
     spans = marks.groupBy("batch").applyInArrow(_spans_of(width), "__k bigint, __r bigint, __spans binary")
-    found = staged(spans.groupBy("__k", "__r").agg(F.first("__spans").alias("__spans")), "spans")
-    docs.sparkSession._jvm.System.gc()  # lets Spark delete the windows' shuffle files before texts are shuffled
-    return found
+    return staged(spans.groupBy("__k", "__r").agg(F.first("__spans").alias("__spans")), "spans")
 
 
 def cut_words(words: list[str], spans: bytes | None) -> list[str]:
@@ -194,6 +192,7 @@ def cut_words(words: list[str], spans: bytes | None) -> list[str]:
 
 def _with_spans(docs: DataFrame, width: int, id_column: str, text: str, *keep: str) -> DataFrame:
     spans = removal_spans(docs, width, id_column, text)
+    free_shuffles(docs.sparkSession)  # the windows' files go before the texts are shuffled
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     left = docs.select(*keep, F.coalesce(F.col(id_column).cast("long"), F.lit(LOWEST)).alias("__k"), F.xxhash64(body).bitwiseAND(F.lit(0xFFFFFFFF)).alias("__r"), F.col(text).cast("string").alias("__t"))
     return left.join(spans, ["__k", "__r"], "left").select(*keep, "__t", "__spans")
