@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
 from cairn.llm.words import Rolling, find_words, hash_words, mix, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
-from cairn.session import scan_bytes, ship, staged, unstage
+from cairn.session import free_shuffles, scan_bytes, ship, staged, unstage
 
 BATCH_SIGNATURES = 1_500_000
 RANGE_BYTES = 8 << 20  # stored input for each range of signatures
 HOT = 64
 BLOCK = 2048
+SALT = 500
 
 
 @dataclass(frozen=True)
@@ -225,14 +226,40 @@ def _shared_of(ranges: int):
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Staged links (a, b): the pairs (a, b) of classes whose sets are similar. Sets come from the whole texts."""
+def _sets(used: DataFrame, classes: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
+    """Staged (c, tokens) for the classes in used, made again from whole texts."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(n)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make_shingles(t, n, roll).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["c", "tokens"])
 
+    homes = classes.select("c", F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r").join(used, "c")
+    found = keyed.select(F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r", "__t").join(homes, ["__k", "z", "__r"])
+    return staged(found.select("c", "__t").mapInArrow(make, "c bigint, tokens binary").groupBy("c").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def _sift(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                least = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold(x, least) ^ fold(y, least)).sum())
+                keep.append(den * min(m, n) >= num * max(m, n) and apart * (den + num) <= (den - num) * (m + n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x, m, s: classes.select(F.col("c").alias(x), F.col("n").alias(m), F.col("sketch").alias(s))
+    joined = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return joined.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Staged links (a, b): the pairs whose sets are similar. The set of a b of many pairs is copied for salts."""
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -242,14 +269,11 @@ def _verify(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, n: int, num:
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    homes = used.join(classes.select("c", "__k", "__r"), "c")
-    texts = homes.join(keyed, [homes["__k"].eqNullSafe(keyed["__k"]), homes["__r"] == keyed["__r"]]).groupBy("c").agg(F.first("__t").alias("t"))
-    sets = staged(texts.mapInArrow(make, "c bigint, tokens binary"), "sets")
-    joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    links = staged(joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
-    unstage(sets)
-    return links
+    salts = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("k")), "salts")
+    salted = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("salt"))
+    left = salted.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a")
+    right = salts.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    return staged(left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def _pairs_in_cell(num: int, den: int):
@@ -293,25 +317,29 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     classes = staged(table.where("c is not null").groupBy("c").agg(home, F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("c", F.col("home.k").alias("__k"), F.col("home.r").alias("__r"), "members", "n", "sketch"), "classes")
     shared = _packed_signatures(keyed, n, num, den, ranges).groupBy("g").applyInArrow(_shared_of(ranges), "sig bigint, c bigint, space int, spare int, own boolean, weight int, size bigint")
     shared = staged(shared, "shared")
-    spark._jvm.System.gc()  # lets Spark delete the signatures' shuffle files
-    central = shared.groupBy("c").agg(F.sum(F.col("size") - 1).alias("central"))
-    labels = staged(central.select("c", F.col("c").alias("component"), "central"), "labels")
+    free_shuffles(spark)
+    labels = staged(shared.groupBy("c").agg(F.sum(F.col("size") - 1).alias("central")).select("c", F.col("c").alias("component"), "central"), "labels")
+    central = labels.select("c", "central")
+    sets = _sets(labels.select("c"), classes, keyed, n)
+    free_shuffles(spark)
     links = None
     tested = None
     for vote in (False, True):
         rows = shared.join(labels, "c")
         leaders = rows.groupBy("sig").agg(F.max(F.when(F.col("own"), F.struct("central", "c", "component"))).alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig", F.col("top.c").alias("leader"), F.col("top.component").alias("leads"), F.col("top.central").alias("rank"))
         aims = rows.join(leaders, "sig").where("component <> leads").groupBy("c", "leader").agg(F.count("*").alias("votes"), F.first("rank").alias("rank"))
-        aims = aims.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"), "c", "votes", "rank")
+        aims = aims.select(F.col("c").alias("a"), F.col("leader").alias("b"), "votes", "rank")
         if tested is not None:
             aims = aims.join(tested, ["a", "b"], "left_anti")
-        best = F.max(F.struct("votes", "rank", "a", "b") if vote else F.struct("rank", "votes", "a", "b")).alias("best")
-        pairs = staged(aims.groupBy("c").agg(best).select("best.a", "best.b").distinct(), "pairs")
-        found = _verify(pairs, classes, keyed, n, num, den)
+        best = F.max(F.struct("votes", "rank", "b") if vote else F.struct("rank", "votes", "b")).alias("best")
+        pairs = staged(aims.groupBy("a").agg(best).select("a", "best.b"), "pairs")
+        allowed = staged(_sift(pairs, classes, num, den), "allowed")
+        free_shuffles(spark)
+        found = _verify(allowed, sets, num, den)
         links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
         merged = components(links)
         labels = staged(central.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").select("c", F.coalesce("component", "c").alias("component"), "central"), "labels")
-        spark._jvm.System.gc()
+        free_shuffles(spark)
     rows = shared.join(labels, "c").drop("central")
     open_sigs = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("now")).where("low <> high").select("sig", "now")
     rows = staged(rows.join(open_sigs, "sig"), "open")
@@ -320,8 +348,11 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     left = rows.join(classes.select("c", "n", "sketch"), "c").select("sig", "c", "component", "own", F.col("n").cast("long").alias("n"), "sketch")
     cells = block_pairs(left, "sig", "c", BLOCK).groupBy("sig", "__cell").applyInArrow(_pairs_in_cell(num, den), "a bigint, b bigint") if rows.take(1) else None
     if cells is not None:
-        rest = staged(cells.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
-        links = links.union(_verify(rest, classes, keyed, n, num, den))
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = staged(cells.distinct().join(done, ["a", "b"], "left_anti"), "rest")
+        free_shuffles(spark)
+        links = links.union(_verify(rest, sets, num, den))
+    unstage(sets, shared)
     merged = components(links)
     named = classes.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     many = named.where("members > 1").select("c", "component").union(merged.select(F.col("node").alias("c"), "component")).distinct()
@@ -338,7 +369,6 @@ def digest(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column: s
 def keep_one(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of similar documents: that of the smallest id (of its rows, the first by text hash)."""
     found = similar_components(docs, n, num, den, id_column, text).where("__k <=> component_id")
-    one = found.groupBy("__k").agg(F.min("__r").alias("__r"), F.min("n").alias("n"))
     # Ids that occur in several groups keep a row for each class that is not in one group with another.
     one = found.select("__k", "__r", "c").distinct()
     keyed = docs.withColumn("__kk", F.col(id_column).cast("long")).withColumn("__rr", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
