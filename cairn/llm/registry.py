@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cairn.llm import queries as q
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix_sources": q.op1_mix_sources,
         "op2_quality_rules": q.op2_quality_rules,
         "op3_byte_bpe": q.op3_byte_bpe,
         "op4_substring_dedup": q.op4_substring_dedup,
         "op5_html_extraction": q.op5_html_extraction,
+        "op6_license_scan": q.op6_license_scan,
         "op7_warc": q.op7_warc,
         "op8_embedding_dedup": q.op8_embedding_dedup,
         "op9_jaccard_join": q.op9_jaccard_join,
