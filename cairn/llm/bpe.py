@@ -22,7 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.chunks import PieceEncoder
+from cairn.llm.chunks import PieceEncoder, latin_word
 from cairn.session import ship
 
 # Letters and numbers that the installed regex module knows and the rank library's Unicode version does not.
@@ -109,23 +109,31 @@ def merge_bytes(ids: list[int], joined: Callable[[int], int | None]) -> list[int
     """
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [r << 32 | i for i in range(n - 1) if (r := joined(ids[i] << 32 | ids[i + 1])) is not None]
+    now = [joined(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)]  # what the pair that starts here becomes
+    now.append(None)
+    heap = [r << 32 | i for i, r in enumerate(now) if r is not None]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        top = heapq.heappop(heap)
+        top = pop(heap)
         i, rank = top & 0xFFFFFFFF, top >> 32
-        left = ids[i]
-        if left < 0 or (j := after[i]) >= n or joined(left << 32 | ids[j]) != rank:
+        if now[i] != rank:
             continue
-        ids[i], ids[j] = rank, -1
+        j = after[i]
+        ids[i], ids[j], now[j] = rank, -1, None
         after[i] = j = after[j]
         if j < n:
             before[j] = i
-            if (r := joined(rank << 32 | ids[j])) is not None:
-                heapq.heappush(heap, r << 32 | i)
+            now[i] = r = joined(rank << 32 | ids[j])
+            if r is not None:
+                push(heap, r << 32 | i)
+        else:
+            now[i] = None
         j = before[i]
-        if j >= 0 and (r := joined(ids[j] << 32 | rank)) is not None:
-            heapq.heappush(heap, r << 32 | j)
+        if j >= 0:
+            now[j] = r = joined(ids[j] << 32 | rank)
+            if r is not None:
+                push(heap, r << 32 | j)
     return [x for x in ids if x >= 0]
 
 
@@ -155,8 +163,10 @@ class Codec:
         self._prepare()
 
     def _encode_piece(self, piece: str) -> bytes:
+        if (m := latin_word(piece)) and m[2]:
+            return self._encode_piece(m[1]) + self.encoder.bare[m[2]]
         ids: list[int] = []
-        for token in self.split(piece):
+        for token in (piece,) if m else self.split(piece):
             raw = token.encode()
             found = self.whole.get(raw)
             if found is None:

@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 #: Cuts before a single space between two non-space characters.
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: A word of Latin letters after a space, and plain punctuation: one match of the split pattern each.
+latin_word = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)").fullmatch
 
 
 class _Unsafe(Exception):

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm.bpe import read_vocabulary
-from cairn.llm.chunks import PieceEncoder
+from cairn.llm.chunks import PieceEncoder, latin_word
 from cairn.session import scan_bytes, scratch_path, ship
 
 MAGIC = b"CRNSST1\n"
@@ -188,10 +187,6 @@ class Shard:
         return found
 
 
-#: A word of Latin letters after a space, and plain punctuation: a match of the split pattern each.
-_WORD = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
-
-
 class LibraryEncoder:
     """The tokenizers library's encoding of whole texts, each distinct piece asked for once while it is remembered.
 
@@ -214,7 +209,7 @@ class LibraryEncoder:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not (self.plain and (m := _WORD.fullmatch(piece))):
+        if not (self.plain and (m := latin_word(piece))):
             return self._whole(piece)
         word, tail = m.groups()
         shown = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
