@@ -17,8 +17,8 @@ Signatures travel packed, some ten bytes each, by ranges; only those of two clas
 rounds link every class to the most central class of its signatures (by how often its signatures are shared,
 then by most shared signatures); after each, signatures within one component are settled. In what is left, a
 signature of more than HOT classes is given up for every class whose other allowances still suffice (allocation
-by cost); all other pairs across components are compared: a parity sketch (a lower bound of the symmetric
-difference) in blocks, then exactly, on the sets made again from the whole texts.
+by cost); all other pairs across components are compared, long lists in blocks: first by a parity sketch (a lower
+bound of the symmetric difference), then exactly, on the sets made again from the whole texts.
 
 No pair is capped, sampled or left out. Null or wordless texts have empty sets and link with nothing. Null ids
 are never a component's id unless there is no other. Repeated rows are equal sets.
@@ -344,14 +344,20 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     open_sigs = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("now")).where("low <> high").select("sig", "now")
     rows = staged(rows.join(open_sigs, "sig"), "open")
     lost = rows.where(f"now > {HOT} and space >= 0").groupBy("c", "space").agg(F.sum("weight").alias("lost"), F.min("spare").alias("most")).where("lost <= most").select("c", "space", F.lit(True).alias("covered"))
-    rows = rows.join(lost, ["c", "space"], "left").where(f"now <= {HOT} or space < 0 or covered is null")
-    left = rows.join(classes.select("c", "n", "sketch"), "c").select("sig", "c", "component", "own", F.col("n").cast("long").alias("n"), "sketch")
-    cells = block_pairs(left, "sig", "c", BLOCK).groupBy("sig", "__cell").applyInArrow(_pairs_in_cell(num, den), "a bigint, b bigint") if rows.take(1) else None
-    if cells is not None:
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = staged(cells.distinct().join(done, ["a", "b"], "left_anti"), "rest")
-        free_shuffles(spark)
-        links = links.union(_verify(rest, sets, num, den))
+    # Short lists: pairs by a self-join on the signature, at most HOT / 2 for each row, made distinct before sketches are looked at.
+    short = rows.where(f"now <= {HOT}").select("sig", "c", "component", "own")
+    other = short.select("sig", F.col("c").alias("b"), F.col("component").alias("other"), F.col("own").alias("theirs"))
+    pairs = short.withColumnRenamed("c", "a").join(other, "sig").where("a < b and component <> other and (own or theirs)").select("a", "b").distinct()
+    # Long lists: without the classes that are covered elsewhere, in blocks.
+    long = rows.where(f"now > {HOT}").join(lost, ["c", "space"], "left").where("space < 0 or covered is null")
+    if long.take(1):
+        left = long.join(classes.select("c", "n", "sketch"), "c").select("sig", "c", "component", "own", F.col("n").cast("long").alias("n"), "sketch")
+        cells = block_pairs(left, "sig", "c", BLOCK).groupBy("sig", "__cell").applyInArrow(_pairs_in_cell(num, den), "a bigint, b bigint")
+        pairs = pairs.union(cells).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = staged(_sift(pairs.join(done, ["a", "b"], "left_anti"), classes, num, den), "rest")
+    free_shuffles(spark)
+    links = links.union(_verify(rest, sets, num, den))
     unstage(sets, shared)
     merged = components(links)
     named = classes.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
