@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
@@ -307,7 +307,7 @@ def _pairs_in_cell(num: int, den: int):
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: __k (id), __r (text hash), n (set size), c (class), component_id (smallest id that links reach)."""
+    """Per row of docs: __k (id), __r (text hash), n (set size), component (null for empty sets), component_id (smallest id that links reach)."""
     spark = docs.sparkSession
     ship(spark)
     keyed = _keyed(docs, id_column, text)
@@ -363,8 +363,9 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     named = classes.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     many = named.where("members > 1").select("c", "component").union(merged.select(F.col("node").alias("c"), "component")).distinct()
     ids = named.groupBy("component").agg(F.min("__k").alias("component_id"))
-    many = staged(many.join(ids, "component").select("c", "component_id"), "many")
-    return table.join(many, "c", "left").select("__k", "__r", "n", "c", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("__k")).alias("component_id"))
+    many = staged(many.join(ids, "component").select("c", "component", "component_id"), "many")
+    found = F.col("component").isNotNull()
+    return table.join(many, "c", "left").select("__k", "__r", "n", F.coalesce("component", "c").alias("component"), F.when(found, F.col("component_id")).otherwise(F.col("__k")).alias("component_id"))
 
 
 def digest(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,12 +374,17 @@ def digest(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column: s
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of similar documents: that of the smallest id (of its rows, the first by text hash)."""
-    found = similar_components(docs, n, num, den, id_column, text).where("__k <=> component_id")
-    # Ids that occur in several groups keep a row for each class that is not in one group with another.
-    one = found.select("__k", "__r", "c").distinct()
-    keyed = docs.withColumn("__kk", F.col(id_column).cast("long")).withColumn("__rr", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    joined = keyed.join(one.select(F.col("__k").alias("__kk"), F.col("__r").alias("__rr")), ["__kk", "__rr"], "left_semi")
-    return joined.select(*docs.columns)
-
-
+    """docs with one row of each group of similar documents: of those with the smallest id the first by text hash.
+
+    Null ids count as largest; of equal rows one stays; rows without words are in no group and stay.
+    """
+    found = similar_components(docs, n, num, den, id_column, text).where("component is not null")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("__k").isNull().alias("z"), F.coalesce("__k", F.lit(0)).alias("k"), F.col("__r").alias("r"))).alias("f"))
+    first = staged(first.select(F.col("f.k").alias("__kk"), F.col("f.z").alias("__z"), F.col("f.r").alias("__rr"), F.lit(True).alias("__first")), "first")
+    free_shuffles(docs.sparkSession)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"__kk": F.coalesce(F.col(id_column).cast("long"), F.lit(0)), "__z": F.col(id_column).isNull(), "__rr": F.xxhash64(body)})
+    keys = ["__kk", "__z", "__rr"]
+    same = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    joined = keyed.join(first, keys, "left").withColumn("__same", same)
+    return joined.where((F.col("__first") & (F.col("__same") == 1)) | ~body.rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

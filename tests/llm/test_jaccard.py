@@ -61,6 +61,8 @@ def test_matches_brute_force(spark):
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[2] for r in brute(rows) if r[0] is not None})
+    few = spark.createDataFrame([(None, "a b c", ""), (None, "a b c", ""), (1, "", ""), (1, "", ""), (2, "x y", ""), (2, "x y", ""), (3, "x y", "")], SCHEMA)
+    assert sorted(map(str, (r.doc_id for r in jaccard.keep_one(few).collect()))) == ["1", "1", "2", "None"]
     assert jaccard.digest(df.limit(0)).count() == 0
 
 
