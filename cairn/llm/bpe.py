@@ -153,7 +153,7 @@ class Codec:
 
     def _prepare(self) -> None:
         self.split = compile_pattern(self.pattern).findall
-        self.encoder = PieceEncoder(self._encode_piece)
+        self.encoder = PieceEncoder(self._encode_piece, limit=1_000_000)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("split", "encoder")}
