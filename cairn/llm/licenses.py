@@ -181,8 +181,10 @@ def fit(background: list[str], seed: int = 11, rounds: int = 400) -> Model:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """fit() with BACKGROUND lines of the corpus; only these reach the driver."""
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(~F.lower("line").rlike("licen|copyright|reserved|permission|apache|creative commons|gnu|mozilla|redistribut"))
-    rows = lines.select(F.substring("line", 1, 400).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(BACKGROUND).collect()
-    return fit([r.line for r in rows])
+    hashed = lines.select(F.substring("line", 1, 400).alias("line"), F.xxhash64("line").alias("h"))
+    # The line of least hash in each of BACKGROUND buckets: a partial minimum, so tasks send at most that many rows.
+    rows = hashed.groupBy(F.pmod("h", F.lit(BACKGROUND)).alias("b")).agg(F.min(F.struct("h", "line")).alias("first")).select("first.line").collect()
+    return fit(sorted(r.line for r in rows))
 
 
 def _grams(words: Column, n: int) -> Column:
