@@ -15,8 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     partial minimum by node and a join to it; neighbours of a node are never collected.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -25,15 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         new = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
         unstage(now, large)
-        now, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
+        now = new
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return staged(stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "components")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u, as when nothing is left to do."""
+    many = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return not many.take(1) and not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").take(1)
 
 
 def block_pairs(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
