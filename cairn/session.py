@@ -45,11 +45,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of staged tables that still exist, in order.
+_made: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
@@ -65,6 +70,20 @@ def unstage(*dfs: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in dfs:
         drop_path(df.sparkSession, df._cairn_path)
+        _made.remove(df._cairn_path)
+
+
+def made_so_far() -> int:
+    """A mark for tidy()."""
+    return len(_made)
+
+
+def tidy(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables staged since the mark, but for those that the result still reads."""
+    kept = {df._cairn_path for df in keep}
+    for path in [p for p in _made[since:] if p not in kept]:
+        drop_path(spark, path)
+        _made.remove(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
