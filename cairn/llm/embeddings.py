@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
-from cairn.session import ship, staged
+from cairn.session import made_so_far, ship, staged, tidy
 
 PIVOTS, SAMPLE, NEAREST, SHARED = 256, 4096, 6, 3
 BLOCK = 2048
@@ -173,6 +173,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_column: str = "vec_id
     """Per vector: id, n_links (other vectors linked directly), component_id, kept (whether it is the component's id)."""
     spark = df.sparkSession
     ship(spark)
+    mark = made_so_far()
     vectors = staged(_vectors(df, id_column, vector, label), "vectors")
     classes = staged(vectors.where("c is not null").groupBy("c").agg(F.first("label").alias("label"), F.count("*").alias("members"), F.min("vec_id").alias("least"), F.first("raw").alias("raw")), "vector-classes")
     sample = [bytes(r.raw) for r in classes.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("raw").collect()]
@@ -192,6 +193,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_column: str = "vec_id
     named = staged(named, "named")
     firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = staged(named.where("n_links > 0").join(firsts, "component").select("c", "n_links", "component_id"), "linked")
+    tidy(spark, mark, vectors, linked)
     out = vectors.select("vec_id", "c").join(linked, "c", "left")
     component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select(F.col("vec_id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

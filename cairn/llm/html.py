@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import ship, staged
+from cairn.session import ship, staged, unstage
 
 MIN_PAGES, MIN_SHARE = 4, 0.1
 
@@ -223,7 +223,9 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     counts = staged(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "subtrees")
     totals = counts.where("hash is null").select("host", F.col("n").alias("total"))
     found = counts.where("hash is not null").join(totals, "host").where(F.col("n") >= min_share * F.col("total"))
-    return staged(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
+    out = staged(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
+    unstage(counts)
+    return out
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

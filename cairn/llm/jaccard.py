@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
 from cairn.llm.words import Rolling, find_words, hash_words, mix, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
-from cairn.session import free_shuffles, scan_bytes, ship, staged, unstage
+from cairn.session import free_shuffles, made_so_far, scan_bytes, ship, staged, tidy, unstage
 
 BATCH_SIGNATURES = 1_500_000
 RANGE_BYTES = 8 << 20  # stored input for each range of signatures
@@ -310,6 +310,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     """Per row of docs: __k (id), __r (text hash), n (set size), component (null for empty sets), component_id (smallest id that links reach)."""
     spark = docs.sparkSession
     ship(spark)
+    mark = made_so_far()
     keyed = _keyed(docs, id_column, text)
     ranges = max(32, scan_bytes(docs) // RANGE_BYTES)
     table = staged(_document_table(keyed, n), "documents")
@@ -364,6 +365,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     many = named.where("members > 1").select("c", "component").union(merged.select(F.col("node").alias("c"), "component")).distinct()
     ids = named.groupBy("component").agg(F.min("__k").alias("component_id"))
     many = staged(many.join(ids, "component").select("c", "component", "component_id"), "many")
+    tidy(spark, mark, table, many)
     found = F.col("component").isNotNull()
     return table.join(many, "c", "left").select("__k", "__r", "n", F.coalesce("component", "c").alias("component"), F.when(found, F.col("component_id")).otherwise(F.col("__k")).alias("component_id"))
 
@@ -378,9 +380,11 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_column:
 
     Null ids count as largest; of equal rows one stays; rows without words are in no group and stay.
     """
+    mark = made_so_far()
     found = similar_components(docs, n, num, den, id_column, text).where("component is not null")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("__k").isNull().alias("z"), F.coalesce("__k", F.lit(0)).alias("k"), F.col("__r").alias("r"))).alias("f"))
     first = staged(first.select(F.col("f.k").alias("__kk"), F.col("f.z").alias("__z"), F.col("f.r").alias("__rr"), F.lit(True).alias("__first")), "first")
+    tidy(docs.sparkSession, mark, first)
     free_shuffles(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__kk": F.coalesce(F.col(id_column).cast("long"), F.lit(0)), "__z": F.col(id_column).isNull(), "__rr": F.xxhash64(body)})

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import drop_path, scratch_path, ship, staged
+from cairn.session import drop_path, made_so_far, scratch_path, ship, staged, tidy
 
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
 PIECE = 8 << 20  # compressed bytes of a normalised archive
@@ -245,10 +245,11 @@ def read_at(content: bytes, offset: int, length: int) -> tuple[dict[str, str], b
 def round_trip(pages: DataFrame, least: int = 1000, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write pages as monolithic archives, normalise them, drop the monoliths, and read the result back."""
     spark = pages.sparkSession
-    raw, path = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc")
+    mark, raw, path = made_so_far(), scratch_path(spark, "warc-raw"), scratch_path(spark, "warc")
     write_archives(mark_revisits(pages, least, id_column, url, html), raw)
     normalise(spark, raw, path)
     drop_path(spark, raw)
+    tidy(spark, mark)
     return read_records(spark, path)
 
 
