@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
 from cairn.llm.words import Rolling, find_words, hash_words, mix, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
-from cairn.session import free_shuffles, made_so_far, scan_bytes, ship, staged, tidy, unstage
+from cairn.session import free_shuffles, made_so_far, scan_bytes, ship, staged, tidy
 
 BATCH_SIGNATURES = 1_500_000
 RANGE_BYTES = 8 << 20  # stored input for each range of signatures
@@ -226,17 +226,27 @@ def _shared_of(ranges: int):
     return run
 
 
-def _sets(used: DataFrame, classes: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
-    """Staged (c, tokens) for the classes in used, made again from whole texts."""
+def _sets(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
+    """(c, tokens) for the classes of pairs (a, b): those in known, and staged ones made from whole texts."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(n)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make_shingles(t, n, roll).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["c", "tokens"])
 
-    homes = classes.select("c", F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r").join(used, "c")
-    found = keyed.select(F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r", "__t").join(homes, ["__k", "z", "__r"])
-    return staged(found.select("c", "__t").mapInArrow(make, "c bigint, tokens binary").groupBy("c").agg(F.first("tokens").alias("tokens")), "sets")
+    used = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    if known is not None:
+        used = used.join(known.select("c"), "c", "left_anti")
+    keys = ["__k", "z", "__r"]
+    homes = staged(classes.select("c", F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r").join(used, "c"), "homes")
+    if not homes.take(1):
+        return known if known is not None else homes.select("c", F.lit(b"").alias("tokens"))
+    found = keyed.select(F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r", "__t").join(homes, keys)
+    # Repeated rows give a set once; the window uses the join's partitioning and order.
+    once = found.withColumn("same", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("same = 1")
+    made = staged(once.select("c", "__t").mapInArrow(make, "c bigint, tokens binary"), "sets")
+    free_shuffles(keyed.sparkSession)
+    return made if known is None else known.union(made)
 
 
 def _sift(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -321,8 +331,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     free_shuffles(spark)
     labels = staged(shared.groupBy("c").agg(F.sum(F.col("size") - 1).alias("central")).select("c", F.col("c").alias("component"), "central"), "labels")
     central = labels.select("c", "central")
-    sets = _sets(labels.select("c"), classes, keyed, n)
-    free_shuffles(spark)
+    sets = None
     links = None
     tested = None
     for vote in (False, True):
@@ -336,6 +345,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
         pairs = staged(aims.groupBy("a").agg(best).select("a", "best.b"), "pairs")
         allowed = staged(_sift(pairs, classes, num, den), "allowed")
         free_shuffles(spark)
+        sets = _sets(allowed, sets, classes, keyed, n)
         found = _verify(allowed, sets, num, den)
         links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
         merged = components(links)
@@ -358,8 +368,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = staged(_sift(pairs.join(done, ["a", "b"], "left_anti"), classes, num, den), "rest")
     free_shuffles(spark)
+    sets = _sets(rest, sets, classes, keyed, n)
     links = links.union(_verify(rest, sets, num, den))
-    unstage(sets, shared)
     merged = components(links)
     named = classes.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     many = named.where("members > 1").select("c", "component").union(merged.select(F.col("node").alias("c"), "component")).distinct()
