@@ -9,7 +9,8 @@ pair counts in the list of its three smallest shared pivots only, so each is cou
 Vectors with equal label and equal components form a class and travel once. Long lists are dealt to block pairs
 (links.block_pairs), short ones are bundled. What leaves a list are link counts and a spanning forest.
 
-Recall against brute force is 1.0 on the synthetic tables (tests hold it to 0.9 or more); pairs can only be
+Share of linked pairs that meet in a list, against brute force: 1.000 on check_s (28,617 pairs), 0.9995 or more on
+check_h (497,877 pairs), with pivots from two random samples; tests hold recall to 0.9 or more. Pairs can only be
 missed, never made up. Vectors that are null, empty, zero, or hold null or non-finite components, and vectors
 with null labels, link with nothing. Vectors of different lengths never link. Repeated rows count as vectors.
 Null ids are a component's id only where there is no other.
