@@ -18,8 +18,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, by fixed word profiles, so that much junk does not pass for the language."""
+    return quality.judge(docs, quality.STEADY).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
