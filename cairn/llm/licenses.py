@@ -2,7 +2,7 @@
 
 A paragraph is a line. Features are its word n-grams (1 to 3) that hold an anchor word and occur in the training
 texts. A multinomial logistic regression gives a probability to every licence family and to `unknown`. It is
-trained on the driver from the seed texts below, each cut and reworded by rule, and from a bounded sample of
+trained on the driver from the seed texts and identifier forms below, each cut and reworded by rule, and from a bounded sample of
 lines of the corpus (BACKGROUND lines of documents without anchor words' n-grams being licences, chosen by hash)
 as unknown. Weights below MIN_WEIGHT are dropped, and a temperature is fitted on held-out texts, so that
 probabilities are calibrated. A prediction counts if its probability reaches `threshold` and is confirmed if at
@@ -69,6 +69,16 @@ SEEDS = {
         "Copyright and all rights reserved by the publisher.",
     ],
 }
+#: Licences named by identifier only; trained on like the seeds, but no templates.
+FORMS = {
+    "Apache": ["Apache-2.0", "Released under Apache 2.0."],
+    "MIT": ["MIT-licensed", "Available under MIT license terms."],
+    "BSD": ["BSD-3-Clause", "BSD licence", "Available under BSD terms."],
+    "GPL": ["GPL-3.0", "GPL 2", "Released under the GPL.", "Available under GPL terms."],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC", "Released under CC BY-NC-ND."],
+    "CC-BY": ["CC-BY-4.0", "CC BY", "Available under CC BY."],
+    "MPL": ["MPL-2.0", "MPL 1.1", "Released under the MPL.", "SPDX-License-Identifier: MPL-2.0"],
+}
 #: Sentences with licence words that grant nothing.
 NEGATIVES = [
     "He lost his driving license on the way to the office.", "The poet took some licence with the facts.", "You need permission to land at the airport.",
@@ -77,16 +87,18 @@ NEGATIVES = [
 ]
 #: Every feature holds one of these words.
 ANCHORS = [
-    "licensed", "license", "licence", "licenced", "copyright", "permission", "permitted", "redistribution", "redistribute", "reserved", "apache", "apache-2.0", "mit", "bsd", "bsd-style", "bsd-3-clause", "gnu", "gpl", "gpl-3.0-or-later", "cc", "creative", "commons", "mozilla", "mpl",
-    "spdx-license-identifier",
+    "licensed", "license", "licence", "licenced", "copyright", "permission", "permitted", "redistribution", "redistribute", "reserved", "apache", "mit", "bsd", "gnu", "gpl", "cc", "creative", "commons", "mozilla", "mpl", "spdx",
 ]
 BACKGROUND, MIN_WEIGHT = 2000, 0.05
 UNKNOWN = "unknown"
-_SPLIT = r"[^a-z0-9.+-]+"
+#: Words are runs of letters or of digits, so that identifiers fall into a family's stem and the rest: cc-by-4.0, apache2.
+_WORD = r"[a-z]+|[0-9]+"
+#: gplv3, lgpl and agpl count as gpl, mplv2 as mpl.
+_STEM = r"(?<![a-z])(?:[al]?(gpl)v?|(mpl|apache|bsd|mit)v)(?![a-z])"
 
 
 def words_of(line: str) -> list[str]:
-    return [w for w in (x.strip(".") for x in re.split(_SPLIT, line.lower())) if w]
+    return re.findall(_WORD, re.sub(_STEM, lambda m: m[1] or m[2], line.lower()))
 
 
 def features_of(words: list[str]) -> set[str]:
@@ -131,6 +143,7 @@ def variants(rng: random.Random, text: str, n: int) -> list[str]:
 def labelled(background: list[str], seed: int, n: int) -> tuple[list[str], list[str]]:
     rng = random.Random(seed)
     texts = [(v, family) for family, seeds in SEEDS.items() for s in seeds for v in variants(rng, s, n)]
+    texts += [(v, family) for family, forms in FORMS.items() for s in forms for v in variants(rng, s, n)]
     texts += [(v, UNKNOWN) for s in NEGATIVES for v in variants(rng, s, n)] + [(x, UNKNOWN) for x in background]
     return [t for t, _ in texts], [f for _, f in texts]
 
@@ -193,11 +206,11 @@ def _grams(words: Column, n: int) -> Column:
 
 def scan(docs: DataFrame, model: Model, threshold: float = 0.5, min_cover: float = 0.5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: id, n_paragraphs, n_licences, families (sorted, joined by commas), family (the most probable), probability, confirmed."""
-    anchor = r"(?:^|[^a-z0-9.+-])\.*(?:" + "|".join(a.replace(".", r"\.") for a in ANCHORS) + r")\.*(?:$|[^a-z0-9.+-])"
+    anchor = r"(?<![a-z])(?:" + "|".join(ANCHORS) + r")(?![a-z])|" + _STEM
     out = docs.select(F.col(id_column), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("lines"))
     out = out.withColumn("n_paragraphs", F.size("lines").cast("long"))
     out = out.withColumn("hits", F.filter("lines", lambda x: F.lower(x).rlike(anchor)))
-    words = lambda x: F.filter(F.transform(F.split(F.lower(x), _SPLIT), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
+    words = lambda x: F.regexp_extract_all(F.regexp_replace(F.lower(x), _STEM, "$1$2"), F.lit(_WORD), F.lit(0))
     out = out.withColumn("said", F.transform("hits", words))
     vocabulary = sorted(model.weights)
     tables = F.create_map(*[v for f in vocabulary for v in (F.lit(f), F.array(*map(F.lit, model.weights[f])))]) if vocabulary else F.lit(None).cast("map<string,array<double>>")

@@ -33,3 +33,16 @@ def test_scan_matches_python(spark):
     assert by_id[None].family == "MIT" and by_id[None].confirmed
     assert by_id[500].family is None and by_id[500].n_paragraphs == 0
     assert licenses.scan(df.limit(0), model).count() == 0
+
+
+def test_identifiers_outside_the_seeds(spark):
+    """Versions, hyphens and glued forms that neither SEEDS nor FORMS hold."""
+    want = {
+        "This text is available under CC-BY-SA-4.0.": "CC-BY", "CC BY 3.0": "CC-BY", "Published under CC-BY-NC-SA-3.0.": "CC-BY-NC", "Distributed under GPLv3.": "GPL", "Available under GPL-2.0-only terms.": "GPL",
+        "LGPL-2.1": "GPL", "AGPL-3.0": "GPL", "Released under the MPL-2.0.": "MPL", "BSD-2-Clause": "BSD", "Published under Apache2": "Apache", "This code is MIT-licensed.": "MIT",
+    }
+    none = ["Er kam mit dem Zug 2 Stunden zu spaet.", "A gplus and an impl of bsdiff.", "Send it cc to the office.", "It rained all day."]
+    assert not {t for t in want if t in sum([*licenses.SEEDS.values(), *licenses.FORMS.values()], [])}
+    df = spark.createDataFrame(list(enumerate([*want, *none])), "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licenses.scan(df, licenses.fit(BACKGROUND)).collect()}
+    assert [got[i] for i in range(len(want) + len(none))] == [*want.values(), *[None] * len(none)]
