@@ -13,11 +13,14 @@ take few segments with allowance 1, larger ones more segments with allowance 0,
 spare. Empty segments, which all sets share, are skipped; a set whose remaining allowances fall short goes to
 the rest space of its band, where every token is a signature.
 
-Signatures travel packed, some ten bytes each, by ranges; only those of two classes or more are kept. Two
-rounds link every class to the most central class of its signatures (by how often its signatures are shared,
-then by most shared signatures); after each, signatures within one component are settled. In what is left, a
-signature of more than HOT classes is given up for every class whose other allowances still suffice (allocation
-by cost); all other pairs across components are compared, long lists in blocks: first by a parity sketch (a lower
+Signatures travel packed, some ten bytes each, by ranges; only those of two classes or more are kept. Of these
+every class gives up the most widely shared ones, as far as its allowances to spare go (allocation by cost). All
+classes go by one order, list size and then signature, so of the signatures that two similar sets share the first
+in that order is given up by neither. In a rest space a set of n tokens can spare all but n - ceil(t n) + 1.
+
+Two rounds link every class to the most central class of its signatures (by how often its signatures are shared,
+then by most shared signatures); after each, signatures within one component are settled. In what is left, all
+pairs across components are compared, lists of more than HOT classes in blocks: first by a parity sketch (a lower
 bound of the symmetric difference), then exactly, on the sets made again from the whole texts.
 
 No pair is capped, sampled or left out. Null or wordless texts have empty sets and link with nothing. Null ids
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
 from cairn.llm.words import Rolling, find_words, hash_words, mix, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
-from cairn.session import free_shuffles, made_so_far, scan_bytes, ship, staged, tidy
+from cairn.session import free_shuffles, made_so_far, scan_bytes, ship, staged, tidy, unstage
 
 BATCH_SIGNATURES = 1_500_000
 RANGE_BYTES = 8 << 20  # stored input for each range of signatures
@@ -98,7 +101,7 @@ class Partition:
             double = (sizes > 1) & bool(s.neighbours)
             spare = int(here.sum() + double.sum()) - 1 - self.most_apart(n, min(s.largest, n * self.den // self.num))
             if spare < 0:
-                yield -1 - s.number, 0, mix(tokens + np.uint64((s.number << 1) + 1)) & ~np.uint64(3)
+                yield -1 - s.number, -(-n * self.num // self.den) - 1, mix(tokens + np.uint64((s.number << 1) + 1)) & ~np.uint64(3)
             low = np.where(double, np.uint64(2), np.uint64(0))
             out = [(mix(full) & ~np.uint64(3) | low)[here]]
             if double.any():
@@ -118,9 +121,9 @@ def make_shingles(text: str | None, n: int, roll: Rolling) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of tokens in 512 buckets, or in more by powers of two for larger sets."""
+    """Parities of tokens in 512 buckets, or in more by powers of two, four a token at least: a pair much below 0.75 shows."""
     bits = 512
-    while bits < len(tokens):
+    while bits < 4 * len(tokens):
         bits *= 2
     counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(counts.astype(bool)).tobytes()
@@ -226,6 +229,16 @@ def _shared_of(ranges: int):
     return run
 
 
+def _afforded(shared: DataFrame, parts: int) -> DataFrame:
+    """(sig, c, own, central): the signatures that a class does not give up, and how often its signatures are shared.
+
+    One shuffle by class; a class has as many rows as its set has signatures.
+    """
+    widest = Window.partitionBy("c", "space").orderBy(F.col("size").desc(), F.col("sig").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = shared.repartition(parts, "c").withColumn("lost", F.sum("weight").over(widest)).withColumn("central", F.sum(F.col("size") - 1).over(Window.partitionBy("c")))
+    return ranked.where("lost > spare").select("sig", "c", "own", "central")
+
+
 def _sets(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
     """(c, tokens) for the classes of pairs (a, b): those in known, and staged ones made from whole texts."""
 
@@ -329,13 +342,12 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
     shared = _packed_signatures(keyed, n, num, den, ranges).groupBy("g").applyInArrow(_shared_of(ranges), "sig bigint, c bigint, space int, spare int, own boolean, weight int, size bigint")
     shared = staged(shared, "shared")
     free_shuffles(spark)
-    labels = staged(shared.groupBy("c").agg(F.sum(F.col("size") - 1).alias("central")).select("c", F.col("c").alias("component"), "central"), "labels")
-    central = labels.select("c", "central")
-    sets = None
-    links = None
-    tested = None
+    kept = staged(_afforded(shared, ranges), "kept")
+    unstage(shared)
+    free_shuffles(spark)
+    labels = sets = links = tested = None
     for vote in (False, True):
-        rows = shared.join(labels, "c")
+        rows = kept.withColumn("component", F.col("c")) if labels is None else kept.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
         leaders = rows.groupBy("sig").agg(F.max(F.when(F.col("own"), F.struct("central", "c", "component"))).alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig", F.col("top.c").alias("leader"), F.col("top.component").alias("leads"), F.col("top.central").alias("rank"))
         aims = rows.join(leaders, "sig").where("component <> leads").groupBy("c", "leader").agg(F.count("*").alias("votes"), F.first("rank").alias("rank"))
         aims = aims.select(F.col("c").alias("a"), F.col("leader").alias("b"), "votes", "rank")
@@ -349,18 +361,17 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4,
         found = _verify(allowed, sets, num, den)
         links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
         merged = components(links)
-        labels = staged(central.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").select("c", F.coalesce("component", "c").alias("component"), "central"), "labels")
+        labels = merged.select(F.col("node").alias("c"), "component")
         free_shuffles(spark)
-    rows = shared.join(labels, "c").drop("central")
+    rows = kept.join(labels, "c", "left").select("sig", "c", "own", F.coalesce("component", "c").alias("component"))
     open_sigs = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("now")).where("low <> high").select("sig", "now")
     rows = staged(rows.join(open_sigs, "sig"), "open")
-    lost = rows.where(f"now > {HOT} and space >= 0").groupBy("c", "space").agg(F.sum("weight").alias("lost"), F.min("spare").alias("most")).where("lost <= most").select("c", "space", F.lit(True).alias("covered"))
     # Short lists: pairs by a self-join on the signature, at most HOT / 2 for each row, made distinct before sketches are looked at.
     short = rows.where(f"now <= {HOT}").select("sig", "c", "component", "own")
     other = short.select("sig", F.col("c").alias("b"), F.col("component").alias("other"), F.col("own").alias("theirs"))
     pairs = short.withColumnRenamed("c", "a").join(other, "sig").where("a < b and component <> other and (own or theirs)").select("a", "b").distinct()
-    # Long lists: without the classes that are covered elsewhere, in blocks.
-    long = rows.where(f"now > {HOT}").join(lost, ["c", "space"], "left").where("space < 0 or covered is null")
+    # Long lists: in blocks.
+    long = rows.where(f"now > {HOT}")
     if long.take(1):
         left = long.join(classes.select("c", "n", "sketch"), "c").select("sig", "c", "component", "own", F.col("n").cast("long").alias("n"), "sketch")
         cells = block_pairs(left, "sig", "c", BLOCK).groupBy("sig", "__cell").applyInArrow(_pairs_in_cell(num, den), "a bigint, b bigint")
