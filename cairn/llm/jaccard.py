@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.links import block_pairs, components
-from cairn.llm.words import Rolling, find_words, hash_words, mix, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
+from cairn.llm.words import Rolling, hash_texts, mix, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
 from cairn.session import free_shuffles, made_so_far, scan_bytes, ship, staged, tidy, unstage
 
 BATCH_SIGNATURES = 1_500_000
@@ -111,13 +111,15 @@ class Partition:
             yield s.number, min(spare, 60_000) if spare >= 0 else 0, np.concatenate(out)
 
 
-def make_shingles(text: str | None, n: int, roll: Rolling) -> np.ndarray:
-    """The ascending distinct hashes of a text's word n-grams, A-Z lowered; all words as one if they are fewer."""
-    words = find_words((text or "").encode().lower().decode())
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = hash_words(words)
-    return np.unique(roll(hashes) if len(words) >= n else mix(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64)))
+def shingle_sets(texts: pa.Array, n: int, roll: Rolling) -> Iterator[np.ndarray]:
+    """For each text the ascending distinct hashes of its word n-grams, A-Z lowered; all words as one if they are fewer."""
+    words, bounds = hash_texts(texts, lower=True)
+    windows = roll(words)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a >= n:
+            yield np.unique(windows[a : b - n + 1])
+        else:
+            yield mix(np.array([xxhash.xxh3_64_intdigest(words[a:b].tobytes())], np.uint64)) if b > a else np.empty(0, np.uint64)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -150,7 +152,7 @@ def _document_table(keyed: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(n)
         for batch in batches:
-            sets = [make_shingles(t, n, roll) for t in batch.column(2).to_pylist()]
+            sets = list(shingle_sets(batch.column(2), n, roll))
             columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["__k", "__r", "n", "c", "sketch"])
 
@@ -180,8 +182,7 @@ def _packed_signatures(keyed: DataFrame, n: int, num: int, den: int, ranges: int
                     yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([raw], pa.binary())], names=["g", "raw"])
 
         for batch in batches:
-            for t in batch.column(2).to_pylist():
-                tokens = make_shingles(t, n, roll)
+            for tokens in shingle_sets(batch.column(2), n, roll):
                 if not len(tokens):
                     continue
                 c = _class_of(tokens)
@@ -245,7 +246,7 @@ def _sets(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, keyed:
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(n)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make_shingles(t, n, roll).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["c", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n, roll)], pa.binary())], names=["c", "tokens"])
 
     used = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     if known is not None:
@@ -323,7 +324,7 @@ def _pairs_in_cell(num: int, den: int):
             i, j = np.nonzero(ok)
             a.append(c[part[i]])
             b.append(c[right[j]])
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))  # a side may have no rows
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run

@@ -3,7 +3,8 @@
 1. Each task hashes every window of its documents (Rabin-Karp over 64-bit word hashes) in batches of about two
    million words. Within a batch only the first of equal windows goes on; the later ones are marked at once.
    Hashes are cut into ranges of the 64-bit space and packed: a shuffled row holds one batch's hashes of one
-   range, about ten bytes a window. The number of ranges follows the size of the input.
+   range with the ids and places of just the documents they come from, about ten bytes a window. The number of
+   ranges follows the size of the input; a batch's documents as a whole are sent once.
 2. A range's rows meet in one group: of equal hashes the smallest (document, start) stays, the others are marked.
    A window that occurs everywhere is one entry for each batch there, so no group is larger for it.
 3. Marks go back to their batch, become merged spans of words for each document, and are joined to the texts.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import Rolling, find_words, hash_words, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
+from cairn.llm.words import Rolling, find_words, hash_texts, pack, pack_many, pack_sorted, split_ranges, unpack, unpack_many, unpack_sorted
 from cairn.session import free_shuffles, scan_bytes, ship, staged
 
 BATCH_WORDS = 2_000_000
@@ -49,8 +50,7 @@ class _Batch:
         self.docs: list[tuple[int, int, np.ndarray]] = []
         self.n = 0
 
-    def add(self, k: int, r: int, text: str) -> None:
-        words = hash_words(find_words(text))
+    def add(self, k: int, r: int, words: np.ndarray) -> None:
         if len(words) >= self.width:
             self.docs.append((k, r, words))
             self.n += len(words)
@@ -73,13 +73,17 @@ class _Batch:
         order = np.argsort(hashes, kind="stable")
         hashes, at = hashes[order], at[order]
         marked = later_ones(hashes, lambda i: (ks[d := np.searchsorted(starts, at[i], "right") - 1], at[i] - starts[d]))
-        yield -1 - batch % 1024, batch, pack_many(table, pack(np.sort(at[marked]).astype(np.uint64)))
+        yield -1 - batch % (16 * self.ranges), batch, pack_many(table, pack(np.sort(at[marked]).astype(np.uint64)))
         hashes, at = hashes[~marked], at[~marked]
         bounds = split_ranges(hashes, self.ranges)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]
         for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if b > a:
                 base = np.uint64((g << 64) // self.ranges)
-                yield g, batch, pack_many(pack_sorted(hashes[a:b] - base), pack(at[a:b].astype(np.uint64)), table)
+                there = np.zeros(len(sizes), bool)
+                there[doc[a:b]] = True
+                ids = ks[there].view(np.uint64) + np.uint64(2**63)  # ascending as unsigned numbers
+                yield g, batch, pack_many(pack_sorted(hashes[a:b] - base), pack(at[a:b].astype(np.uint64)), pack_sorted(starts[:-1][there].astype(np.uint64)), ids[:1].tobytes(), pack_sorted(ids - ids[0]))
 
 
 def later_ones(hashes: np.ndarray, place) -> np.ndarray:
@@ -109,8 +113,9 @@ def _windows(keyed: DataFrame, width: int, ranges: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Batch(width, ranges)
         for part in batches:
-            for k, r, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                held.add(k, r, t)
+            words, bounds = hash_texts(part.column(2))
+            for i, (k, r) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                held.add(k, r, words[bounds[i] : bounds[i + 1]])
                 if held.n >= BATCH_WORDS:
                     yield _batch_of(list(held.rows()))
                     held.clear()
@@ -127,15 +132,13 @@ def _mark_range(group: pa.Table) -> pa.Table:
     hashes, at, k, start, source = [], [], [], [], []
     batches = group.column("batch").to_pylist()
     for i, raw in enumerate(group.column("raw")):
-        deltas, places, table = unpack_many(raw.as_py())
-        ks, _, sizes = unpack_many(zlib.decompress(table))
-        ends = np.cumsum(unpack(sizes)).astype(np.int64)
-        places = unpack(places).astype(np.int64)
-        d = np.searchsorted(ends, places, "right")
+        deltas, places, offsets, least, ids = unpack_many(raw.as_py())
+        offsets, places = unpack_sorted(offsets).astype(np.int64), unpack(places).astype(np.int64)
+        d = np.searchsorted(offsets, places, "right") - 1
         hashes.append(unpack_sorted(deltas))
         at.append(places)
-        k.append(np.frombuffer(ks, np.int64)[d])
-        start.append(places - np.concatenate([[0], ends])[d])
+        k.append((unpack_sorted(ids) + np.frombuffer(least, np.uint64) - np.uint64(2**63)).view(np.int64)[d])
+        start.append(places - offsets[d])
         source.append(np.full(len(places), i, np.int32))
     hashes, at, k, start, source = (np.concatenate(x) for x in (hashes, at, k, start, source))
     order = np.argsort(hashes, kind="stable")

@@ -85,3 +85,47 @@ def test_similar_sets_share_a_signature(size, share, seed):
     raw = [np.frombuffer(jaccard.sketch(t), np.uint8) for t in (x, y)]
     least = min(map(len, raw))
     assert int(np.bitwise_count(jaccard.fold(raw[0], least) ^ jaccard.fold(raw[1], least)).sum()) <= len(x) + len(y) - 2 * both
+
+
+def test_hot_lists_in_blocks(spark, monkeypatch):
+    """Lists beyond HOT go through cells, and large ones through several blocks."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = random.Random(8)
+    word = lambda: f"V{rng.randrange(10**6)}"
+    passage = [word() for _ in range(12)]
+    rows = [(i, " ".join([*passage[: rng.randrange(7, 13)], *(word() for _ in range(rng.randrange(1, 6)))]), "") for i in range(60)]
+    rows += [(100 + i, " ".join([*passage, *([word()] * (i % 3))]), "") for i in range(30)]
+    rows += sample(6, 10, [6, 12, 30])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, jaccard.digest(df).collect()), key=str) == brute(rows)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(2, 300), st.floats(0, 1), st.integers(0, 2**32))
+def test_kept_signatures_still_meet(size, share, seed):
+    """Two similar sets keep a common signature when each gives up the widest shared ones within its spare allowances."""
+    rng = np.random.default_rng(seed)
+    partition = jaccard.Partition(3, 4)
+    x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+    gone = int(partition.most_apart(len(x), len(x)) * share) // 2
+    y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**64, gone, np.uint64)]))
+    both = len(np.intersect1d(x, y))
+    if 4 * both < 3 * (len(x) + len(y) - both):
+        return
+    width = {}
+    kept = []
+    for t in (x, y):
+        mine = {}
+        for space, spare, signatures in partition.signatures(t):
+            rows = {}
+            for s in signatures.tolist():
+                rows[s >> 2] = min(rows.get(s >> 2, (1, 9)), (s & 1, 1 + (s >> 1 & 1)))
+            order = sorted(rows, key=lambda s: (width.setdefault(s, int(rng.integers(0, 5))), s), reverse=True)
+            lost = 0
+            for s in order:
+                lost += rows[s][1]
+                if lost > spare:
+                    mine[s] = rows[s][0] == 0
+        kept.append(mine)
+    assert any(own or kept[1][s] for s, own in kept[0].items() if s in kept[1])
