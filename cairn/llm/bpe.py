@@ -204,7 +204,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-def map_ids(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str, columns: str, make: Callable[[Codec, list[bytes]], dict[str, list]]) -> DataFrame:
+def map_ids(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str, columns: str, make: Callable[[Codec, list[np.ndarray]], dict[str, list]]) -> DataFrame:
     """`keep` columns of df, and what make() gives for the ids of each row's whole text."""
     spark = df.sparkSession
     ship(spark)
@@ -217,27 +217,35 @@ def map_ids(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = make(own, [own.encode(t) for t in part.column(len(keep)).to_pylist()])
+                ids, bounds = own.encoder.encode_many(part.column(len(keep)))
+                made = make(own, [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(x) for x in made.values())], names=[*keep, *made])
 
     return source.mapInArrow(run, schema)
 
 
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(own: Codec, ids: list[np.ndarray]) -> dict[str, list]:
+    raw = [x.tobytes() for x in ids]
+    return {"n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in raw], "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in raw]}
+
+
 def encode_frame(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """df with `token_ids` (array of int, in text order); an own column of that name is replaced."""
     keep = [c for c in df.columns if c != "token_ids"]
-    make = lambda own, ids: {"token_ids": [np.frombuffer(x, "<u4").astype("<i4") for x in ids]}
+    make = lambda own, ids: {"token_ids": [x.astype("<i4") for x in ids]}
     return map_ids(df, ranks_path, pattern, keep, text, "token_ids array<int>", make)
 
 
 def digest_frame(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Round trip of every text: id, n_tokens, ids_sha256 and decoded_sha256."""
+    return map_ids(df, ranks_path, pattern, [id_column], text, DIGESTS, _digests)
 
-    def make(own: Codec, ids: list[bytes]) -> dict[str, list]:
-        return {
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
-        }
 
-    return map_ids(df, ranks_path, pattern, [id_column], text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+def encode_and_digest(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df without its text, with token_ids, and n_tokens, ids_sha256 and decoded_sha256 to hold them against; own columns of these names are replaced."""
+    keep = [c for c in df.columns if c not in (text, "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")]
+    make = lambda own, ids: {"token_ids": [x.astype("<i4") for x in ids]} | _digests(own, ids)
+    return map_ids(df, ranks_path, pattern, keep, text, f"token_ids array<int>, {DIGESTS}", make)

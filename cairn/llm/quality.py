@@ -159,13 +159,22 @@ def missing_words(rules: Rules, lang: str = "lang") -> Column:
     return (F.col("word_distance") > cutoff) & (F.element_at("__common", -1) > rests * F.col("n_words"))
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
+
+
 def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", known: dict | None = None) -> DataFrame:  # noqa: B008
-    """df's columns, the base counts, class_distance, word_distance, base_failed and kept."""
+    """df's columns, the base counts, class_distance, word_distance, base_failed and kept (RESULTS).
+
+    Columns of df named like a result are replaced; all others stay, whatever they are called.
+    """
     known = references(df, text, lang) if known is None else known
     if rules.word_share is not None:
         known = {name: (known[name][0] if name in known else None, shares) for name, shares in WORD_PROFILES.items()}
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"}
-    out = with_common(base_counts(df.select(*[c for c in df.columns if c not in clash]), text), lang)
+    # df's columns wait under other names, so that none clashes with a name used here.
+    own = {f"__own{i}": c for i, c in enumerate(df.columns) if c not in RESULTS}
+    held = df.select(*[F.col(f"`{c}`").alias(o) for o, c in own.items()], F.col(text).alias("__text"), F.col(lang).alias("__lang"))
+    lang = "__lang"
+    out = with_common(base_counts(held, "__text"), lang)
     classes, common = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
     for name, (c, w) in known.items():
         classes = F.when(F.col(lang) == name, F.array(*map(F.lit, c))).otherwise(classes) if c else classes
@@ -177,4 +186,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str =
     wrong_words = F.col("word_distance") > rules.word_distance if rules.word_share is None else missing_words(rules, lang)
     far = F.coalesce(F.col("class_distance") > rules.char_distance, F.lit(False)) | F.coalesce(wrong_words, F.lit(False))
     out = out.withColumn("kept", ~F.col("base_failed") & ~far)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    # A row's number is not deterministic, so a filter on the result stays above this projection and nothing is computed twice.
+    made = F.struct(*RESULTS, F.monotonically_increasing_id().alias("row"))
+    out = out.select(*own, made.alias("__made"))
+    return out.select(*[F.col(o).alias(c) for o, c in own.items()], *[F.col(f"__made.{c}").alias(c) for c in RESULTS])

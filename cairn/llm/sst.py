@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,7 +38,7 @@ from tokenizers import Tokenizer
 
 from cairn.llm.bpe import read_vocabulary
 from cairn.llm.chunks import PieceEncoder, latin_word
-from cairn.session import scan_bytes, scratch_path, ship
+from cairn.session import drop_path, scan_bytes, scratch_path, ship, staged
 
 MAGIC = b"CRNSST1\n"
 FOOTER = struct.Struct("<QQQQQQIB8s")
@@ -135,9 +136,9 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads one shard file."""
+    """Reads one shard file, block by block."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes | memoryview):
         self.raw = raw
         self.index_at, index_n, self.bloom_at, self.bloom_n, self.docs, self.tokens, self.shard, self.width, magic = FOOTER.unpack(raw[-FOOTER.size - PAD : -PAD])
         if magic != MAGIC:
@@ -147,13 +148,13 @@ class Shard:
         at = self.index_at
         while at < self.index_at + index_n:
             n = raw[at]
-            self.first_keys.append(raw[at + 1 : at + 1 + n])
+            self.first_keys.append(bytes(raw[at + 1 : at + 1 + n]))
             self.blocks.append(struct.unpack_from("<QQ", raw, at + 1 + n))
             at += n + 17
 
     def entries(self, block: int) -> Iterator[tuple[bytes, bytes]]:
         offset, n = self.blocks[block]
-        raw = self.raw[offset : offset + n]
+        raw = bytes(self.raw[offset : offset + n])
         if zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
             raise ValueError(f"block {block} of shard {self.shard} is damaged")
         at, key = 0, b""
@@ -202,7 +203,7 @@ class LibraryEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.pieces = PieceEncoder(self._piece)
+        self.pieces = PieceEncoder(self._piece, limit=1_000_000)
         self.width = 2 if self.own.get_vocab_size() <= 65536 else 4
 
     def _whole(self, text: str) -> bytes:
@@ -221,6 +222,14 @@ class LibraryEncoder:
         return self._whole(text) if text and any(s in text for s in self.specials) else self.pieces.encode(text)
 
 
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an array of texts as one array, and the bounds of each text's ids in it."""
+        held = np.zeros(len(texts), bool)
+        for s in self.specials:
+            held |= np.asarray(pc.fill_null(pc.match_substring(texts, s), False))
+        return self.pieces.encode_many(texts, {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(held).tolist()})
+
+
 _encoders: dict[str, LibraryEncoder] = {}
 
 
@@ -248,20 +257,20 @@ def write_shards(df: DataFrame, path: str, vocabulary_path: str, end_id: int, id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = library_encoder(vocabulary.value)
-        end = np.array([end_id], "<u4").tobytes()
+        width = own.width if end_id < 65536 else 4
+        end = np.array([end_id], f"<u{width}").tobytes()
         writer = None
-        rows: list[bytes] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                keys, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for at in range(0, batch.num_rows, 512):
+                part, rows = batch.slice(at, 512), []
                 if writer is None:
-                    writer = ShardWriter(TaskContext.get().partitionId(), own.width if end_id < 65536 else 4)
-                for key, t in zip(keys, texts, strict=True):
-                    value = np.frombuffer(own.encode(t) + end, "<u4").astype(f"<u{writer.width}").tobytes()
-                    rows += writer.add(key_of(key), value)
+                    writer = ShardWriter(TaskContext.get().partitionId(), width)
+                ids, bounds = own.encode_many(part.column(1))
+                ids = ids.astype(f"<u{width}")
+                for i, key in enumerate(part.column(0).to_pylist()):
+                    rows += writer.add(key_of(key), ids[bounds[i] : bounds[i + 1]].tobytes() + end)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["raw"])
-                    rows = []
         if writer is not None:
             yield pa.RecordBatch.from_arrays([pa.array(list(writer.finish()), pa.binary())], names=["raw"])
 
@@ -274,17 +283,17 @@ def _scan(spark: SparkSession, path: str, make: Callable[[Shard], dict[str, pa.A
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                made = make(Shard(raw.as_py()))
+                made = make(Shard(memoryview(raw.as_buffer())))
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     return files.mapInArrow(run, schema)
 
 
 def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
-    """Per document, from the files: id, start (ids of all documents before it), n_tokens, ids_crc32.
+    """Staged, per document, from the files: id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Starts are sums of two levels: within a shard as it is read, and over shards' footers by groups of 1,000
-    shards, so no task sees more than a thousandth of the shards.
+    Files are read once, one a batch. Starts are sums of two levels: within a shard as it is read, and over the
+    shards' totals by groups of 1,000 shards, so no task sees more than a thousandth of the shards.
     """
 
     def documents(shard: Shard) -> dict[str, pa.Array]:
@@ -300,15 +309,12 @@ def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> D
             "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()),
         }
 
-    def footers(shard: Shard) -> dict[str, pa.Array]:
-        return {"shard": pa.array([shard.shard], pa.int64()), "total": pa.array([shard.tokens], pa.int64())}
-
-    totals = _scan(spark, path, footers, "shard bigint, total bigint").withColumn("bunch", F.floor(F.col("shard") / 1000))
+    found = staged(_scan(spark, path, documents, f"shard bigint, `{id_column}` bigint, start_in bigint, n_tokens bigint, ids_crc32 bigint"), "sst-documents")
+    totals = found.groupBy("shard").agg(F.max(F.col("start_in") + F.col("n_tokens")).alias("total")).withColumn("bunch", F.floor(F.col("shard") / 1000))
     before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = totals.withColumn("in_bunch", before(Window.partitionBy("bunch").orderBy("shard")))
     bunches = totals.groupBy("bunch").agg(F.sum("total").alias("total")).withColumn("to_bunch", before(Window.partitionBy(F.lit(0)).orderBy("bunch"))).drop("total")
     offsets = within.join(bunches, "bunch").select("shard", (F.col("in_bunch") + F.col("to_bunch")).alias("offset"))
-    found = _scan(spark, path, documents, f"shard bigint, `{id_column}` bigint, start_in bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(offsets, "shard").select(id_column, (F.col("offset") + F.col("start_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -319,7 +325,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> list[tu
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                shard = Shard(raw.as_py())
+                shard = Shard(memoryview(raw.as_buffer()))
                 hits = [(d, ids.astype("<i4")) for d in wanted for ids in shard.lookup(d)]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -331,4 +337,6 @@ def round_trip(df: DataFrame, vocabulary_path: str, end_id: int, id_column: str
     """Write df as shards in the shared folder and return what the files say of each document."""
     path = scratch_path(df.sparkSession, "sst")
     write_shards(df, path, vocabulary_path, end_id, id_column, text)
-    return read_digests(df.sparkSession, path, id_column)
+    found = read_digests(df.sparkSession, path, id_column)
+    drop_path(df.sparkSession, path)
+    return found
