@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, the number of ids and the SHA-256 of the decoded bytes."""
-    return bpe.digest_frame(docs, RANKS, public_tokenizers.PATTERN)
+    """Documents' token ids in place of their texts, with their number and the SHA-256 of the ids and of the decoded bytes."""
+    return bpe.encode_and_digest(docs, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [
