@@ -1,16 +1,20 @@
 """Main text of HTML pages, with removal of templates that recur over a host's pages.
 
 Pages are parsed twice. First every container element's subtree (tag, class, children, text) is hashed, and Spark
-counts in how many different pages of its host each hash occurs. Subtrees that occur in at least MIN_PAGES pages
-and MIN_SHARE of the host's pages are templates. Then pages are parsed again and their text is taken without
-templates, and without elements that are not content by tag, role or class name.
-
-The text comes from the article elements that are not inside another or, in this order of preference, from main,
-or from the body. Inside an article only containers can be templates: paragraphs that many articles quote stay.
-Blocks are joined by one space; white space inside is one space; character references are decoded.
-
-Null html is an empty text. Pages with null or hostless urls have no template removal. Equal pages of a host
-count once, so copies do not make each other's text a template. Repeated rows and clashing columns do not matter.
+counts in how many different articles of its host each hash occurs; an article is known by its three longest blocks
+of text, so near copies of one article count once. Subtrees that occur in at least MIN_PAGES articles and MIN_SHARE
+of the host's articles are templates. Each page is joined to those of its own subtrees that are templates, so a row
+carries no more than its page holds. Then pages are parsed again and their text is taken without templates, and
+without elements that are not content by tag, role or class name. A template that holds two thirds of the text, or
+a container with a doubtful class name that holds half of it, stays: that is the article.
+
+The text comes from the article elements that are not inside another, if they hold half of the text of main (a
+quarter of the body's without main); else from main, or from the body. Inside an article only containers can be
+templates: paragraphs that many articles quote stay. Blocks are joined by one space; white space inside is one space;
+character references are decoded. Raw elements without an end tag end where they begin, script and style with the page.
+
+Null html is an empty text. Pages with null or hostless urls have no template removal. Repeated rows and clashing
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ MIN_PAGES, MIN_SHARE = 4, 0.1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|textarea|title|svg|math|object)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<\Z",
     re.S | re.I,
 )
+#: Elements whose content is not markup of the page; the first two run to the page's end where they are not closed.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object")}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
@@ -51,11 +56,13 @@ IMPLIED = {
 NOT_CONTENT = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "input", "label", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|adbox|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|banner|newsletter|subscribe|subscription"
-    r"|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|topbar|comment|comments|commentlist|disqus|reply|replies|respond|discussion"
-    r"|share|sharing|social|related|recommended|recommendations|popup|modal|overlay|widget|toolbar|login|signup|paywall|skip-link)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|adbox|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|banner|newsletter|subscribe|subscription"
+    r"|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|topbar|comment|comments|commentlist|disqus|reply|replies|respond"
+    r"|sharing|social|recommended|recommendations|popup|modal|overlay|toolbar|login|signup|paywall|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: Names that an article's own parts may have as well.
+_DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:alert|discussion|related|share|widget)(?:$|[\s_-])", re.I)
 
 
 class Node:
@@ -80,15 +87,15 @@ class Node:
 def parse(html: str) -> Node:
     """The page's element tree; unclosed elements end where HTML implies it, unmatched ends are passed over."""
     root = Node("#page")
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(html):
+    stack, at, endless = [root], 0, set()
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             stack[-1].children.append(unescape(html[at : m.start()]))
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if m[2] or m[5]:
+        if m[1] or m[4]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -96,13 +103,25 @@ def parse(html: str) -> Node:
                 if stack[i].tag in ("article", "main") and tag in ("p", "div", "b", "i", "span", "a", "em", "strong"):
                     break
             continue
+        attributes = m[3] or m[6] or ""
+        if tag in RAW:
+            if tag in ("svg", "math") and attributes.endswith("/"):
+                continue
+            end = None if tag in endless else RAW[tag].search(html, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                return root
+            else:
+                endless.add(tag)
+            continue
         if tag in CLOSES_P:
             _end(stack, {"p"}, {"article", "main", "table", "button", "div", "section", "td", "th", "li", "blockquote"})
         if tag in IMPLIED:
             _end(stack, *IMPLIED[tag])
         if tag == "body":
             _end(stack, {"head"}, set())
-        node = Node(tag, m[4] or m[7] or "")
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag not in VOID and not node.attributes.endswith("/"):
             stack.append(node)
@@ -147,6 +166,42 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
+def article_key(root: Node) -> int:
+    """A hash of the three longest blocks of content, by which copies and near copies of an article are one."""
+    blocks, parts, stack = [], [], [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+            continue
+        if x is _BREAK or x.tag in BLOCKS:
+            if parts:
+                blocks.append(" ".join("".join(parts).split()))
+                parts = []
+            if x is _BREAK:
+                continue
+            stack.append(_BREAK)
+        stack += [c for c in reversed(x.children) if isinstance(c, str) or is_content(c, True)]
+    blocks.append(" ".join("".join(parts).split()))
+    longest = sorted(set(blocks), key=lambda t: (-len(t), t))[:3]
+    return xxhash.xxh3_64_intdigest("\1".join(longest).encode("utf-8", "surrogatepass")) - 2**63
+
+
+_BREAK = Node("#break")
+
+
+def text_size(root: Node) -> int:
+    """Characters of text in a subtree, white space left out."""
+    size, stack = 0, [root]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                stack.append(c)
+            else:
+                size += sum(map(len, c.split()))
+    return size
+
+
 def is_content(node: Node, inside: bool) -> bool:
     """Whether an element is content by tag, role, class name and visibility; inside: below an article or main."""
     tag = node.tag
@@ -159,6 +214,11 @@ def is_content(node: Node, inside: bool) -> bool:
     return not _NAMES.search(node.get("class")) and not _NAMES.search(node.get("id"))
 
 
+def is_doubtful(node: Node) -> bool:
+    """Whether a container has a class name or id that may mean a box beside the article."""
+    return node.tag in CONTAINERS and bool(node.attributes) and bool(_DOUBTFUL.search(node.get("class")) or _DOUBTFUL.search(node.get("id")))
+
+
 def _find(root: Node, tag: str) -> list[Node]:
     """Content elements of a tag in page order, those inside another left out."""
     out, stack = [], [root]
@@ -171,21 +231,23 @@ def _find(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """A page's main text without elements whose hash is in templates."""
-    root = parse(html or "")
-    hashes = subtree_hashes(root) if templates else {}
-    roots = _find(root, "article") or _find(root, "main") or [root]
+def _text_of(roots: list[Node], inside: bool, hashes: dict[int, int], templates: frozenset[int] | set[int]) -> str:
     parts: list[str] = []
     stack: list[Node | str] = list(reversed(roots))
-    inside = roots[0] is not root
     first = {id(r) for r in roots}
+    total: list[int] = []
+
+    def holds(x: Node, share: float) -> bool:
+        if not total:
+            total.append(sum(map(text_size, roots)))
+        return text_size(x) >= share * total[0]
+
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        if id(x) not in first and (not is_content(x, inside) or hashes.get(id(x)) in templates):
+        if id(x) not in first and (not is_content(x, inside) or hashes.get(id(x)) in templates and not holds(x, 2 / 3) or is_doubtful(x) and not holds(x, 1 / 2)):
             if x.tag in BLOCKS:
                 parts.append(" ")
             continue
@@ -198,6 +260,20 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     return " ".join("".join(parts).split())
 
 
+def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """A page's main text without elements whose hash is in templates."""
+    root = parse(html or "")
+    hashes = subtree_hashes(root) if templates else {}
+    articles, main = _find(root, "article"), _find(root, "main")
+    whole = _text_of(main or [root], bool(main), hashes, templates) if main or not articles else ""
+    if not articles:
+        return whole
+    text = _text_of(articles, True, hashes, templates)
+    if not main:
+        whole = _text_of([root], False, hashes, templates)
+    return text if len(text) >= len(whole) / (2 if main else 4) else whole
+
+
 def host_of(url: Column) -> Column:
     """The lower-case host of a URL, null without one."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -205,7 +281,7 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Staged (host, hashes): for each host that has any, the hashes of its recurring subtrees."""
+    """Staged (host, page, hashes): for each page (by the hash of its html) that has any, its own subtrees that recur over its host."""
     ship(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit(""))
     source = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(body).alias("page"), body.alias("html")).where("host is not null")
@@ -213,25 +289,30 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(at, 64), []
+                part, rows = batch.slice(at, 64), set()
                 for host, page, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    rows += [(host, page, h) for h in {None, *subtree_hashes(parse(text)).values()}]
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["host", "page", "hash"])
-
-    seen = source.mapInArrow(run, "host string, page bigint, hash bigint").distinct()
-    counts = staged(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "subtrees")
+                    root = parse(text)
+                    key = article_key(root)
+                    rows |= {(host, page, key, h) for h in {None, *subtree_hashes(root).values()}}
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "article", "hash"])
+
+    seen = staged(source.mapInArrow(run, "host string, page bigint, article bigint, hash bigint").distinct(), "subtrees")
+    counts = seen.select("host", "article", "hash").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     totals = counts.where("hash is null").select("host", F.col("n").alias("total"))
-    found = counts.where("hash is not null").join(totals, "host").where(F.col("n") >= min_share * F.col("total"))
-    out = staged(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
-    unstage(counts)
+    found = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(totals, "host").where(F.col("n") >= min_share * F.col("total")).select("host", "hash")
+    out = staged(seen.join(found, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("hashes")), "templates")
+    unstage(seen)
     return out
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Per page: id, url, text, n_chars. The templates are joined by host, broadcast only if Spark finds them small."""
-    found = templates(pages, url, html, min_pages, min_share).select(F.col("host").alias("__host"), "hashes")
-    joined = pages.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("__host")).join(found, "__host", "left").select("id", "url", "html", "hashes")
+    """Per page: id, url, text, n_chars. Pages are joined to their templates by host and hash of the page; many copies of one page are one key, which AQE splits."""
+    found = templates(pages, url, html, min_pages, min_share).select(F.col("host").alias("__host"), F.col("page").alias("__page"), "hashes")
+    page = F.xxhash64(F.coalesce(F.col(html), F.lit("")))
+    source = pages.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("__host"), page.alias("__page"))
+    joined = source.join(found, ["__host", "__page"], "left").select("id", "url", "html", "hashes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

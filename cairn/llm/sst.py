@@ -203,7 +203,7 @@ class LibraryEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.pieces = PieceEncoder(self._piece, limit=1_000_000)
+        self.pieces = PieceEncoder(self._piece, limit=600_000)
         self.width = 2 if self.own.get_vocab_size() <= 65536 else 4
 
     def _whole(self, text: str) -> bytes:

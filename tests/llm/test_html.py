@@ -40,3 +40,60 @@ def test_synthetic_pages_keep_their_articles(spark):
         body = re.sub(r"</article>.*", "", source[r.page_id].partition("<article>")[2], flags=re.S)
         want = " ".join(unescape(re.sub(r"<[^>]*>?", lambda m: "" if m[0] in ("<b>", "</b>") else " ", body)).split())
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_near_copies_keep_their_article(spark):
+    body = "<p>" + "</p><p>".join(f"paragraph {k} " + "of the whole article " * 6 for k in range(5)) + "</p>"
+    short = '<article><h1>T</h1><div class="body"><p>the whole article body</p></div><div>Buy {}</div></article>'
+    long = '<article><h1>T</h1><div class="lead">{0}</div><div class="rest">' + body + "</div><div>Buy {1}</div></article>"
+    rows = [(i, "http://a.example/", short.format(f"item {i}")) for i in range(6)]
+    rows += [(10 + i, "http://b.example/", long.format("<p>a longer lead of this article</p>", f"item {i}")) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T the whole article body Buy item {i}" for i in range(6))
+    assert all(got[10 + i].startswith("T a longer lead") and got[10 + i].count("whole article") == 30 for i in range(6))
+
+
+def brute_templates(rows):
+    """(host, page) -> recurring subtrees, counted with plain sets."""
+    seen = {}
+    for _, url, text in rows:
+        host = re.match(r"http://([^/]*)", url)[1]
+        root = html.parse(text)
+        seen.setdefault(host, []).append((text, html.article_key(root), set(html.subtree_hashes(root).values())))
+    out = {}
+    for host, pages in seen.items():
+        articles = {}
+        for _, key, hashes in pages:
+            for h in {None, *hashes}:
+                articles.setdefault(h, set()).add(key)
+        for text, _, hashes in pages:
+            found = {h for h in hashes if len(articles[h]) >= max(html.MIN_PAGES, html.MIN_SHARE * len(articles[None]))}
+            if found:
+                out[host, text] = found
+    return out
+
+
+def test_template_counts(spark):
+    rng = __import__("random").Random(7)
+    parts = [f'<div class="c{k}"><p>part {k}</p><ul><li>{k}</li></ul></div>' for k in range(30)]
+    rows = [(i, f"http://h{i % 3}.example/x", "<body><article><p>story " + f"{rng.randrange(60)}</p>" + "".join(rng.sample(parts, 5)) + "</article></body>") for i in range(160)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    from pyspark.sql import functions as F
+
+    named = {r.h: r.html for r in df.select(F.xxhash64("html").alias("h"), "html").collect()}
+    got = {(r.host, named[r.page]): set(r.hashes) for r in html.templates(df).collect()}
+    assert got == brute_templates(rows) and got
+
+
+def test_odd_markup():
+    assert html.main_text('<article><p>One <svg class="i"/> two</p><p>three</p></article>') == "One two three"
+    assert html.main_text("<article><p>a<noscript>b</p><p>c</p></article>") == "ab c"
+    assert html.main_text("<article><p>a<svg><text>x</text></svg>b</p></article>") == "ab"
+    assert html.main_text("<article><p>a</p><script>if (x) {") == "a"
+    teasers = "".join(f"<article><h2>Teaser {i}</h2></article>" for i in range(3))
+    assert html.main_text(f"<main><p>{'The story itself goes on and on. ' * 20}</p>{teasers}</main>").startswith("The story itself")
+    part = "<article><p>Intro</p><div class='{}'><p>" + "The main section of the paper. " * 5 + "</p></div></article>"
+    assert all("main section" in html.main_text(part.format(n)) for n in ("discussion", "alert", "related", "widget", "share"))
+    assert html.main_text("<article><p>" + "Story. " * 9 + "</p><div class='related'>More</div></article>") == ("Story. " * 9).strip()
+    assert html.main_text("<article><p>" + "x" * 300_000 + " <a href='" + "y" * 300_000 + "'>z</a></p>") == "x" * 300_000 + " z"
+    assert html.main_text("<object>" * 20_000 + "end") == "end"
