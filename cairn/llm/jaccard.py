@@ -47,6 +47,8 @@ BATCH_SIGNATURES = 1_500_000
 RANGE_BYTES = 8 << 20  # stored input for each range of signatures
 HOT = 64
 BLOCK = 2048
+#: Up to so many places of classes (some 30 bytes each) are broadcast to the texts; beyond, texts are shuffled to them.
+BROADCAST_HOMES = 1_000_000
 SALT = 500
 
 
@@ -253,9 +255,10 @@ def _sets(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, keyed:
         used = used.join(known.select("c"), "c", "left_anti")
     keys = ["__k", "z", "__r"]
     homes = staged(classes.select("c", F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r").join(used, "c"), "homes")
-    if not homes.take(1):
+    n_homes = homes.count()
+    if not n_homes:
         return known if known is not None else homes.select("c", F.lit(b"").alias("tokens"))
-    found = keyed.select(F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r", "__t").join(homes, keys)
+    found = keyed.select(F.coalesce("__k", F.lit(0)).alias("__k"), F.col("__k").isNull().alias("z"), "__r", "__t").join(F.broadcast(homes) if n_homes <= BROADCAST_HOMES else homes, keys)
     # Repeated rows give a set once; the window uses the join's partitioning and order.
     once = found.withColumn("same", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("same = 1")
     made = staged(once.select("c", "__t").mapInArrow(make, "c bigint, tokens binary"), "sets")

@@ -2,7 +2,8 @@
 
 Each source has a target share of the output; its mean repetition rate is share * total size / own size. For
 every document a uniform number is taken from a seeded hash of its id, and the Poisson distribution of that mean
-is inverted at it: the count is the number of distribution steps at or below the number. The document is
+is inverted at it: the count is the number of distribution steps at or below the number. A rate above LARGE_RATE
+is the sum of several draws of equal rates up to it, each with its own hash, so every rate works. The document is
 exploded by its count and all copies are dealt and sorted by a hash of (id, text, copy), a global shuffle.
 
 Null source is a source of its own, null ids hash as the empty string, null text weighs nothing but its row is
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from cairn.session import scan_bytes, staged
 
-#: A rate above this is refused: its distribution has no steps that double precision can add up from zero.
-MAX_RATE = 500.0
+#: A rate above this is dealt to several draws: its own distribution has no steps that double precision can add up from zero.
+LARGE_RATE = 500.0
 #: Sources up to this many are broadcast with their steps (under 10 MB); more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -52,18 +53,21 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, a
     docs = docs.select(*[c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")])
     rates = source_rates(docs, weights, alpha, source, text)
     # The distribution's steps as an array of (term, sum), each term from the one before.
-    n = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    grow = lambda a, k: F.struct((a["term"] * F.col("rate") / k).alias("term"), (a["sum"] + a["term"] * F.col("rate") / k).alias("sum"), F.concat(a["all"], F.array(a["sum"] + a["term"] * F.col("rate") / k)).alias("all"))
-    first = F.exp(-F.col("rate"))
-    checked = F.when(F.col("rate") <= MAX_RATE, n).otherwise(F.raise_error(F.lit(f"a repetition rate is above {MAX_RATE}")).cast("int"))
-    steps = F.aggregate(F.sequence(F.lit(1), checked), F.struct(first.alias("term"), first.alias("sum"), F.array(first).alias("all")), grow, lambda a: a["all"])
-    small = rates.select(F.col("source").alias("__source"), "rate", steps.alias("__steps"))
+    draws = F.greatest(F.ceil(F.col("rate") / LARGE_RATE), F.lit(1))
+    rate = F.col("rate") / draws
+    n = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    grow = lambda a, k: F.struct((a["term"] * rate / k).alias("term"), (a["sum"] + a["term"] * rate / k).alias("sum"), F.concat(a["all"], F.array(a["sum"] + a["term"] * rate / k)).alias("all"))
+    first = F.exp(-rate)
+    steps = F.aggregate(F.sequence(F.lit(1), n), F.struct(first.alias("term"), first.alias("sum"), F.array(first).alias("all")), grow, lambda a: a["all"])
+    small = rates.select(F.col("source").alias("__source"), "rate", draws.cast("int").alias("__draws"), steps.alias("__steps"))
     if rates.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)
     joined = docs.join(small, F.col(source).eqNullSafe(F.col("__source")))
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     joined = joined.withColumn("__u", uniform(key, seed))
-    count = F.size(F.filter("__steps", lambda s: s < F.col("__u")))
+    below = lambda u: F.size(F.filter("__steps", lambda s: s < u))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__draws")), F.lit(0), lambda a, j: a + below(uniform(F.concat(key, F.lit(":"), j.cast("string")), seed)))
+    count = below(F.col("__u")) + F.when(F.col("__draws") > 1, more).otherwise(F.lit(0))
     out = joined.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     out = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), key, F.coalesce(F.col(text), F.lit("")), "copy"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, scan_bytes(docs) // (8 << 20))

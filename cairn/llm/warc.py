@@ -61,16 +61,21 @@ def member(raw: bytes, level: int = 5) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def inflate(raw: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The inflated bytes of all members of a gzip file, in chunks."""
-    while raw:
+def inflate(raw: bytes | memoryview, chunk: int = 1 << 20, feed: int = 1 << 14) -> Iterator[bytes]:
+    """The inflated bytes of all members of a gzip file, in chunks. The file is fed in slices, so its length counts once."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
         d = zlib.decompressobj(31)
-        while not d.eof and raw:
-            yield d.decompress(raw, chunk)
-            raw = d.unconsumed_tail
-        if not d.eof:
-            raise ValueError("the gzip stream ends early")
-        raw = d.unused_data
+        while not d.eof:
+            part = d.unconsumed_tail
+            if not part:
+                if at >= len(view):
+                    raise ValueError("the gzip stream ends early")
+                part = view[at : at + feed]
+                at += len(part)
+            if out := d.decompress(part, chunk):
+                yield out
+        at -= len(d.unused_data)
 
 
 def headers_of(head: bytes) -> dict[str, str]:
@@ -172,7 +177,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
                     raw = [b"".join(members), member("".join(lines).encode())]
                     return pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([f"{name}-{piece}"] * 2), pa.array(["warc", "cdx"])], names=["raw", "archive", "kind"])
 
-                for record in records(inflate(content.as_py())):
+                for record in records(inflate(content.as_buffer())):
                     headers, _ = parse(record)
                     members.append(member(record))
                     lines.append(f"{headers['warc-record-id']} {headers['warc-type']} {at} {len(members[-1])}\n")
@@ -194,7 +199,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for record in records(inflate(content.as_py())):
+                for record in records(inflate(content.as_buffer())):
                     headers, payload = parse(record)
                     if headers["warc-type"] == "warcinfo":
                         continue

@@ -91,6 +91,7 @@ def test_hot_lists_in_blocks(spark, monkeypatch):
     """Lists beyond HOT go through cells, and large ones through several blocks."""
     monkeypatch.setattr(jaccard, "HOT", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_HOMES", 0)
     rng = random.Random(8)
     word = lambda: f"V{rng.randrange(10**6)}"
     passage = [word() for _ in range(12)]

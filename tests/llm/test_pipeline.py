@@ -66,3 +66,11 @@ def test_base_counts(spark):
     assert (got[3].n_symbols, got[3].n_dup_lines, got[3].word_chars) == (2, 1, 7)
     assert not got[1].kept and got[1].base_failed and got[4].base_failed
     assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_rates_beyond_one_draw(spark):
+    """A tiny source beside a huge weight is replicated, not refused."""
+    rows = [(i, "x" * 50, None, "big", 0) for i in range(400)] + [(1000 + i, "y", None, "tiny", 0) for i in range(5)]
+    got = mixing.replicate(spark.createDataFrame(rows, SCHEMA), {"big": 1, "tiny": 1}).where("source = 'tiny'").groupBy("doc_id", "rate").count().collect()
+    assert {r.rate for r in got} == {2000.5} and len(got) == 5
+    assert all(abs(r["count"] / 2000 - 1) < 0.15 for r in got) and len({r["count"] for r in got}) > 1
