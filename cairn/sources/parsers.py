@@ -141,6 +141,32 @@ def project_file(files: DataFrame) -> DataFrame:
     return files.select(normal_path(F.col("path")).alias("path"), F.regexp_extract("path", r"([^/\\]*)\.\w+proj$", 1).alias("name"), (test | F.exists(packages, lambda p: F.lower(p) == "microsoft.net.test.sdk") | by_name).alias("is_test"), F.filter(frameworks, lambda f: f != "").alias("target_frameworks"), F.transform(literal, normal_path).alias("project_references"), packages.alias("packages"))
 
 
+def evaluation(files: DataFrame) -> DataFrame:
+    """Project rows of build evaluation JSON (Properties, Items): frameworks, sources, references, and whether it is a test project.
+
+    A test project says so, or has the test SDK package, or is named so.
+    """
+    item = "array<struct<Identity:string>>"
+    schema = f"struct<Properties:map<string,string>,Items:struct<Compile:{item},ProjectReference:{item},PackageReference:{item}>>"
+    x = files.select(normal_path(F.col("path")).alias("path"), F.from_json("content", schema).alias("x"))
+    value = lambda k: F.coalesce(F.element_at("x.Properties", k), F.lit(""))
+    names = lambda k: F.transform(F.coalesce(F.col(f"x.Items.{k}.Identity"), F.array().cast("array<string>")), normal_path)
+    own = F.regexp_extract("path", r"([^/]*)\.\w+$", 1)
+    frameworks = F.filter(F.split(F.when(value("TargetFrameworks") != "", value("TargetFrameworks")).otherwise(value("TargetFramework")), ";"), lambda f: f != "")
+    test = (F.lower(value("IsTestProject")) == "true") | F.exists(names("PackageReference"), lambda p: F.lower(p) == "microsoft.net.test.sdk") | F.lower("path").rlike(r"tests?\.\w+proj$")
+    return x.select("path", F.when(value("AssemblyName") != "", value("AssemblyName")).otherwise(own).alias("name"), test.alias("is_test"), frameworks.alias("target_frameworks"), names("Compile").alias("source_files"), names("ProjectReference").alias("project_references"), names("PackageReference").alias("packages"))
+
+
+def resolved_references(files: DataFrame) -> DataFrame:
+    """path, kind (ReferencePath, Analyzer, Using), position, item: by file name and then by path, so that machines agree."""
+    item = "array<struct<Identity:string>>"
+    kinds = ["ReferencePath", "Analyzer", "Using"]
+    x = files.select("path", F.from_json("content", f"struct<Items:struct<{','.join(f'{k}:{item}' for k in kinds)}>>")["Items"].alias("i"))
+    named = lambda k: F.transform(F.array_sort(F.transform(F.col(f"i.{k}.Identity"), lambda p: F.struct(F.regexp_extract(p, r"([^/\\\\]*)$", 1).alias("n"), p.alias("p")))), lambda s: s["p"])
+    rows = x.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), named(k).alias("items")) for k in kinds])).alias("g"))
+    return rows.select("path", "g.kind", F.posexplode("g.items").alias("position", "item")).withColumn("position", (F.col("position") + 1).cast("long"))
+
+
 def markup_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Component uses and bindings in markup: source, target identity (three candidates at most, own project first), kind, line."""
     from cairn.functions.text import line_of
