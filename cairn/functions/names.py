@@ -73,7 +73,7 @@ def signed_delta(delta: Column, decimals: int | None = None, suffix: str = "") -
     shown = F.abs(delta).cast("string") if decimals is None else F.format_string(f"%.{decimals}f", F.round(F.abs(delta), decimals))
     zero = "0" if decimals is None else f"{0:.{decimals}f}"
     sign = F.when(shown == zero, "").when(delta > 0, "+").otherwise("-")
-    return F.coalesce(F.concat(F.lit(" ("), sign, shown, F.lit(f"{suffix})")), F.lit(""))
+    return F.when(delta.isNotNull(), F.concat(F.lit(" ("), sign, shown, F.lit(f"{suffix})"))).otherwise(F.lit(""))
 
 
 def escaped_test(name: Column) -> Column:

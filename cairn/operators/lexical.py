@@ -49,8 +49,10 @@ def score(symbols: DataFrame, query: str, terms: list[str], weights: Weights = W
         points = lambda w, t=t: F.lit(round(w * rarity(n, df[t])))  # noqa: E731  Python rounds half to even
         name = F.when(F.array_contains("__name", t), points(weights.name_word)).when(F.lower("name").contains(t), points(weights.name_part)).when(F.array_contains("__semantic", t), points(weights.semantic_word)).otherwise(0)
         total = total + name + F.when(F.array_contains("__file", t), points(weights.file_word)).otherwise(0)
-    scored = worded.withColumn("score", total).drop("__name", "__semantic", "__file")
-    return scored.where("score > 0").withColumn("score", (F.col("score") + F.when(F.col("kind").isin("method", "test"), weights.executable).otherwise(0)).cast("long"))
+    # A row's number is not deterministic, so the filter stays above this projection and the words are found once.
+    scored = worded.withColumn("__m", F.struct(total.alias("score"), F.monotonically_increasing_id().alias("row"))).where("__m.score > 0")
+    bonus = F.when(F.col("kind").isin("method", "test"), weights.executable).otherwise(0)
+    return scored.withColumn("score", (F.col("__m.score") + bonus).cast("long")).drop("__m", "__name", "__semantic", "__file")
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
@@ -69,10 +71,12 @@ def scan_lines(files: DataFrame, terms: list[str], key: str, text: str, hits: in
     df = files.select(key, lines.alias("__lines"))
     weight = {t: 40 if len(t) >= 10 else 10 for t in terms}
     line_weight = lambda x: sum((F.when(x.contains(t), w).otherwise(0) for t, w in weight.items()), F.lit(0))
-    df = df.withColumn("__weights", F.transform("__lines", line_weight))
     holding = lambda t: F.size(F.filter("__lines", lambda x: x.contains(t)))
-    counts = {t: holding(t) for t in terms}
-    total = sum((F.least(c, F.lit(hits)) * weight[t] for t, c in counts.items()), F.lit(0))
-    distinct = sum((F.when(c > 0, 1).otherwise(0) for c in counts.values()), F.lit(0))
-    df = df.withColumn("distinct_terms", distinct).withColumn("file_score", total + 15 * F.col("distinct_terms"))
-    return df.where("distinct_terms > 0").select(key, F.col("file_score").cast("long"), F.array_position("__weights", F.array_max("__weights")).cast("long").alias("best_line"), F.col("distinct_terms").cast("long"))
+    df = df.withColumn("__weights", F.transform("__lines", line_weight)).withColumn("__counts", F.array(*map(holding, terms)).cast("array<int>"))
+    count = [F.get("__counts", F.lit(i)) for i in range(len(terms))]
+    distinct = sum((F.when(c > 0, 1).otherwise(0) for c in count), F.lit(0))
+    total = sum((F.least(c, F.lit(hits)) * weight[t] for t, c in zip(terms, count, strict=True)), F.lit(0)) + 15 * distinct
+    best = F.array_position("__weights", F.array_max("__weights"))
+    # A row's number is not deterministic, so the filter stays above this projection and the lines are scanned once.
+    made = F.struct(total.cast("long").alias("file_score"), best.cast("long").alias("best_line"), distinct.cast("long").alias("distinct_terms"), F.monotonically_increasing_id().alias("row"))
+    return df.select(key, made.alias("__m")).where("__m.distinct_terms > 0").select(key, "__m.file_score", "__m.best_line", "__m.distinct_terms")

@@ -52,16 +52,26 @@ def recall_precision(expected: DataFrame, retrieved: DataFrame, case: str, item:
     return sums.select(case, "hits", recall.alias("recall"), precision.alias("precision"))
 
 
+def block_excerpt(text: Column, line: Column, end_line: Column) -> Column:
+    """A block's own lines of its file's text, 60 at most; without an end it goes twelve lines on."""
+    lines = F.split(text, r"\r?\n")
+    last = F.least(F.size(lines), F.coalesce(end_line, line + 12), line + 59)
+    return F.array_join(F.slice(lines, F.greatest(line, F.lit(1)).cast("int"), F.greatest(F.lit(0), last - line + 1).cast("int")), "\n")
+
+
 def pack_budget(ranked: DataFrame, max_tokens: int, max_results: int) -> DataFrame:
-    """Greedy packing of ranked blocks (score, file, line, end_line, text) into a token budget.
+    """Greedy packing of ranked blocks (score, file, line, end_line, text, and an id for ties if there is one) into a token budget.
+
+    text is the block's own text, see block_excerpt().
 
     The budget is max(64, max_tokens - 550). Blocks are taken by score, file, line; one that overlaps a chosen
     block of its file is passed over but uses a place. An excerpt has 60 lines at most and loses trailing lines, then characters,
     until it fits max(32, (left - 16) * 4) characters; it costs ceil(length / 4) + 16; packing ends below 32 left. One fold
     over at most max_results rows.
     """
-    top = ranked.orderBy(F.desc("score"), "file", "line").limit(max_results)
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "file", "line", "end_line", "text")))
+    ties = ["id"] if "id" in ranked.columns else []
+    top = ranked.orderBy(F.desc("score"), "file", "line", *ties).limit(max_results)
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "file", "line", *ties, "end_line", "text")))
     room = lambda left: F.greatest(F.lit(32), (left - 16) * 4)
 
     def excerpt(text: Column, left: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.session import drop_path
+
 READABLE, CURRENT = range(5, 12), 11
 
 
@@ -38,18 +40,50 @@ def materialise(spark: SparkSession, root: str, name: str, key: str, make) -> tu
 
 
 def publish(df: DataFrame, path: str, version: int = CURRENT, replace: bool = False, by: list[str] | None = None) -> None:
-    """Write a snapshot with its schema version; refuses to replace unless told to."""
+    """Write a snapshot with its schema version; refuses to replace unless told to.
+
+    Each publication is a folder of its own, which counts once Spark has committed it (_SUCCESS); only then the ones
+    before it go. Readers see the old snapshot or the new one, never a part.
+    """
     check_version(version)
-    df.withColumn("schema_version", F.lit(version)).write.mode("overwrite" if replace else "errorifexists").partitionBy(*(by or [])).parquet(path)
+    spark = df.sparkSession
+    old = _publications(spark, path)
+    if old and not replace:
+        raise FileExistsError(f"{path} is published already")
+    target = f"{path}/published={int(old[-1].rpartition('=')[2]) + 1 if old else 1:09d}"
+    df.withColumn("schema_version", F.lit(version)).write.mode("overwrite").partitionBy(*(by or [])).parquet(target)
+    for folder in old:
+        drop_path(spark, folder)
+
+
+def _publications(spark: SparkSession, path: str) -> list[str]:
+    """Folders of complete publications, oldest first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("published=")) if fs.exists(p) else []
+    return [f for f in found if _exists(spark, f"{f}/_SUCCESS")]
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     """A published snapshot; versions outside the window are an error, raised where the rows are read."""
-    df = spark.read.parquet(path)
+    found = _publications(spark, path)
+    if not found:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    df = spark.read.parquet(found[-1])
     bad = F.raise_error(F.lit("unreadable schema version")).cast("boolean")
     return df.where(F.when(F.col("schema_version").between(READABLE.start, READABLE.stop - 1), F.lit(True)).otherwise(bad))
 
 
+def reset(spark: SparkSession, root: str, keep: list[str]) -> list[str]:
+    """Delete generated state below root but for the names to keep (configuration); what was deleted, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName() not in keep) if fs.exists(p) else []
+    for name in gone:
+        drop_path(spark, f"{root}/{name}")
+    return gone
+
+
 def keep_newest(reports: DataFrame, n: int) -> DataFrame:
     """The reports (path, modified) beyond the n newest of each folder, to be deleted."""
     from pyspark.sql import Window

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.operators import delta, graph, metrics, ownership
 from cairn.operators.keys import first_by
 from cairn.plans.registry import query
-from cairn.session import table
+from cairn.session import staged, table
 
 KINDS = "CASE WHEN l_returnflag = 'A' THEN 'override' WHEN l_returnflag = 'R' THEN 'method-call' ELSE 'attribute' END"
 
@@ -107,11 +107,13 @@ def closure_waves(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(spark.createDataFrame([("c1",)], "id string"), _projects(spark, d))
 
 
-@query("""WITH RECURSIVE deps AS (SELECT l_suppkey AS source, l_partkey + 1000000 AS target FROM lineitem WHERE l_quantity >= 50),
-hit(id) AS (SELECT 1000001 UNION SELECT source FROM deps JOIN hit ON target = id) SELECT id::BIGINT AS id FROM hit""")
+@query("""WITH RECURSIVE uses AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS p FROM lineitem), deps AS (SELECT s AS source, p AS target FROM uses UNION ALL SELECT p, s FROM uses),
+hit(id) AS (SELECT 1000001 UNION SELECT target FROM deps JOIN hit ON source = id) SELECT id::BIGINT AS id FROM hit""")
 def symbol_closure_affected(spark: SparkSession, d: str) -> DataFrame:
-    back = table(spark, d, "lineitem").where("l_quantity >= 50").select((F.col("l_partkey") + 1000000).alias("source"), F.col("l_suppkey").alias("target")).distinct()
-    return graph.closure(spark.createDataFrame([(1000001,)], "id bigint"), back).select("id")
+    """Everything that uses or is used by a part, over all edges in both directions."""
+    uses = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target")).distinct()
+    both = staged(uses.union(uses.select("target", "source")), "uses")
+    return graph.closure(spark.createDataFrame([(1000001,)], "id bigint"), both).select("id")
 
 
 @query("""WITH RECURSIVE now AS (SELECT n_nationkey AS k, sha256(string_agg(c_name || '|' || c_acctbal::DECIMAL(12,2), chr(10) ORDER BY c_name || '|' || c_acctbal::DECIMAL(12,2))) AS h FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY k),

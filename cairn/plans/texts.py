@@ -186,5 +186,8 @@ def narrative_prefix_bound(spark: SparkSession, d: str) -> DataFrame:
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     """Packing is sequential: no SQL; tests hold it to a Python version."""
     docs = table(spark, d, "documents")
-    ranked = lexical.scan_lines(docs, SCAN, "doc_id", "text").join(docs.select("doc_id", "text", "source"), "doc_id")
-    return metrics.pack_budget(ranked.select(F.col("file_score").alias("score"), F.col("source").alias("file"), F.col("best_line").alias("line"), (F.col("best_line") + 12).alias("end_line"), "text"), 3000, 20)
+    found = lexical.scan_lines(docs.select("doc_id", "text", "source"), SCAN, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    # Ids are ranked first: only the 20 texts that can be packed are fetched.
+    top = F.broadcast(found.select(F.col("file_score").alias("score"), F.col("source").alias("file"), F.col("best_line").alias("line"), F.col("doc_id").alias("id")).orderBy(F.desc("score"), "file", "line", "id").limit(20))
+    ranked = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(top, "id").withColumn("end_line", F.col("line") + 12)
+    return metrics.pack_budget(ranked.withColumn("text", metrics.block_excerpt(F.col("body"), F.col("line"), F.col("end_line"))).drop("body"), 3000, 20)

@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators.delta import new_rows, resolved_rows
-from cairn.session import scratch_path
+from cairn.operators.store import _exists
+from cairn.session import drop_path
 
 
 def stream_deltas(snapshots: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Write new and resolved rows of each micro-batch below out/new and out/resolved, by epoch (repeats overwrite)."""
-    state: dict[str, str] = {}
-    spark = snapshots.sparkSession
+    """Write new and resolved rows of each micro-batch below out/new and out/resolved, by epoch (repeats overwrite).
+
+    Snapshots are kept below the checkpoint by epoch, so a restarted query goes on from the last one; those before
+    the last two are deleted.
+    """
+    spark, root = snapshots.sparkSession, f"{checkpoint.rstrip('/')}/snapshots"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        path = scratch_path(spark, "snapshot")
-        batch.write.parquet(path)
-        now = spark.read.schema(batch.schema).parquet(path)
-        before = spark.read.schema(batch.schema).parquet(state["last"]) if "last" in state else now.limit(0)
+        at = lambda n: f"{root}/epoch={n}"
+        batch.write.mode("overwrite").parquet(at(epoch))
+        read = lambda n: spark.read.schema(batch.schema).parquet(at(n))
+        now = read(epoch)
+        before = read(epoch - 1) if epoch > 0 and _exists(spark, at(epoch - 1)) else now.limit(0)
         new_rows(before, now, key).write.mode("overwrite").parquet(f"{out}/new/epoch={epoch}")
         resolved_rows(before, now, key).write.mode("overwrite").parquet(f"{out}/resolved/epoch={epoch}")
-        state["last"] = path
+        drop_path(spark, at(epoch - 2))
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
