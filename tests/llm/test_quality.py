@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus_pipeline
 from cairn.llm import quality
@@ -27,3 +28,19 @@ def test_other_languages_have_no_word_rule(spark):
     df = spark.createDataFrame([(1, text, "xx", "s", 0), (2, text, None, "s", 0), (3, text, "en", "s", 0)], SCHEMA)
     assert {r.doc_id for r in quality.judge(df, quality.STEADY).where("kept").collect()} == {1, 2}
     assert quality.judge(df.limit(0), quality.STEADY).count() == 0
+
+
+def test_result_can_be_filtered(spark):
+    """A filter on the result is not pushed into the computation, and columns keep their names."""
+    rng = random.Random(6)
+    rows = [(i, made(rng, 30 + 10 * i, 17 * (i % 2)), "en", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __words long")
+    whole = {r.doc_id: r for r in quality.judge(df, quality.STEADY).collect()}
+    assert all(r["__words"] == i for i, r in whole.items())
+    for wanted in ("kept", "not base_failed", "n_words > 200"):
+        found = quality.judge(df, quality.STEADY).where(wanted)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2 * len(quality.CLASSES)
+        began = time.monotonic()
+        got = {r.doc_id for r in found.select("doc_id").collect()}
+        assert time.monotonic() - began < 60
+        assert got == {i for i, r in whole.items() if {"kept": r.kept, "not base_failed": not r.base_failed}.get(wanted, r.n_words > 200)}
