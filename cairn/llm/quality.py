@@ -186,7 +186,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str =
     wrong_words = F.col("word_distance") > rules.word_distance if rules.word_share is None else missing_words(rules, lang)
     far = F.coalesce(F.col("class_distance") > rules.char_distance, F.lit(False)) | F.coalesce(wrong_words, F.lit(False))
     out = out.withColumn("kept", ~F.col("base_failed") & ~far)
-    # A row's number is not deterministic, so a filter on the result stays above this projection and nothing is computed twice.
-    made = F.struct(*RESULTS, F.monotonically_increasing_id().alias("row"))
-    out = out.select(*own, made.alias("__made"))
-    return out.select(*[F.col(o).alias(c) for o, c in own.items()], *[F.col(f"__made.{c}").alias(c) for c in RESULTS])
+    # Each result gets a zero that is not deterministic, so a filter on it stays above this projection and nothing is computed twice.
+    zero = F.shiftrightunsigned(F.monotonically_increasing_id(), 63)
+    fixed = [(F.col(c) & (zero == 0) if c in ("base_failed", "kept") else F.col(c) + zero).alias(c) for c in RESULTS]
+    return out.select(*[F.col(o).alias(c) for o, c in own.items()], *fixed)
