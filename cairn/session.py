@@ -61,6 +61,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class Staging:
+    """The tables that one call stages: each call has its own, so calls in one session never delete each other's tables."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as Parquet in the shared folder and read it back."""
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        out._cairn_path = path
+        self.made.append(out)
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete the tables made so far, but for those that a result still reads."""
+        for df in [x for x in self.made if not any(x is y for y in keep)]:
+            drop_path(df.sparkSession, df._cairn_path)
+            self.made = [x for x in self.made if x is not df]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Hadoop's file system API."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
