@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, embeddings, html, jaccard, licenses, mixing, quality, sst, substrings, warc
+from cairn.llm import bpe, embeddings, html, jaccard, licenses, mixing, quality, resample, sst, substrings, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -181,3 +181,42 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of every document's paragraphs, by a classifier trained on seeds and a bounded sample."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))
+
+
+#: The 256 steps of CRC-32 by their rule, and the CRC-32 of a string's UTF-8 bytes as a list expression; `steps` must be in scope.
+CRC_STEPS = "list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+
+
+def crc_sql(text: str) -> str:
+    data = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw a tenth of the documents towards the benchmark's words."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+),
+wanted AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+each AS (SELECT doc_id, unnest(ws) AS w FROM words),
+table_of AS (SELECT {CRC_STEPS} AS steps),
+coded AS (SELECT w, {crc_sql("w")} % 10000 AS b FROM (SELECT w FROM each UNION SELECT w FROM wanted), table_of),
+s AS (SELECT b, count(*) AS n FROM each JOIN coded USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM wanted JOIN coded USING (w) GROUP BY b),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM each) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM (SELECT DISTINCT b FROM coded) LEFT JOIN s USING (b) LEFT JOIN t USING (b)
+),
+weights AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM each JOIN coded USING (w) JOIN gain USING (b) GROUP BY doc_id),
+h AS (SELECT doc_id, len(ws)::BIGINT AS n_features, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h FROM words),
+scored AS (
+  SELECT h.doc_id, n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score
+  FROM h LEFT JOIN weights ON h.doc_id IS NOT DISTINCT FROM weights.doc_id
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN placed ON scored.doc_id = placed.doc_id
+"""

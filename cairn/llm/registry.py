@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_embedding_dedup": q.op8_embedding_dedup,
         "op9_jaccard_join": q.op9_jaccard_join,
         "op10_sst_shards": q.op10_sst_shards,
+        "op11_importance_resampling": q.op11_importance_resampling,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": q.OP7_SQL,
         "op8_embedding_dedup": q.OP8_SQL,
         "op9_jaccard_join": q.OP9_SQL,
+        "op11_importance_resampling": q.OP11_SQL,
     }
