@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, embeddings, html, jaccard, licenses, mixing, quality, resample, sst, substrings, warc
+from cairn.llm import bpe, embeddings, forest, html, jaccard, licenses, mixing, quality, resample, sst, substrings, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -220,3 +220,8 @@ scored AS (
 placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
 SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN placed ON scored.doc_id = placed.doc_id
 """
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every vector whose id is divisible by 20."""
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_jaccard_join": q.op9_jaccard_join,
         "op10_sst_shards": q.op10_sst_shards,
         "op11_importance_resampling": q.op11_importance_resampling,
+        "op12_nearest_neighbours": q.op12_nearest_neighbours,
     }
 
 
