@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, embeddings, forest, html, jaccard, licenses, mixing, quality, resample, sst, substrings, warc
+from cairn.llm import bpe, embeddings, forest, html, jaccard, licenses, mixing, quality, repair, resample, sst, substrings, warc
 from cairn.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -225,3 +225,72 @@ SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 TH
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of largest inner product for every vector whose id is divisible by 20."""
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage every conversation and repair its structure at the least cost."""
+    return repair.report(repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("copies")))
+
+
+def _op13_sql() -> str:
+    """Forward dynamic programming over the rows: for each state the least (cost, audit) with the text so far."""
+
+    def moved(state: str, cost: str, letter: str, line: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+    def inserted(state: str, role: str) -> str:
+        return moved(state, "3", "I", f"chr(10) || '{role}:'")
+
+    def gone(state: str) -> str:
+        return moved(state, "4", "D", "''")
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN f NOT IN (1, 2) AND role[1] = '{initial}' THEN {moved(state, 'late', 'K', 'chr(10) || role || chr(58) || text')} END"
+
+    def given(state: str, role: str) -> str:
+        return f"CASE WHEN f NOT IN (1, 2) THEN {moved(state, '(3 + late)', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+
+    to_u = ", ".join(f"{kept(x, 'u')}, {given(x, 'user')}" for x in ("v0", "vs", "va"))
+    close_u = ", ".join(inserted(x, "user") for x in ("v0", "vs", "va"))
+    start = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+    return f"""
+WITH RECURSIVE table_of AS (SELECT {CRC_STEPS} AS steps),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT keyed.*, {crc_sql("k")} % 20 AS code FROM keyed, table_of),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0
+),
+convs AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS n FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT n, turn, role, text, row_number() OVER w AS i, lag(role[1]) OVER w AS before, row_number() OVER (PARTITION BY n, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+  FROM harmed JOIN convs ON harmed.conv_id IS NOT DISTINCT FROM convs.conv_id WINDOW w AS (PARTITION BY n ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS f FROM placed
+),
+input AS (SELECT *, CASE WHEN f = 3 THEN 3 ELSE 0 END AS late FROM faulty),
+walk(n, i, v0, vs, vu, va) AS (
+  SELECT n, 0::BIGINT, {start}, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR), {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}}, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} FROM convs
+  UNION ALL
+  SELECT n, i, v0, vs, vu, list_min([va, {inserted("vu", "assistant")}]) FROM (
+    SELECT n, i, v0, vs, list_min([vu, {close_u}]) AS vu, va FROM (
+      SELECT walk.n, input.i, {gone("v0")} AS v0, list_min([{gone("vs")}, {kept("v0", "s")}]) AS vs, list_min([{gone("vu")}, {to_u}]) AS vu, list_min([{gone("va")}, {kept("vu", "a")}, {given("vu", "assistant")}]) AS va
+      FROM walk JOIN input ON input.n = walk.n AND input.i = walk.i + 1
+    )
+  )
+),
+best AS (SELECT n, arg_max(list_min([v0, va]), i) AS b FROM walk GROUP BY n),
+counts AS (
+  SELECT n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE f = 1) AS blank, count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM input GROUP BY n
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.c AS cost, b.a AS audit, sha256(substr(b.t, 2)) AS repaired_sha256
+FROM convs JOIN best USING (n) LEFT JOIN counts USING (n)
+"""
+
+
+OP13_SQL = _op13_sql()

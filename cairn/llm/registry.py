@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_sst_shards": q.op10_sst_shards,
         "op11_importance_resampling": q.op11_importance_resampling,
         "op12_nearest_neighbours": q.op12_nearest_neighbours,
+        "op13_conversation_repair": q.op13_conversation_repair,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_embedding_dedup": q.OP8_SQL,
         "op9_jaccard_join": q.OP9_SQL,
         "op11_importance_resampling": q.OP11_SQL,
+        "op13_conversation_repair": q.OP13_SQL,
     }
