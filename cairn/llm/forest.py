@@ -9,14 +9,14 @@ that brings all rows to the largest norm, so that the angle to a query orders by
   grow with the rows. Counts of prefixes are grouped counts in Spark. A piece (leaf) of many rows is dealt to blocks.
 * Descent and synchronous ascent. A query descends in every tree along its own string. The deepest level at which the
   rows under its prefixes in all trees together are share * N or more is its level in all trees; where even one
-  symbol gives fewer, it ascends to the root, which is all rows.
+  symbol gives fewer, it ascends to the root, which is all rows. Its own row does not count, and one tree alone must hold k.
 * Candidates. A query goes to the leaves that its prefix overlaps and takes the range of its prefix in their sorted
   arrays by binary search. All rows in the range are compared, none is dropped. Blocks of rows meet blocks of queries,
   so that neither a crowded prefix nor a popular one is one task. Each block returns its k best for each query.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as queries nor as
 rows. Vectors of unequal length are never compared; the commonest length sets the turns and others are cut or padded
-for hashing alone. Repeated rows are rows of their own; a query leaves out its own row only. Equal scores go to the
+for hashing alone, do not count for levels, and as queries start at the root. Repeated rows are rows of their own; a query leaves out its own row only. Equal scores go to the
 smaller id, null ids last. An empty table gives no rows. Columns other than those named are ignored.
 
 Recall against brute force is measured in tests and stated in the README. `share` buys it: the test tables' vectors
@@ -126,7 +126,7 @@ class Trie:
 
     bits: int
     symbols: int
-    counts: list[tuple[np.ndarray, np.ndarray]]  # for each level: keys (tree, prefix) in order, and rows under them
+    counts: list[tuple[np.ndarray, np.ndarray]]  # for each level: keys (tree, prefix) in order, and rows of the commonest length under them
     tree: np.ndarray  # of each leaf; leaves are in order of tree and string
     low: np.ndarray  # first string of each leaf
     high: np.ndarray  # first string behind it
@@ -152,18 +152,18 @@ class Trie:
         return a + np.searchsorted(self.low[a:b], codes, "right") - 1
 
 
-def count_prefixes(hashed: DataFrame, bits: int, symbols: int, crowded: float) -> Trie:
+def count_prefixes(hashed: DataFrame, bits: int, symbols: int, crowded: float, size: int) -> Trie:
     """Count prefixes level by level, going on only below those with more rows than `crowded`."""
     spark, counts, leaves, parents = hashed.sparkSession, [], [], None
     for level in range(1, symbols + 1):
-        now = hashed.select(F.posexplode("codes").alias("tree", "code")).select("tree", F.shiftright("code", bits * (symbols - level)).alias("prefix"))
+        now = hashed.select("size", F.posexplode("codes").alias("tree", "code")).select("size", "tree", F.shiftright("code", bits * (symbols - level)).alias("prefix"))
         if parents is not None:
             now = now.withColumn("parent", F.shiftright("prefix", bits)).join(F.broadcast(parents), ["tree", "parent"])
-        found = np.array([(r.tree, r.prefix, r.n) for r in now.groupBy("tree", "prefix").agg(F.count("*").alias("n")).collect()], np.int64).reshape(-1, 3)
+        found = np.array([(r.tree, r.prefix, r.n, r.same) for r in now.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.count_if(F.col("size") == size).alias("same")).collect()], np.int64).reshape(-1, 4)
         keys = (found[:, 0] << (bits * level)) | found[:, 1]
         order = np.argsort(keys)
         found, keys = found[order], keys[order]
-        counts.append((keys, found[:, 2]))
+        counts.append((keys, found[:, 3]))
         last = found[:, 2] <= crowded if level < symbols else np.ones(len(found), bool)
         shift = bits * (symbols - level)
         leaves.append(np.stack([found[last, 0], found[last, 1] << shift, (found[last, 1] + 1) << shift, found[last, 2]], 1))
@@ -175,15 +175,16 @@ def count_prefixes(hashed: DataFrame, bits: int, symbols: int, crowded: float) -
     return Trie(bits, symbols, counts, *(np.ascontiguousarray(every[:, i]) for i in range(4)))
 
 
-def levels(trie: Trie, asked: np.ndarray, target: float) -> np.ndarray:
-    """For each query (a row of strings, one a tree) the deepest level with `target` rows or more in all trees together; 0 is the root."""
+def levels(trie: Trie, asked: np.ndarray, target: float, k: int) -> np.ndarray:
+    """For each query (a row of strings, one a tree) the deepest level with `target` other rows or more in all trees together and k in one; 0 is the root."""
     out, tree = np.zeros(len(asked), np.int64), np.arange(asked.shape[1])
     for level in range(1, len(trie.counts) + 1):
-        out[trie.count(tree[None, :], asked, level).sum(1) >= target] = level
+        others = np.maximum(trie.count(tree[None, :], asked, level) - 1, 0)
+        out[(others.sum(1) >= target) & (others.max(1) >= k)] = level
     return out
 
 
-def _visits(hashed: DataFrame, sent: Broadcast, target: float) -> DataFrame:
+def _visits(hashed: DataFrame, sent: Broadcast, target: float, k: int, size: int) -> DataFrame:
     """One row for each query and leaf that it visits: the range of strings that it takes there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,8 @@ def _visits(hashed: DataFrame, sent: Broadcast, target: float) -> DataFrame:
                 continue
             asked = np.array(batch.column("asked").to_pylist(), np.int64)
             owner, leaf, low, high = [], [], [], []
-            for i, level in enumerate(levels(trie, asked, target).tolist()):
+            depth = np.where(np.asarray(batch.column("size")) == size, levels(trie, asked, target, k), 0)
+            for i, level in enumerate(depth.tolist()):
                 shift = trie.bits * (trie.symbols - level)
                 for tree in range(asked.shape[1] if level else 1):  # at the root all trees are the same set
                     prefix = int(asked[i, tree]) >> shift
@@ -298,9 +300,9 @@ def nearest(df: DataFrame, asks: Column, k: int = 20, share: float = SHARE, tree
     total, size = sum(r.n for r in sizes), max(sizes, key=lambda r: (r.n, r["size"]))["size"]
     turns = Turns(size, trees, symbols, axes, SEED)
     hashed = staging.put(_hashed(vectors, spark.sparkContext.broadcast(turns), kind, max(r.top for r in sizes)), "hashed")
-    trie = count_prefixes(hashed, turns.bits, symbols, 4 * share * total / trees)
+    trie = count_prefixes(hashed, turns.bits, symbols, 4 * share * total / trees, size)
     sent = spark.sparkContext.broadcast(trie)
-    visits = staging.put(_visits(hashed, sent, share * total), "visits")
+    visits = staging.put(_visits(hashed, sent, share * total, k, size), "visits")
     asked = np.zeros(len(trie.rows), np.int64)
     for r in visits.groupBy("leaf").count().collect():  # one row for each leaf
         asked[r[0]] = r[1]
