@@ -5,8 +5,9 @@ counts in how many different articles of its host each hash occurs; an article i
 of text, so near copies of one article count once. Subtrees that occur in at least MIN_PAGES articles and MIN_SHARE
 of the host's articles are templates. Each page is joined to those of its own subtrees that are templates, so a row
 carries no more than its page holds. Then pages are parsed again and their text is taken without templates, and
-without elements that are not content by tag, role or class name. A template that holds two thirds of the text, or
-a container with a doubtful class name that holds half of it, stays: that is the article.
+without elements that are not content by tag, role or name (Judge). No name, role or form drops the article or what is around
+it. A template that holds two thirds of the text, or a container with a doubtful class name that holds half of it,
+stays: that is the article.
 
 The text comes from the article elements that are not inside another, if they hold half of the text of main (a
 quarter of the body's without main); else from main, or from the body. Inside an article only containers can be
@@ -53,14 +54,25 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-NOT_CONTENT = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "input", "label", "fieldset"}
+NOT_CONTENT = {"head", "nav", "aside", "footer", "button", "select", "dialog", "menu", "input", "label"}
+#: Elements that may as well wrap a whole page.
+FORMS = {"form", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|adbox|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|banner|newsletter|subscribe|subscription"
-    r"|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|topbar|comment|comments|commentlist|disqus|reply|replies|respond"
-    r"|sharing|social|recommended|recommendations|popup|modal|overlay|toolbar|login|signup|paywall|skip-link)(?:$|[\s_-])",
-    re.I,
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+NOISE = COMMENTS | set(
+    "ad ads adv adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification banner newsletter subscribe subscription"
+    " sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar sharing social recommended recommendations popup modal overlay toolbar login signup paywall skiplink".split()
 )
+#: Words that say where or what shape a box is; a name of these and noise words alone means noise.
+SHAPES = set(
+    "article bar block body bottom box button buttons card cards close col column container content desktop entry fixed form global google group head header holder icon icons image inline inner item items left"
+    " link links list main message mobile module outer page panel post primary reader readers region right row secondary section sidebar site slot sticky teaser text thread title top unit user users widget wrap wrapper zone".split()
+)
+#: A name that begins so, or ends in `free`, tells what a page has or lacks; function words make a heading's anchor.
+TELLS = {"has", "have", "with", "without", "no", "not", "non", "is", "hide", "show"}
+FUNCTION_WORDS = {"a", "and", "for", "in", "of", "on", "the", "to", "und", "der", "die", "et", "le", "la", "de", "el", "y"}
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+STRONG, MIXED = 2, 1
 #: Names that an article's own parts may have as well.
 _DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:alert|discussion|related|share|widget)(?:$|[\s_-])", re.I)
 
@@ -169,6 +181,7 @@ def subtree_hashes(root: Node) -> dict[int, int]:
 def article_key(root: Node) -> int:
     """A hash of the three longest blocks of content, by which copies and near copies of an article are one."""
     blocks, parts, stack = [], [], [root]
+    is_content = Judge(root)
     while stack:
         x = stack.pop()
         if isinstance(x, str):
@@ -202,16 +215,109 @@ def text_size(root: Node) -> int:
     return size
 
 
-def is_content(node: Node, inside: bool) -> bool:
-    """Whether an element is content by tag, role, class name and visibility; inside: below an article or main."""
-    tag = node.tag
-    if tag in NOT_CONTENT or tag == "header" and not inside:
-        return False
-    if not node.attributes or tag in ("html", "body", "main"):
-        return True
-    if node.get("role").lower() in ROLES or node.has("hidden") or node.get("aria-hidden").lower() == "true" or re.search(r"display\s*:\s*none", node.get("style")):
-        return False
-    return not _NAMES.search(node.get("class")) and not _NAMES.search(node.get("id"))
+def noise_of(names: str) -> tuple[int, bool]:
+    """How far class names or an id mean a box beside the article (STRONG: noise and shape words alone; MIXED: others too; 0), and whether they mean comments."""
+    best, comments = 0, False
+    for name in names.replace("side-bar", "sidebar").replace("skip-link", "skiplink").split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        found = NOISE.intersection(words)
+        if not found or words[0] in TELLS or words[-1] == "free" or FUNCTION_WORDS.intersection(words):
+            continue
+        strong = all(w in found or w in SHAPES or w.isdigit() for w in words)
+        best = max(best, STRONG if strong else MIXED)
+        comments |= strong and bool(COMMENTS.intersection(words))
+    return best, comments
+
+
+class Judge:
+    """Which elements of one page are content.
+
+    By tag, role, visibility and name. Neither a name, a role nor a form drops the page's article: the largest article and
+    main element that are not themselves beside the content, and all around them, stay; and so does whatever holds half
+    of the page's text (nine tenths if it is called comments). A name with other words in it counts only outside an article,
+    or where half of the text is links.
+    """
+
+    def __init__(self, root: Node):
+        self.root, self.sizes, self.kept = root, {}, None
+
+    def _measure(self) -> None:
+        """Text sizes of all elements, and what the article and all around it are."""
+        parents: dict[int, Node | None] = {id(self.root): None}
+        order, stack = [], [(self.root, False)]
+        best: dict[str, Node] = {}
+        candidates = []
+        while stack:
+            node, beside = stack.pop()
+            order.append(node)
+            strength, comments = noise_of(node.get("class", "id")) if node.attributes else (0, False)
+            beside = beside or comments or node.tag in NOT_CONTENT or self.invisible(node)
+            if node.tag in ("article", "main") and not beside and strength < STRONG:
+                candidates.append(node)
+            for c in node.children:
+                if isinstance(c, Node):
+                    parents[id(c)] = node
+                    stack.append((c, beside))
+        for node in reversed(order):
+            self.sizes[id(node)] = sum(self.sizes[id(c)] if isinstance(c, Node) else sum(map(len, c.split())) for c in node.children)
+        for node in candidates:
+            if node.tag not in best or self.sizes[id(node)] > self.sizes[id(best[node.tag])]:
+                best[node.tag] = node
+        self.kept = set()
+        for node in best.values():
+            while node is not None and id(node) not in self.kept:
+                self.kept.add(id(node))
+                node = parents[id(node)]
+
+    def around(self, node: Node) -> bool:
+        """Whether a node is the article or main, or around it."""
+        if self.kept is None:
+            self._measure()
+        return id(node) in self.kept
+
+    def share(self, node: Node) -> float:
+        if self.kept is None:
+            self._measure()
+        return self.sizes[id(node)] / max(1, self.sizes[id(self.root)])
+
+    @staticmethod
+    def invisible(node: Node) -> bool:
+        if not node.attributes or node.tag in ("html", "body", "main"):
+            return False
+        return node.has("hidden") or node.get("aria-hidden").lower() == "true" or bool(re.search(r"display\s*:\s*none", node.get("style")))
+
+    def _linked(self, node: Node) -> bool:
+        size, stack = 0, [node]
+        while stack:
+            for c in stack.pop().children:
+                if isinstance(c, Node) and c.tag == "a":
+                    size += text_size(c)
+                elif isinstance(c, Node):
+                    stack.append(c)
+        return 2 * size >= text_size(node)
+
+    def __call__(self, node: Node, inside: bool) -> bool:
+        """inside: below an article or main."""
+        tag = node.tag
+        if tag in NOT_CONTENT:
+            return False
+        if tag == "header" and not inside:
+            return self.around(node)
+        if tag not in FORMS and (not node.attributes or tag in ("html", "body", "main")):
+            return True
+        if self.invisible(node):
+            return False
+        role = node.get("role").lower()
+        if role in ROLES and role != "form":
+            return self.around(node)
+        of_class, comments = noise_of(node.get("class"))
+        of_id, comments_id = noise_of(node.get("id"))
+        named = STRONG in (of_class, of_id) or of_class and not inside
+        if not named and (of_class or of_id):
+            named = self._linked(node)
+        if not named and tag not in FORMS and role != "form":
+            return True
+        return self.around(node) or self.share(node) >= (0.9 if comments or comments_id else 0.5)
 
 
 def is_doubtful(node: Node) -> bool:
@@ -219,7 +325,7 @@ def is_doubtful(node: Node) -> bool:
     return node.tag in CONTAINERS and bool(node.attributes) and bool(_DOUBTFUL.search(node.get("class")) or _DOUBTFUL.search(node.get("id")))
 
 
-def _find(root: Node, tag: str) -> list[Node]:
+def _find(root: Node, tag: str, is_content: Judge) -> list[Node]:
     """Content elements of a tag in page order, those inside another left out."""
     out, stack = [], [root]
     while stack:
@@ -231,7 +337,7 @@ def _find(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _text_of(roots: list[Node], inside: bool, hashes: dict[int, int], templates: frozenset[int] | set[int]) -> str:
+def _text_of(roots: list[Node], inside: bool, hashes: dict[int, int], templates: frozenset[int] | set[int], is_content: Judge) -> str:
     parts: list[str] = []
     stack: list[Node | str] = list(reversed(roots))
     first = {id(r) for r in roots}
@@ -264,13 +370,14 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     """A page's main text without elements whose hash is in templates."""
     root = parse(html or "")
     hashes = subtree_hashes(root) if templates else {}
-    articles, main = _find(root, "article"), _find(root, "main")
-    whole = _text_of(main or [root], bool(main), hashes, templates) if main or not articles else ""
+    judge = Judge(root)
+    articles, main = _find(root, "article", judge), _find(root, "main", judge)
+    whole = _text_of(main or [root], bool(main), hashes, templates, judge) if main or not articles else ""
     if not articles:
         return whole
-    text = _text_of(articles, True, hashes, templates)
+    text = _text_of(articles, True, hashes, templates, judge)
     if not main:
-        whole = _text_of([root], False, hashes, templates)
+        whole = _text_of([root], False, hashes, templates, judge)
     return text if len(text) >= len(whole) / (2 if main else 4) else whole
 
 

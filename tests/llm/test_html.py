@@ -34,7 +34,7 @@ def test_templates(spark):
 
 
 def test_synthetic_pages_keep_their_articles(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
     for r in html.extract(pages).collect():
         body = re.sub(r"</article>.*", "", source[r.page_id].partition("<article>")[2], flags=re.S)
@@ -97,3 +97,40 @@ def test_odd_markup():
     assert html.main_text("<article><p>" + "Story. " * 9 + "</p><div class='related'>More</div></article>") == ("Story. " * 9).strip()
     assert html.main_text("<article><p>" + "x" * 300_000 + " <a href='" + "y" * 300_000 + "'>z</a></p>") == "x" * 300_000 + " z"
     assert html.main_text("<object>" * 20_000 + "end") == "end"
+
+
+ARTICLE = "<h1>Heading</h1>" + "".join(f"<p>Sentence {k} of the article that must stay, whatever the wrapper is called.</p>" for k in range(10))
+WANT = "Heading " + " ".join(f"Sentence {k} of the article that must stay, whatever the wrapper is called." for k in range(10))
+WRAPPERS = [
+    '<div class="layout has-sidebar">{}</div>', '<div id="page" class="with-banner"><main>{}</main></div>', '<div class="nav-wrapper">{}</div>', '<div class="social-science">{}</div>',
+    '<article class="post no-comments">{}</article>', '<article class="post promo-free">{}</article>', '<section id="reply-to-critics">{}</section>', '<form id="aspnetForm">{}</form>',
+]
+BESIDE = [
+    '<nav class="x"><ul><li><a href="/">Menu entry</a></ul></nav>', '<header><p>Site header</p></header>', '<footer>Footer text</footer>', '<aside>Sidebar text</aside>', '<div class="sidebar">Sidebar words</div>', '<div id="cookie-notice">We use cookies</div>',
+    '<div class="ad">Buy this</div>', '<div class="ad-slot-3"><p>Buy that</p></div>', '<form action="/mail"><p>Sign up here</p><input name="m"><button>Go</button></form>', '<script>track("x");</script>', '<style>p{}</style>',
+    '<section class="comments"><article><p>Reader says no</p></article></section>', '<article class="comment">Another reader</article>', '<div id="disqus_thread">Thread</div>', '<ul class="social-icons"><li><a href="#">Like</a></ul>', '<div hidden>Not shown</div>', '<!-- remark -->',
+]
+
+
+def test_no_wrapper_loses_the_article():
+    for wrapper in WRAPPERS:
+        page = wrapper.format(ARTICLE)
+        assert html.main_text(f"<body>{page}</body>") == WANT, wrapper
+        assert html.main_text("<html><body>" + "".join(BESIDE) + page + "".join(BESIDE) + "</body></html>") == WANT, wrapper
+        inner = f"<article>{ARTICLE}</article>"
+        assert html.main_text("<html><body>" + "".join(BESIDE) + wrapper.replace("<article ", "<div ").replace("</article>", "</div>").format(inner) + "".join(BESIDE) + "</body></html>") == WANT, wrapper
+
+
+def test_what_is_beside_the_article_goes():
+    for part in BESIDE:
+        assert html.main_text(f"<body><article>{ARTICLE}</article>{part}</body>") == WANT, part
+        assert html.main_text(f"<body><main>{ARTICLE}{part}</main></body>".replace("<header>", "<header role='banner'>")) == WANT, part
+    many = "<section class='comments'>" + "<article><p>A comment that is longer than the article by far, as threads are.</p></article>" * 40 + "</section>"
+    assert html.main_text(f"<body><article>{ARTICLE}</article>{many}</body>") == WANT
+    assert html.main_text(f"<body><div class='story'>{ARTICLE}</div>{many.replace('article', 'div')}</body>") == WANT
+
+
+def test_headings_anchors_are_not_names():
+    sections = "".join(f'<section id="{name}"><h2>{name}</h2><p>Some words about it.</p></section>' for name in ("social-networks", "banner-design", "comments-on-the-draft", "advertising-history"))
+    text = html.main_text(f"<article>{sections}</article>")
+    assert text.count("Some words about it.") == 4
