@@ -97,7 +97,16 @@ def glob_match(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+# Names, name endings and extensions of files that configure every project below their directory.
+SHARED_NAMES = ["global.json", "nuget.config"]
+SHARED_ENDINGS = [".editorconfig", ".globalconfig"]
+SHARED_EXTENSIONS = ["props", "targets", "sln", "slnx", "ruleset"]
+
+
 def shared_input(path: Column) -> Column:
-    """Files that configure every project below their directory."""
+    """Files that configure every project below their directory, in any case."""
     name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    return name.isin("directory.build.props", "directory.build.targets", "directory.packages.props", "global.json", "nuget.config", ".editorconfig") | name.rlike(r"\.(props|targets|ruleset)$")
+    out = name.isin(SHARED_NAMES) | F.regexp_extract(name, r"\.([^.]*)$", 1).isin(SHARED_EXTENSIONS)
+    for ending in SHARED_ENDINGS:
+        out = out | F.endswith(name, F.lit(ending))
+    return out

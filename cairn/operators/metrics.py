@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.ordered import carry_last, running_sums
+
 
 def merge_coverage(lines: DataFrame) -> DataFrame:
     """file, coverage: share of lines (file, line, hits) hit in any report, in percent. Two partial aggregations."""
@@ -18,9 +20,8 @@ def churn(log: DataFrame) -> DataFrame:
 
 
 def carry_headers(rows: DataFrame, series: str, order: list[str], header: str) -> DataFrame:
-    """rows with the last non-null header at or before them in their series."""
-    w = Window.partitionBy(series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(header, F.last(header, ignorenulls=True).over(w))
+    """rows with the last non-null header at or before them in their series; a long series is spread over ranges. The order must be total."""
+    return carry_last(rows, [series], order, header)
 
 
 def fan(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,9 +96,8 @@ def pack_budget(ranked: DataFrame, max_tokens: int, max_results: int) -> DataFra
 
 
 def prefix_within(rows: DataFrame, series: str, order: str, size: str, budget: int) -> DataFrame:
-    """The longest prefix of each series whose sizes add up to the budget at most."""
-    w = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    """The longest prefix of each series whose sizes add up to the budget at most; sums run in blocks. The order must be total."""
+    return running_sums(rows, [series], [order], {size: "used"}).where(F.col("used") <= budget)
 
 
 def completeness(loaded: Column, total: Column, gaps: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import ancestors_of, directory_of, shared_input, suffixes_of
 from cairn.operators.keys import first_by
 
+#: In place of a project: all of them.
+EVERY = "*"
+
 
 def nearest_owner(paths: DataFrame, projects: DataFrame) -> DataFrame:
     """path, project: projects whose directory is the deepest that contains the path, all ties. Paths explode to their ancestors, so the join is an equi-join."""
@@ -18,14 +21,18 @@ def nearest_owner(paths: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def owners(paths: DataFrame, projects: DataFrame, items: DataFrame) -> DataFrame:
-    """path, project, reason by tiers: listed item, else shared input in its directory's scope, else nearest project."""
+    """path, project, reason by tiers: listed item, else shared input of the projects below its directory, else nearest project.
+
+    A shared input without a project below its directory belongs to every project: one row with project EVERY stands for all.
+    """
     listed = paths.join(items.select(F.col("path"), "project"), "path").select("path", "project", F.lit("item").alias("reason")).distinct()
     rest = paths.join(listed.select("path"), "path", "left_anti")
     shared = rest.where(shared_input(F.col("path"))).select("path", directory_of(F.col("path")).alias("dir"))
     below = projects.select(F.col("path").alias("project"), F.explode(ancestors_of(F.col("path"))).alias("dir"))
     scoped = shared.join(below, "dir").select("path", "project", F.lit("shared").alias("reason"))
+    everywhere = shared.join(below.select("dir").distinct(), "dir", "left_anti").select("path", F.lit(EVERY).alias("project"), F.lit("shared everywhere").alias("reason"))
     near = nearest_owner(rest.where(~shared_input(F.col("path"))), projects).withColumn("reason", F.lit("nearest"))
-    return listed.union(scoped).union(near)
+    return listed.union(scoped).union(everywhere).union(near)
 
 
 def suffix_lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
@@ -36,14 +43,47 @@ def suffix_lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
     return first_by(both, ["path"], [F.desc((F.col("path") == F.col("key")).cast("int")), F.desc(F.length("key")), "key"])
 
 
-def containing_interval(points: DataFrame, spans: DataFrame, bucket: int = 1 << 6) -> DataFrame:
+def span_keys(first: Column, last: Column, levels: int) -> Column:
+    """The dyadic blocks (level, number) that make up the lines first to last: two a level at most.
+
+    At level k the lines from ceil(first / 2^k) to floor((last + 1) / 2^k) are still to be covered, in blocks of 2^k; an odd
+    block at either end belongs to no larger block inside and is taken.
+    """
+
+    def ends(k: Column) -> Column:
+        low, high = -F.call_function("shiftright", -first, k), F.call_function("shiftright", last + 1, k)
+        block = lambda n: F.struct(k.cast("int").alias("level"), n.cast("long").alias("number"))
+        left = F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), block(low))
+        right = F.when((low < high) & (F.pmod(high, F.lit(2)) == 1) & ((low < high - 1) | (F.pmod(low, F.lit(2)) == 0)), block(high - 1))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), ends)), lambda x: x.isNotNull())
+
+
+def point_keys(at: Column, levels: int) -> Column:
+    """The dyadic blocks that hold a line, one a level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.cast("int").alias("level"), F.call_function("shiftright", at, k).cast("long").alias("number")))
+
+
+def containing_interval(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Each point (file, at) with the span (file, line, end_line, identity) around it that starts last, then is shortest, then of least identity.
 
-    Spans are dealt to buckets of lines, so this is an equi-join; `bucket` should be near the usual span.
+    A span becomes the dyadic blocks that it is made of, a point those that hold it, so this is an equi-join whatever the
+    spans' lengths: a span of n lines gives 2 log n rows at most, a point one for each level that any span has. Of the
+    spans of one block only the first can be a point's answer there, so a block that many spans share is one row.
     """
-    dealt = spans.withColumn("end_line", F.coalesce("end_line", "line")).where("end_line >= line").withColumn("__b", F.explode(F.sequence(F.expr(f"line div {bucket}"), F.expr(f"end_line div {bucket}"))))
-    joined = points.withColumn("__b", F.expr(f"at div {bucket}")).join(dealt, ["file", "__b"]).where("line <= at and at <= end_line").drop("__b")
-    return first_by(joined, points.columns, [F.desc("line"), F.col("end_line") - F.col("line"), "identity"])
+    spans = spans.withColumn("end_line", F.coalesce("end_line", "line")).where("end_line >= line")
+    longest = spans.agg(F.max(F.col("end_line") - F.col("line") + 1)).head()[0]  # one number
+    if longest is None:
+        return points.join(spans, "file").select(*points.columns, *[c for c in spans.columns if c != "file"])  # no spans, no rows
+    levels = int(longest).bit_length()
+    rest = [c for c in spans.columns if c not in ("file", "line", "end_line", "identity")]
+    order = F.struct((-F.col("line")).alias("o"), (F.col("end_line") - F.col("line")).alias("n"), "identity", "line", "end_line", *rest)
+    blocks = spans.select("file", order.alias("__span"), F.explode(span_keys(F.col("line"), F.col("end_line"), levels)).alias("__k"))
+    blocks = blocks.groupBy("file", "__k.level", "__k.number").agg(F.min("__span").alias("__span"))
+    dealt = points.distinct().withColumn("__k", F.explode(point_keys(F.col("at"), levels))).select(*points.columns, "__k.level", "__k.number")
+    best = dealt.join(blocks, ["file", "level", "number"]).groupBy(*points.columns).agg(F.min("__span").alias("__span"))
+    return best.select(*points.columns, *[F.col(f"__span.{c}").alias(c) for c in ("line", "end_line", "identity", *rest)])
 
 
 def resolve_names(targets: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.operators.fingerprint import fingerprints
 from cairn.session import drop_path
 
 READABLE, CURRENT = range(5, 12), 11
@@ -19,9 +20,8 @@ def check_version(version: int) -> None:
 
 
 def input_hash(files: DataFrame) -> DataFrame:
-    """project, hash: one hash over (path, content hash) of each project's inputs, in path order."""
-    line = F.concat_ws("|", "path", "content_hash")
-    return files.groupBy("project").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))
+    """project, hash: one hash over the (path, content hash) of each project's inputs."""
+    return fingerprints(files, ["project"], F.concat_ws("|", "path", "content_hash"), "hash")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import delta, graph, metrics, ownership
+from cairn.operators.fingerprint import fingerprint_sql, fingerprints
 from cairn.operators.keys import first_by
 from cairn.plans.registry import query
 from cairn.session import staged, table
@@ -116,14 +117,17 @@ def symbol_closure_affected(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(spark.createDataFrame([(1000001,)], "id bigint"), both).select("id")
 
 
-@query("""WITH RECURSIVE now AS (SELECT n_nationkey AS k, sha256(string_agg(c_name || '|' || c_acctbal::DECIMAL(12,2), chr(10) ORDER BY c_name || '|' || c_acctbal::DECIMAL(12,2))) AS h FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY k),
-was AS (SELECT n_nationkey AS k, sha256(string_agg(c_name || '|' || c_acctbal::DECIMAL(12,2), chr(10) ORDER BY c_name || '|' || c_acctbal::DECIMAL(12,2))) AS h FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <> 7 GROUP BY k),
+CUSTOMER_LINE = "c_name || '|' || c_acctbal::DECIMAL(12,2)"
+
+
+@query(f"""WITH RECURSIVE now AS (SELECT k, h FROM {fingerprint_sql("(SELECT *, c_nationkey AS k FROM customer)", "k", CUSTOMER_LINE, "h")}),
+was AS (SELECT k, h FROM {fingerprint_sql("(SELECT *, c_nationkey AS k FROM customer WHERE c_custkey <> 7)", "k", CUSTOMER_LINE, "h")}),
 deps AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation),
 hit(id) AS (SELECT 'n' || now.k FROM now LEFT JOIN was ON now.k = was.k WHERE was.h IS DISTINCT FROM now.h UNION SELECT target FROM deps JOIN hit ON source = id) SELECT id FROM hit""")
 def incremental_invalidation(spark: SparkSession, d: str) -> DataFrame:
     customer = table(spark, d, "customer")
     line = F.concat_ws("|", "c_name", F.col("c_acctbal").cast("decimal(12,2)"))
-    prints = lambda df: df.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
+    prints = lambda df: fingerprints(df.withColumn("id", F.concat(F.lit("n"), "c_nationkey")), ["id"], line, "h")
     changed = delta.changed_keys(prints(customer.where("c_custkey <> 7")), prints(customer), "id")
     up = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("r"), "n_regionkey").alias("target"))
     return graph.closure(changed, up).select("id")
@@ -318,12 +322,12 @@ def resolve_name_tiers(spark: SparkSession, d: str) -> DataFrame:
     return ownership.resolve_names(targets, symbols)
 
 
-@query("""WITH spans AS (SELECT user_id AS file, event_id AS line, event_id + (value::BIGINT % 40) AS end_line, event_id AS identity FROM events WHERE event_type <> 'error'),
+@query("""WITH spans AS (SELECT user_id AS file, event_id AS line, event_id + CASE WHEN event_id % 50 = 0 THEN 1000000000 ELSE value::BIGINT % 40 END AS end_line, event_id AS identity FROM events WHERE event_type <> 'error'),
 p AS (SELECT user_id AS file, event_id AS "at" FROM events WHERE event_type = 'error'),
 j AS (SELECT p.file, p."at", identity, row_number() OVER (PARTITION BY p.file, p."at" ORDER BY line DESC, end_line - line, identity) AS n FROM p JOIN spans s ON p.file = s.file AND line <= p."at" AND p."at" <= end_line)
 SELECT file, "at", identity FROM j WHERE n = 1""")
 def resolve_interval(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    spans = events.where("event_type <> 'error'").select(F.col("user_id").alias("file"), F.col("event_id").alias("line"), (F.col("event_id") + F.bround("value", 0).cast("bigint") % 40).alias("end_line"), F.col("event_id").alias("identity"))
+    spans = events.where("event_type <> 'error'").select(F.col("user_id").alias("file"), F.col("event_id").alias("line"), (F.col("event_id") + F.when(F.col("event_id") % 50 == 0, 1000000000).otherwise(F.bround("value", 0).cast("bigint") % 40)).alias("end_line"), F.col("event_id").alias("identity"))
     points = events.where("event_type = 'error'").select(F.col("user_id").alias("file"), F.col("event_id").alias("at"))
     return ownership.containing_interval(points, spans).select("file", "at", "identity")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import lexical, metrics, ownership
+from cairn.operators.fingerprint import fingerprint_sql, fingerprints
 from cairn.operators.keys import first_struct
 from cairn.plans.registry import query
 from cairn.session import table
@@ -99,6 +100,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "://[^/]+/(.*)$", 1), "[?#].*$", "").alias("path"))
 
 
+SHARED_PATHS = ["fr/Directory.Build.props", "fr/My.sln", "fr/x.SLNX", "fr/.globalconfig", "fr/team.editorconfig", "fr/Global.json", "xx/NuGet.Config", "fr/a.ruleset", "fr/my.targets", "fr/json"]
 PROJECT_ROWS = [("en/en.csproj",), ("fr/fr.csproj",), ("fr/fr2.csproj",), ("root.csproj",)]
 
 
@@ -108,13 +110,13 @@ def ownership_nearest(spark: SparkSession, d: str) -> DataFrame:
     return ownership.nearest_owner(_paths(spark, d).select("path").distinct(), spark.createDataFrame(PROJECT_ROWS, "path string"))
 
 
-@query(f"""WITH {PATHS}, u AS (SELECT DISTINCT path FROM p UNION SELECT 'fr/Directory.Build.props'), pr(project, dir) AS (VALUES ('en/en.csproj', 'en'), ('fr/fr.csproj', 'fr'), ('fr/fr2.csproj', 'fr'), ('root.csproj', '')),
+@query(f"""WITH {PATHS}, u AS (SELECT DISTINCT path FROM p UNION SELECT unnest(['fr/Directory.Build.props', 'fr/My.sln', 'fr/x.SLNX', 'fr/.globalconfig', 'fr/team.editorconfig', 'fr/Global.json', 'xx/NuGet.Config', 'fr/a.ruleset', 'fr/my.targets', 'fr/json'])), pr(project, dir) AS (VALUES ('en/en.csproj', 'en'), ('fr/fr.csproj', 'fr'), ('fr/fr2.csproj', 'fr'), ('root.csproj', '')),
 i AS (SELECT path, 'root.csproj' AS project FROM u WHERE path LIKE 'de/%'),
-sh AS (SELECT path FROM u WHERE path NOT IN (SELECT path FROM i) AND lower(path) LIKE '%.props'),
+sh AS (SELECT path FROM u WHERE path NOT IN (SELECT path FROM i) AND (regexp_matches(lower(path), '(^|/)(global[.]json|nuget[.]config)$') OR regexp_matches(lower(path), '([.]props|[.]targets|[.]sln|[.]slnx|[.]ruleset|[.]editorconfig|[.]globalconfig)$'))),
 j AS (SELECT path, project, rank() OVER (PARTITION BY path ORDER BY length(dir) DESC) AS r FROM u JOIN pr ON dir = '' OR starts_with(path, dir || '/') WHERE path NOT IN (SELECT path FROM i) AND path NOT IN (SELECT path FROM sh))
-SELECT path, project, 'item' AS reason FROM i UNION ALL SELECT path, project, 'shared' FROM sh JOIN pr ON starts_with(project, 'fr/') UNION ALL SELECT path, project, 'nearest' FROM j WHERE r = 1""")
+SELECT path, project, 'item' AS reason FROM i UNION ALL SELECT path, project, 'shared' FROM sh JOIN pr ON starts_with(path, 'fr/') AND starts_with(project, 'fr/') UNION ALL SELECT path, '*', 'shared everywhere' FROM sh WHERE NOT starts_with(path, 'fr/') UNION ALL SELECT path, project, 'nearest' FROM j WHERE r = 1""")
 def ownership_tiers(spark: SparkSession, d: str) -> DataFrame:
-    paths = _paths(spark, d).select("path").distinct().union(spark.createDataFrame([("fr/Directory.Build.props",)], "path string"))
+    paths = _paths(spark, d).select("path").distinct().union(spark.createDataFrame([(p,) for p in SHARED_PATHS], "path string"))
     items = paths.where("path like 'de/%'").select("path", F.lit("root.csproj").alias("project"))
     return ownership.owners(paths, spark.createDataFrame(PROJECT_ROWS, "path string"), items)
 
@@ -143,10 +145,9 @@ def nonblank_loc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.nonblank_lines(F.col("text")).alias("loc"))
 
 
-@query("SELECT source, lang, sha256(string_agg(doc_id || '|' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id || '|' || sha256(coalesce(text, '')))) AS fingerprint FROM documents GROUP BY ALL")
+@query(f"""SELECT * FROM {fingerprint_sql("documents", "source, lang", "doc_id || '|' || sha256(coalesce(text, ''))")}""")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat_ws("|", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return table(spark, d, "documents").groupBy("source", "lang").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    return fingerprints(table(spark, d, "documents"), ["source", "lang"], F.concat_ws("|", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")

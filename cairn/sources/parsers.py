@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.names import in_tool_folder
 from cairn.functions.text import identity, normal_path
 from cairn.operators.keys import first_by
 
@@ -37,32 +38,45 @@ def inventory(spark: SparkSession, root: str, exclude_dirs: list[str]) -> DataFr
     return found.where(~inside).select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
+def _records(files: DataFrame, pattern: str, fields: int) -> DataFrame:
+    """Records of NUL-delimited content in one linear pass: matches of a pattern that begins where the one before ended; null-padded fields."""
+    found = F.regexp_extract_all(F.concat("content", F.lit("\0")), F.lit(f"({pattern})"), F.lit(1))
+    rows = files.select("path", F.explode(found).alias("record")).select("path", F.split("record", "\0").alias("f"))
+    return rows.select("path", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(fields)])
+
+
 def git_status(files: DataFrame) -> DataFrame:
-    """path, index_status, working_tree_status of `status --porcelain -z` output; a rename's old path is passed over."""
-    parts = F.split("content", "\u0000")
-    state = F.aggregate(
-        parts, F.struct(F.lit(False).alias("skip"), F.array().cast("array<struct<x:string,y:string,p:string>>").alias("rows")),
-        lambda a, s: F.when(a["skip"] | (F.length(s) < 4), F.struct(F.lit(False).alias("skip"), a["rows"].alias("rows"))).otherwise(
-            F.struct(F.substring(s, 1, 2).rlike("[RC]").alias("skip"), F.concat(a["rows"], F.array(F.struct(F.substring(s, 1, 1).alias("x"), F.substring(s, 2, 1).alias("y"), F.substring(s, 4, 1 << 30).alias("p")))).alias("rows"))
-        ),
-    )
-    return files.select(F.explode(state["rows"]).alias("r")).select(normal_path(F.col("r.p")).alias("path"), F.col("r.x").alias("index_status"), F.col("r.y").alias("working_tree_status"))
+    """path, index_status, working_tree_status of `status --porcelain -z` output; a rename's old path is passed over.
+
+    An entry is `XY path`; one with R or C takes the next field with it. Shorter fields than an entry are passed over.
+    """
+    rename = r"(?:[RC][^\x00]|[^\x00][RC])[^\x00]{2,}\x00[^\x00]*\x00"
+    rows = _records(files, rename + r"|[^\x00]*\x00", 1).where(F.length("f0") >= 4)
+    return rows.select(normal_path(F.substring("f0", 4, 1 << 30)).alias("path"), F.substring("f0", 1, 1).alias("index_status"), F.substring("f0", 2, 1).alias("working_tree_status"))
+
+
+def working_tree(status: DataFrame, contents: DataFrame, own_folders: list[str]) -> DataFrame:
+    """Rows of git_status() outside tool folders, with the content hash of the file (path, content); null where it is gone."""
+    kept = status.where(~in_tool_folder(F.col("path"), own_folders))
+    hashes = contents.select(normal_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("content_hash"))
+    return kept.join(hashes, "path", "left")
 
 
 def git_name_status(files: DataFrame) -> DataFrame:
     """path, status of `diff --name-status -z` output; renames and copies give the old and the new path."""
-    parts = F.split("content", "\u0000")
-    empty = F.struct(F.lit("").alias("status"), F.lit(0).alias("due"), F.array().cast("array<struct<s:string,p:string>>").alias("rows"))
-    begin = lambda a, s: F.struct(F.substring(s, 1, 1).alias("status"), F.when(s.rlike("^[RC]"), 2).when(s == "", 0).otherwise(1).alias("due"), a["rows"].alias("rows"))
-    take = lambda a, s: F.struct(a["status"].alias("status"), (a["due"] - 1).alias("due"), F.concat(a["rows"], F.array(F.struct(a["status"].alias("s"), s.alias("p")))).alias("rows"))
-    state = F.aggregate(parts, empty, lambda a, s: F.when(a["due"] > 0, take(a, s)).otherwise(begin(a, s)))
-    return files.select(F.explode(state["rows"]).alias("r")).select(normal_path(F.col("r.p")).alias("path"), F.col("r.s").alias("status"))
+    two = r"[RC][^\x00]*\x00[^\x00]*\x00[^\x00]*\x00"
+    rows = _records(files, two + r"|[^\x00]+\x00[^\x00]*\x00|[^\x00]*\x00", 4)
+    # The last field is what stands behind the record's last NUL: nothing.
+    moved = F.col("f0").rlike("^[RC]") & F.col("f3").isNotNull()
+    paths = F.when(moved, F.array("f1", "f2")).otherwise(F.array("f1"))
+    out = rows.where("f0 <> '' and f2 is not null").select(F.explode(paths).alias("p"), F.substring("f0", 1, 1).alias("status"))
+    return out.select(normal_path(F.col("p")).alias("path"), "status")
 
 
 def git_numstat(lines: DataFrame) -> DataFrame:
     """commit, author, at, file, added, deleted of a log with `@@\\tsha\\tauthor\\tdate` headers before numstat rows.
 
-    Headers are carried down by a window in each log file; binary files ("-") count no lines.
+    Headers are carried down each log in ranges of lines, so one long log is many tasks; binary files ("-") count no lines.
     """
     from cairn.operators.metrics import carry_headers
 
@@ -165,15 +179,3 @@ def resolved_references(files: DataFrame) -> DataFrame:
     named = lambda k: F.transform(F.array_sort(F.transform(F.col(f"i.{k}.Identity"), lambda p: F.struct(F.regexp_extract(p, r"([^/\\\\]*)$", 1).alias("n"), p.alias("p")))), lambda s: s["p"])
     rows = x.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), named(k).alias("items")) for k in kinds])).alias("g"))
     return rows.select("path", "g.kind", F.posexplode("g.items").alias("position", "item")).withColumn("position", (F.col("position") + 1).cast("long"))
-
-
-def markup_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Component uses and bindings in markup: source, target identity (three candidates at most, own project first), kind, line."""
-    from cairn.functions.text import line_of
-
-    tags = F.regexp_extract_all("content", F.lit(r"<([A-Z][A-Za-z0-9_.]*)[\s/>]"), F.lit(1))
-    uses = files.select("path", "project", "content", F.explode(F.array_distinct(tags)).alias("name"))
-    uses = uses.withColumn("line", line_of(F.col("content"), F.expr("locate(concat('<', name), content)"))).drop("content")
-    keys = symbols.select(F.col("name").alias("k"), "identity", F.col("project").alias("p")).union(symbols.select(F.col("semantic_name"), "identity", "project"))
-    found = uses.join(keys, uses["name"] == keys["k"]).select("path", "name", "line", "identity", (F.col("project") == F.col("p")).alias("own"))
-    return first_by(found.distinct(), ["path", "name"], [F.desc("own"), "identity"], 3).select(F.col("path").alias("source"), F.col("identity").alias("target"), F.lit("component-use").alias("relationship"), "line")

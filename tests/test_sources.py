@@ -47,12 +47,6 @@ def test_xml_formats(spark):
     assert proj.is_test and proj.project_references == ["../A/A.csproj"] and proj.target_frameworks == ["net8.0"]
 
 
-def test_markup(spark):
-    page = spark.createDataFrame([("Page.razor", "p1", "<div>\n<Grid x='1'/>\n<Other/></div>")], "path string, project string, content string")
-    symbols = spark.createDataFrame([("i1", "Grid", "N.Grid", "p2"), ("i2", "Grid", "M.Grid", "p1")], "identity string, name string, semantic_name string, project string")
-    assert [(r.target, r.line) for r in P.markup_edges(page, symbols).orderBy(F.desc("target")).collect()] == [("i2", 2), ("i1", 2)]
-
-
 def test_store_and_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     table, hit = store.materialise(spark, str(tmp_path), "t", "h1", lambda: df)
