@@ -268,7 +268,7 @@ placed AS (
   FROM harmed JOIN convs ON harmed.conv_id IS NOT DISTINCT FROM convs.conv_id WINDOW w AS (PARTITION BY n ORDER BY turn NULLS FIRST, role, sha256(text), copy)
 ),
 faulty AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS f FROM placed
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 3 ELSE 0 END AS f FROM placed
 ),
 input AS (SELECT *, CASE WHEN f = 3 THEN 3 ELSE 0 END AS late FROM faulty),
 walk(n, i, v0, vs, vu, va) AS (
