@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import identifier_words
+from cairn.operators.metrics import evidence_decision
 
 
 @dataclass(frozen=True)
@@ -80,3 +81,41 @@ def scan_lines(files: DataFrame, terms: list[str], key: str, text: str, hits: in
     # A row's number is not deterministic, so the filter stays above this projection and the lines are scanned once.
     made = F.struct(total.cast("long").alias("file_score"), best.cast("long").alias("best_line"), distinct.cast("long").alias("distinct_terms"), F.monotonically_increasing_id().alias("row"))
     return df.select(key, made.alias("__m")).where("__m.distinct_terms > 0").select(key, "__m.file_score", "__m.best_line", "__m.distinct_terms")
+
+
+# What an answer says about what it did not look at.
+UNSCANNED = "Scanned {} of {} candidate files for lexical evidence in path order; later paths were not examined."
+OVERSIZED = "Skipped {} file(s) larger than indexing.maxEvidenceFileBytes when scanning for lexical evidence."
+FILTERED = "Filtered queries search indexed declarations only; files with matching text but no matching declaration were not considered."
+
+
+def scan_limited(files: DataFrame, terms: list[str], most_files: int, most_bytes: int, hits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(found, gaps): scan_lines() over the first most_files files by path, and a gap row for each kind of file not looked at.
+
+    files: path (once each), text, bytes, excluded (files shown already: they take a place, but are not read). The last
+    path within the limit is found first, among the paths alone, so texts beyond it or over most_bytes are never read. The
+    gaps are counted on paths and sizes in one row.
+    """
+    places = files.select("path", F.col("bytes") > most_bytes, "excluded").toDF("path", "large", "excluded")
+    last = places.select("path").orderBy("path").limit(most_files).agg(F.max("path")).head()[0]  # one path
+    inside = F.col("path") <= last if last is not None else F.lit(False)
+    counted = places.agg(F.count("*").alias("all"), F.count_if(inside).alias("scanned"), F.count_if(inside & ~F.col("excluded") & F.col("large")).alias("large"))
+    told = lambda text, *numbers: F.format_string(text.replace("{}", "%d"), *numbers)
+    lines = F.array(F.when(F.col("all") > F.col("scanned"), told(UNSCANNED, F.col("scanned"), F.col("all"))), F.when(F.col("large") > 0, told(OVERSIZED, F.col("large"))))
+    gaps = counted.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("gap"))
+    found = scan_lines(files.where(inside & ~F.col("excluded") & (F.col("bytes") <= most_bytes)), terms, "path", "text", hits)
+    return found, gaps
+
+
+def scan_decision(found: DataFrame, gaps: DataFrame, filtered: bool = False) -> DataFrame:
+    """One row: blocks, decision. A scan that left something out, or that filters confined to declarations, is at most Partial."""
+    more = int(filtered)
+    rows = found.select(F.lit(1).alias("block"), F.lit(None).cast("int").alias("gap")).union(gaps.select(F.lit(None).cast("int"), F.lit(1)))
+    n = rows.agg(F.count("block").alias("blocks"), (F.count("gap") + more).alias("gaps"))
+    no = F.lit(False)
+    return n.select("blocks", evidence_decision(F.col("blocks"), no, F.col("gaps"), no, no, no, no).alias("decision"))
+
+
+def filter_gaps(spark: SparkSession, filtered: bool) -> DataFrame:
+    """The gap row of a query that filters confine to declarations."""
+    return spark.createDataFrame([(FILTERED,)] if filtered else [], "gap string")

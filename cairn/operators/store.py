@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,52 +27,131 @@ def input_hash(files: DataFrame) -> DataFrame:
     return fingerprints(files, ["project"], F.concat_ws("|", "path", "content_hash"), "hash")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it is there; of two writers one gets False. Stores without atomic creation need a lock beside this."""
+    fs, p = _path(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception as e:  # the file system's own kind of "exists already"
+        if fs.exists(p):
+            return False
+        raise e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
 def materialise(spark: SparkSession, root: str, name: str, key: str, make) -> tuple[DataFrame, bool]:
-    """The table at root/name/hash=key; made and written if it is not there. Folders are never changed, so a
-    reader needs no lock and a failed writer leaves nothing behind that counts. Second value: cache hit."""
-    path = f"{root}/{name}/hash={key}"
-    hit = _exists(spark, f"{path}/_SUCCESS")
+    """The table of a content key below root/name; made and written if no one has. Second value: cache hit.
+
+    Every maker writes a folder of its own and then puts the key's entry, which names the folder. The entry is put once: a
+    maker that comes second reads the first one's folder and drops its own, so no reader ever loses files.
+    """
+    entry = f"{root}/{name}/key={key}.json"
+    hit = _exists(spark, entry)
     if not hit:
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), hit
+        folder = f"{root}/{name}/made-{uuid.uuid4().hex}"
+        make().write.parquet(folder)
+        if not put_if_absent(spark, entry, json.dumps({"folder": folder})):
+            drop_path(spark, folder)
+    return spark.read.parquet(json.loads(_text(spark, entry))["folder"]), hit
+
+
+class Lost(Exception):
+    """Another writer published first; nothing of this one is left."""
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Manifests of a published table, oldest first."""
+    fs, p = _path(spark, path)
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("manifest-")) if fs.exists(p) else []
 
 
-def publish(df: DataFrame, path: str, version: int = CURRENT, replace: bool = False, by: list[str] | None = None) -> None:
-    """Write a snapshot with its schema version; refuses to replace unless told to.
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The newest manifest: number, slices (slice -> folder); number 0 where nothing is published."""
+    found = _manifests(spark, path)
+    return json.loads(_text(spark, found[-1])) if found else {"number": 0, "slices": {}}
 
-    Each publication is a folder of its own, which counts once Spark has committed it (_SUCCESS); only then the ones
-    before it go. Readers see the old snapshot or the new one, never a part.
+
+def _put_manifest(spark: SparkSession, path: str, number: int, slices: dict[str, str], made: list[str]) -> None:
+    if not put_if_absent(spark, f"{path}/manifest-{number:09d}.json", json.dumps({"number": number, "slices": slices})):
+        for folder in made:
+            drop_path(spark, folder)
+        raise Lost(f"{path} has a publication {number} already")
+
+
+def publish(df: DataFrame, path: str, version: int = CURRENT, replace: bool = False, by: list[str] | None = None, seen: int | None = None) -> int:
+    """Write a snapshot with its schema version and put its manifest; refuses to replace unless told to. Returns its number.
+
+    The data are a folder of their own; the manifest is put if absent under the number after `seen` (the newest, if not
+    given), so of two writers that saw the same state one loses cleanly. Readers follow a manifest and so see the old
+    snapshot or the new one. Old folders stay until retire().
     """
     check_version(version)
     spark = df.sparkSession
-    old = _publications(spark, path)
-    if old and not replace:
+    old = manifest(spark, path)
+    if old["number"] and not replace:
         raise FileExistsError(f"{path} is published already")
-    target = f"{path}/published={int(old[-1].rpartition('=')[2]) + 1 if old else 1:09d}"
-    df.withColumn("schema_version", F.lit(version)).write.mode("overwrite").partitionBy(*(by or [])).parquet(target)
-    for folder in old:
-        drop_path(spark, folder)
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    df.withColumn("schema_version", F.lit(version)).write.partitionBy(*(by or [])).parquet(folder)
+    number = (old["number"] if seen is None else seen) + 1
+    _put_manifest(spark, path, number, {"": folder}, [folder])
+    return number
 
 
-def _publications(spark: SparkSession, path: str) -> list[str]:
-    """Folders of complete publications, oldest first."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("published=")) if fs.exists(p) else []
-    return [f for f in found if _exists(spark, f"{f}/_SUCCESS")]
+def publish_slices(df: DataFrame, path: str, by: str, version: int = CURRENT, gone: list[str] | None = None, seen: int | None = None) -> int:
+    """Publish the slices (values of column `by`) that df has, below one manifest; all others keep their folders and files.
+
+    gone: slices to leave out from now on. All changed slices are written by one job into one folder, a partition each.
+    """
+    check_version(version)
+    spark = df.sparkSession
+    old = manifest(spark, path)
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    named = df.withColumn("schema_version", F.lit(version)).withColumn("__slice", F.sha2(F.col(by).cast("string"), 256))
+    named.write.partitionBy("__slice").parquet(folder)
+    changed = [r[0] for r in df.select(F.col(by).cast("string")).distinct().collect()]  # one name for each slice
+    slices = {k: v for k, v in old["slices"].items() if k not in (gone or [])}
+    slices |= {k: f"{folder}/__slice={hashlib.sha256(k.encode()).hexdigest()}" for k in changed}
+    number = (old["number"] if seen is None else seen) + 1
+    _put_manifest(spark, path, number, slices, [folder])
+    return number
+
+
+def retire(spark: SparkSession, path: str, grace_seconds: float) -> list[str]:
+    """Delete data folders that the newest manifest does not name and that have not been changed for the grace period.
+
+    A reader may hold an older snapshot for as long as the grace period; a writer must put its manifest within it.
+    """
+    fs, p = _path(spark, path)
+    now = manifest(spark, path)
+    used = {v.split("/data-")[1].split("/")[0] for v in now["slices"].values()}
+    old = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("data-") and x.getPath().getName()[5:] not in used and x.getModificationTime() < (time.time() - grace_seconds) * 1000]
+    for folder in old:
+        drop_path(spark, folder.toString())
+    return sorted(x.toString() for x in old)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     """A published snapshot; versions outside the window are an error, raised where the rows are read."""
-    found = _publications(spark, path)
-    if not found:
+    slices = manifest(spark, path)["slices"]
+    if not slices:
         raise FileNotFoundError(f"nothing is published at {path}")
-    df = spark.read.parquet(found[-1])
+    df = spark.read.parquet(*sorted(set(slices.values())))
     bad = F.raise_error(F.lit("unreadable schema version")).cast("boolean")
     return df.where(F.when(F.col("schema_version").between(READABLE.start, READABLE.stop - 1), F.lit(True)).otherwise(bad))
 

@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from cairn.plans import evidence, markup, readers, selection, texts  # noqa: F401  they register themselves
+    from cairn.plans import answers, evidence, markup, readers, selection, texts  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

@@ -14,7 +14,7 @@ def stream_deltas(snapshots: DataFrame, key: str, out: str, checkpoint: str) ->
     """Write new and resolved rows of each micro-batch below out/new and out/resolved, by epoch (repeats overwrite).
 
     Snapshots are kept below the checkpoint by epoch, so a restarted query goes on from the last one; those before
-    the last two are deleted.
+    the last two are deleted. A missing snapshot of the epoch before is an error: without it every row would count as new.
     """
     spark, root = snapshots.sparkSession, f"{checkpoint.rstrip('/')}/snapshots"
 
@@ -23,7 +23,9 @@ def stream_deltas(snapshots: DataFrame, key: str, out: str, checkpoint: str) ->
         batch.write.mode("overwrite").parquet(at(epoch))
         read = lambda n: spark.read.schema(batch.schema).parquet(at(n))
         now = read(epoch)
-        before = read(epoch - 1) if epoch > 0 and _exists(spark, at(epoch - 1)) else now.limit(0)
+        if epoch > 0 and not _exists(spark, at(epoch - 1)):
+            raise FileNotFoundError(f"the snapshot of epoch {epoch - 1} is missing at {at(epoch - 1)}")
+        before = read(epoch - 1) if epoch > 0 else now.limit(0)
         new_rows(before, now, key).write.mode("overwrite").parquet(f"{out}/new/epoch={epoch}")
         resolved_rows(before, now, key).write.mode("overwrite").parquet(f"{out}/resolved/epoch={epoch}")
         drop_path(spark, at(epoch - 2))

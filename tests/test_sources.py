@@ -61,7 +61,7 @@ def test_store_and_stream(spark, tmp_path):
         if i:
             stream_deltas(stream, "id", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     new = spark.read.parquet(str(tmp_path / "out" / "new")).count()
-    assert new in (3, 2 + 1)
+    assert new == 3
 
 
 def test_stream_goes_on_after_a_restart(spark, tmp_path):
@@ -73,16 +73,3 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
         for kind in ("new", "resolved"):
             got[kind, i] = sorted(r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / kind / f"epoch={i}")).collect())
     assert got == {("new", 0): [1, 2], ("resolved", 0): [], ("new", 1): [3], ("resolved", 1): [1], ("new", 2): [], ("resolved", 2): [2]}
-
-
-def test_publication_switches(spark, tmp_path):
-    one, two, path = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(2,), (3,)], "id long"), str(tmp_path / "p")
-    store.publish(one, path)
-    with pytest.raises(FileExistsError):
-        store.publish(two, path)
-    (tmp_path / "p" / "published=000000002").mkdir()  # a writer that was lost
-    assert store.read_published(spark, path).count() == 1
-    store.publish(two, path, replace=True)
-    assert sorted(r.id for r in store.read_published(spark, path).collect()) == [2, 3]
-    (tmp_path / "p" / "config.json").write_text("{}")
-    assert store.reset(spark, path, ["config.json"]) == ["published=000000002"]
