@@ -30,6 +30,29 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
 
 
+def plain_path(path: Column) -> Column:
+    """A path without `.` and `..` segments; `..` above the root stays."""
+    step = lambda a, s: F.when((s == "") | (s == "."), a).when((s == "..") & (F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("..")) != ".."), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(s)))
+    return F.array_join(F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.array().cast("array<string>"), step), "/")
+
+
+def beside(file: Column, relative: Column) -> Column:
+    """A path given relative to the folder of a file."""
+    folder = F.regexp_extract(F.replace(file, F.lit("\\"), F.lit("/")), r"^(.*/)?[^/]*$", 1)
+    return F.when(relative.rlike(r"^(?:/|[A-Za-z]:)"), F.replace(relative, F.lit("\\"), F.lit("/"))).otherwise(plain_path(F.concat(folder, relative)))
+
+
+def relative_file(uri: Column, root: str) -> Column:
+    """A decoded file URI or path, relative to root where it is below it; null for blank ones."""
+    below = root.replace("\\", "/").rstrip("/") + "/"
+    decoded = F.replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), F.lit("\\"), F.lit("/"))
+    local = F.regexp_replace(decoded, r"^file://(?:localhost)?(?:/(?=[A-Za-z]:))?", "")
+    absolute = local.rlike(r"^(?:/|[A-Za-z]:)")
+    full = F.when(absolute, F.concat(F.when(local.startswith("/"), "/").otherwise(""), plain_path(local))).otherwise(F.concat(F.lit(below), plain_path(local)))
+    full = F.when(absolute, full).otherwise(F.concat(F.lit("/" if below.startswith("/") else ""), plain_path(full)))
+    return F.when(F.trim(uri) != "", F.when(F.startswith(full, F.lit(below)), F.substring(full, len(below) + 1, 1 << 30)).otherwise(full))
+
+
 def is_within(path: Column, folder: Column) -> Column:
     """Whether a path is a folder (any case) or below it; everything is within the empty folder."""
     below = F.lower(F.rtrim(folder, F.lit("/")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.keys import first_struct
@@ -51,3 +51,25 @@ def merge_first(frames: list[DataFrame], keys: list[str], order: list[str]) -> D
     for i, df in enumerate(frames[1:], 1):
         out = out.unionByName(df.withColumn("__from", F.lit(i)))
     return first_struct(out, keys, ["__from", *order]).drop("__from")
+
+
+def has_regressions(states: list[tuple[Column, Column]], new_errors: Column, new_warnings: Column, new_failures: Column, warnings_count: bool) -> Column:
+    """Whether a run is worse than its baseline: a step (build, formatter, scanner: state before, state now) that succeeded and no longer
+    does, a new error, a new warning where these count, or a newly failing test.
+    """
+    out = (F.coalesce(new_errors, F.lit(0)) > 0) | (F.coalesce(new_failures, F.lit(0)) > 0) | (F.lit(warnings_count) & (F.coalesce(new_warnings, F.lit(0)) > 0))
+    for before, now in states:
+        out = out | (before.eqNullSafe(F.lit("Succeeded")) & ~now.eqNullSafe(F.lit("Succeeded")))
+    return out
+
+
+def regressions(runs: DataFrame, diagnostics: DataFrame, failures: DataFrame, key: str, steps: list[str], warnings_count: bool) -> DataFrame:
+    """runs (key, <step>_before, <step>_now for each step) with new_errors, new_warnings, new_failures and regressed.
+
+    diagnostics (key, identity, severity, is_new) and failures (key, identity, is_new): new ones count, each identity once.
+    """
+    new = diagnostics.where("is_new").select(key, "identity", "severity").distinct().groupBy(key).agg(F.count_if(F.col("severity") == "error").alias("new_errors"), F.count_if(F.col("severity") == "warning").alias("new_warnings"))
+    failed = failures.where("is_new").groupBy(key).agg(F.count_distinct("identity").alias("new_failures"))
+    joined = runs.join(new, key, "left").join(failed, key, "left").fillna(0, ["new_errors", "new_warnings", "new_failures"])
+    states = [(F.col(f"{s}_before"), F.col(f"{s}_now")) for s in steps]
+    return joined.withColumn("regressed", has_regressions(states, F.col("new_errors"), F.col("new_warnings"), F.col("new_failures"), warnings_count))

@@ -22,39 +22,48 @@ RELATIONS = {
 }
 
 
-def relation(edges: DataFrame, given: DataFrame, name: str, kinds: DataFrame | None = None) -> DataFrame:
+def relation(edges: DataFrame, given: DataFrame, name: str, kinds: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """Distinct (source, target, relationship) of a relation for the symbols in given (id).
 
-    tests-covering needs kinds (id, kind) and keeps sources of kind test.
+    tests-covering needs kinds (id, kind) and keeps sources of kind test. With symbols (id) both ends must be among them.
     """
     end, wanted = RELATIONS[name]
     found = edges if wanted is None else edges.where(F.col("relationship").isin(wanted))
     found = found.join(given.select(F.col("id").alias(end)).distinct(), end, "left_semi")
     if wanted is None:
         found = found.join(kinds.where("kind = 'test'").select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    if symbols is not None:
+        known = symbols.select("id").distinct()
+        found = found.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     return found.select("source", "target", "relationship").distinct()
 
 
-def expand(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """seeds (id, score) and what up to `depth` (3 at most) levels of edges reach from them: id, score, level.
+def expand(seeds: DataFrame, edges: DataFrame, depth: int, known: DataFrame | None = None) -> DataFrame:
+    """seeds (id, score) and what up to `depth` (3 at most) levels of edges reach from them: id, score, level, reasons.
 
     An edge row (source, target, relationship) gives each new neighbour, in either direction, at least 1 and
     weight + min(200, anchor's score div 4) - 15 * level; a neighbour sums its rows (use sites count one by one) up
-    to 1,000. Levels see only what earlier levels found.
+    to 1,000. Levels see only what earlier levels found. With known (id) only these can be reached. reasons: the distinct
+    `graph depth n: uses 'kind'` (the anchor is the source) and `used by`, in order; seeds have none. Equal edge rows
+    are counted once before the first level and travel as one.
     """
     if not 0 <= depth <= 3:
         raise ValueError("depth is 0 to 3")
     weight = F.lit(OTHER)
     for kind, w in EDGE_WEIGHTS.items():
         weight = F.when(F.col("relationship") == kind, w).otherwise(weight)
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), weight.alias("w")).union(edges.select(F.col("target").alias("a"), F.col("source").alias("b"), weight.alias("w")))
-    found = seeds.select("id", F.col("score").cast("long").alias("score"), F.lit(0).cast("long").alias("level"))
+    counted = edges.groupBy("source", "target", "relationship").agg(F.count("*").alias("n"))
+    way = lambda a, b, verb: counted.select(F.col(a).alias("a"), F.col(b).alias("b"), weight.alias("w"), "n", F.concat(F.lit(f"{verb} '"), "relationship", F.lit("'")).alias("why"))
+    both = staged(way("source", "target", "uses").union(way("target", "source", "used by")), "ways")
+    found = seeds.select("id", F.col("score").cast("long").alias("score"), F.lit(0).cast("long").alias("level"), F.array().cast("array<string>").alias("reasons"))
     front = found
     for level in range(1, depth + 1):
         points = F.greatest(F.lit(1), F.col("w") + F.least(F.lit(SHARE_CEILING), F.expr(f"score div {SHARE}")) - STEP * level)
-        near = both.join(front.select(F.col("id").alias("a"), "score"), "a").select(F.col("b").alias("id"), points.alias("p"))
-        near = near.groupBy("id").agg(F.least(F.sum("p"), F.lit(CEILING)).cast("long").alias("score"))
-        front = staged(near.join(found.select("id"), "id", "left_anti").select("id", "score", F.lit(level).cast("long").alias("level")), "level")
+        near = both.join(front.select(F.col("id").alias("a"), "score"), "a").select(F.col("b").alias("id"), (points * F.col("n")).alias("p"), F.concat(F.lit(f"graph depth {level}: "), "why").alias("why"))
+        near = near.groupBy("id").agg(F.least(F.sum("p"), F.lit(CEILING)).cast("long").alias("score"), F.array_sort(F.collect_set("why")).alias("reasons"))
+        if known is not None:
+            near = near.join(known.select("id").distinct(), "id", "left_semi")
+        front = staged(near.join(found.select("id"), "id", "left_anti").select("id", "score", F.lit(level).cast("long").alias("level"), "reasons"), "level")
         found = found.union(front)
     return found
 

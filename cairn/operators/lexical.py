@@ -42,18 +42,22 @@ def rarity(n: int, df: int) -> float:
 
 
 def score(symbols: DataFrame, query: str, terms: list[str], weights: Weights = Weights(), seeds: Column | None = None) -> DataFrame:  # noqa: B008
-    """symbols that score, with `score`. seeds restricts what may score, not what counts for rarity."""
+    """symbols that score, with `score` and `reasons`. seeds restricts what may score, not what counts for rarity."""
     n, df = document_frequency(symbols, terms)
     worded = with_words(symbols if seeds is None else symbols.where(seeds))
-    total = F.when((F.lower("name") == query.lower()) | (F.lower("semantic_name") == query.lower()), weights.exact).otherwise(0)
+    exact = (F.lower("name") == query.lower()) | (F.lower("semantic_name") == query.lower())
+    total, why = F.when(exact, weights.exact).otherwise(0), [F.when(exact, "exact symbol match")]
     for t in terms:
         points = lambda w, t=t: F.lit(round(w * rarity(n, df[t])))  # noqa: E731  Python rounds half to even
-        name = F.when(F.array_contains("__name", t), points(weights.name_word)).when(F.lower("name").contains(t), points(weights.name_part)).when(F.array_contains("__semantic", t), points(weights.semantic_word)).otherwise(0)
-        total = total + name + F.when(F.array_contains("__file", t), points(weights.file_word)).otherwise(0)
+        word, part, semantic, file = F.array_contains("__name", t), F.lower("name").contains(t), F.array_contains("__semantic", t), F.array_contains("__file", t)
+        name = F.when(word, points(weights.name_word)).when(part, points(weights.name_part)).when(semantic, points(weights.semantic_word)).otherwise(0)
+        total = total + name + F.when(file, points(weights.file_word)).otherwise(0)
+        why += [F.when(word, f"symbol word matches '{t}'").when(part, f"symbol name contains '{t}'").when(semantic, f"semantic name matches word '{t}'"), F.when(file, f"file name matches '{t}'")]
+    executable = F.col("kind").isin("method", "test")
     # A row's number is not deterministic, so the filter stays above this projection and the words are found once.
-    scored = worded.withColumn("__m", F.struct(total.alias("score"), F.monotonically_increasing_id().alias("row"))).where("__m.score > 0")
-    bonus = F.when(F.col("kind").isin("method", "test"), weights.executable).otherwise(0)
-    return scored.withColumn("score", (F.col("__m.score") + bonus).cast("long")).drop("__m", "__name", "__semantic", "__file")
+    scored = worded.withColumn("__m", F.struct(total.alias("score"), F.array_compact(F.array(*why, F.when(executable, "focused executable declaration"))).alias("why"), F.monotonically_increasing_id().alias("row"))).where("__m.score > 0")
+    bonus = F.when(executable, weights.executable).otherwise(0)
+    return scored.withColumn("score", (F.col("__m.score") + bonus).cast("long")).withColumn("reasons", F.col("__m.why")).drop("__m", "__name", "__semantic", "__file")
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.keys import first_by
 from cairn.operators.ordered import carry_last, running_sums
 
+# Outcomes of test runs.
+OUTCOMES = {"failed": ["failed", "error", "timeout", "aborted"], "passed": ["passed", "completed"], "skipped": ["notexecuted", "skipped", "inconclusive"]}
 
-def merge_coverage(lines: DataFrame) -> DataFrame:
-    """file, coverage: share of lines (file, line, hits) hit in any report, in percent. Two partial aggregations."""
-    best = lines.groupBy("file", "line").agg(F.max("hits").alias("hits"))
-    return best.groupBy("file").agg((F.count_if(F.col("hits") > 0) * 100.0 / F.count("*")).alias("coverage"))
+
+def merge_coverage(lines: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """file, coverage: share of lines (file, line, hits) hit in any report, in percent; files are the same in any case.
+
+    A file that no report has lines of takes the mean of its rates (file, rate). Shown is the least spelling of a file.
+    """
+    low = F.lower(F.col("file").cast("string"))
+    best = lines.groupBy(low.alias("__f"), "line").agg(F.max("hits").alias("hits"), F.min("file").alias("file"))
+    out = best.groupBy("__f").agg(F.min("file").alias("file"), (F.count_if(F.col("hits") > 0) * 100.0 / F.count("*")).alias("coverage"))
+    if rates is not None:
+        mean = rates.groupBy(low.alias("__f")).agg(F.min("file").alias("file"), F.avg("rate").alias("coverage"))
+        out = out.unionByName(mean.join(out.select("__f"), "__f", "left_anti"))
+    return out.select("file", "coverage")
 
 
 def churn(log: DataFrame) -> DataFrame:
@@ -31,6 +43,61 @@ def fan(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, into
 
 
+def hotspot_inputs(files: DataFrame, diagnostics: DataFrame, edges: DataFrame, coverage: DataFrame, history: DataFrame) -> DataFrame:
+    """What rank_hotspots() needs of each file (path, complexity, loc): diagnostics (path: one row each), edges (source, target,
+    source_file, target_file), coverage (file, coverage), history (file, churn). What is missing counts 0; coverage stays null.
+    """
+    out, into = fan(edges)
+    found = diagnostics.groupBy("path").agg(F.count("*").alias("diagnostics"))
+    named = lambda df: df.withColumnRenamed("file", "path")
+    joined = files
+    for side in (found, named(out), named(into), named(coverage), named(history.select("file", "churn"))):
+        joined = joined.join(side, "path", "left")
+    return joined.fillna(0, ["diagnostics", "fan_in", "fan_out", "churn", "complexity", "loc"])
+
+
+def type_metrics(methods: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """owner: methods, public_methods, mean_complexity (two decimals, half to even), max_complexity of methods (owner, is_public, complexity),
+    and distinct dependencies of dependencies (owner, target).
+    """
+    mean = F.bround(F.avg("complexity").cast("decimal(18,6)"), 2).cast("double")
+    own = methods.groupBy("owner").agg(F.count("*").alias("methods"), F.count_if("is_public").alias("public_methods"), mean.alias("mean_complexity"), F.max("complexity").cast("long").alias("max_complexity"))
+    used = dependencies.groupBy("owner").agg(F.count_distinct("target").alias("dependencies"))
+    return own.join(used, "owner", "left").fillna(0, ["dependencies"])
+
+
+def diagnostic_summary(diagnostics: DataFrame, rules: int = 5, files: int = 10) -> DataFrame:
+    """The `rules` commonest rules of diagnostics (rule, file): rule, n, and their first `files` files by name, joined by commas."""
+    top = diagnostics.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(rules)
+    # Distinct (rule, file) rows only; Spark keeps the first few of each rule in every task before it deals them out.
+    named = first_by(diagnostics.join(F.broadcast(top.select("rule")), "rule", "left_semi").select("rule", "file").distinct(), ["rule"], ["file"], files)
+    return top.join(named.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files")), "rule").select("rule", "n", "files")
+
+
+def trend_point(files: DataFrame, diagnostics: DataFrame, tests: DataFrame, by: list[str]) -> DataFrame:
+    """A report's trend point for each `by`: hotspots, churn, files with coverage and their mean of files (by, churn, coverage), diagnostics
+    and failing tests (outcome). What a report has none of counts 0; the mean is null.
+    """
+    hot = files.groupBy(*by).agg(F.count("*").alias("hotspots"), F.coalesce(F.sum("churn"), F.lit(0)).cast("long").alias("churn"), F.count("coverage").alias("with_coverage"), F.avg("coverage").alias("mean_coverage"))
+    found = diagnostics.groupBy(*by).agg(F.count("*").alias("diagnostics"))
+    failing = tests.groupBy(*by).agg(F.count_if(outcome_of(F.col("outcome")) == "failed").alias("failing_tests"))
+    return hot.join(found, by, "full").join(failing, by, "full").fillna(0, ["hotspots", "churn", "with_coverage", "diagnostics", "failing_tests"])
+
+
+def outcome_of(outcome: Column) -> Column:
+    """failed, passed or skipped, in any case; null for other words."""
+    out = F.lit(None).cast("string")
+    for kind, words in OUTCOMES.items():
+        out = F.when(F.lower(outcome).isin(words), kind).otherwise(out)
+    return out
+
+
+def test_counts(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """Tests by outcome for each `by` of outcomes (by, outcome): total, failed, passed, skipped."""
+    kind = outcome_of(F.col("outcome"))
+    return outcomes.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(kind == k).alias(k) for k in OUTCOMES])
+
+
 def rank_hotspots(files: DataFrame, k: int) -> DataFrame:
     """The k worst files with rank: diagnostics, complexity, fan, coverage (null last), churn, lines, path. Only k rows are numbered."""
     order = [F.desc("diagnostics"), F.desc("complexity"), F.desc(F.col("fan_in") + F.col("fan_out")), F.coalesce("coverage", F.lit(1e308)), F.desc("churn"), F.desc("loc"), F.asc("path")]

@@ -48,6 +48,11 @@ def in_files(df: DataFrame, files: DataFrame, column: str = "file") -> DataFrame
     return df.join(side, F.lower(column) == F.col("__f"), "left_semi")
 
 
+def scope_for(scope: str, purpose: str) -> str:
+    """The scope to use: automatic is what changed where the purpose is a change, else the whole repository."""
+    return scope if scope != "automatic" else "changed" if purpose == "change" else "full"
+
+
 def scope_files(owned: DataFrame, scope: str, target: str | None = None, changed: DataFrame | None = None) -> DataFrame:
     """The files (project, path) of a scope over owned files (project, project_name, path).
 
@@ -102,12 +107,16 @@ def method_owners(methods: DataFrame, symbols: DataFrame) -> DataFrame:
     return methods.join(own, ["file", "line", "name"]).join(types, ["file", "owner_line"])
 
 
-def project_counts(projects: DataFrame) -> DataFrame:
-    """One row: projects, production, tests, and the distinct frameworks in order (a small closed set)."""
-    return projects.agg(
+def project_counts(projects: DataFrame, diagnostics: DataFrame | None = None) -> DataFrame:
+    """One row: projects, production, tests, the distinct frameworks in order (a small closed set), and errors and warnings of diagnostics (severity)."""
+    counts = projects.agg(
         F.count("*").alias("projects"), F.count_if(~F.col("is_test")).alias("production"), F.count_if("is_test").alias("tests"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("frameworks")))), ", ").alias("frameworks"),
     )
+    if diagnostics is None:
+        return counts
+    found = diagnostics.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return counts.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")  # two rows
 
 
 def related_types(dependencies: DataFrame, types: DataFrame, kinds: list[str]) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import delta, graph, metrics, ownership
+from cairn.operators import delta, graph, metrics, ownership, selection, store
 from cairn.operators.fingerprint import fingerprint_sql, fingerprints
 from cairn.operators.keys import first_by
 from cairn.plans.registry import query
-from cairn.session import staged, table
+from cairn.session import scratch_path, staged, table
 
 KINDS = "CASE WHEN l_returnflag = 'A' THEN 'override' WHEN l_returnflag = 'R' THEN 'method-call' ELSE 'attribute' END"
 
@@ -22,19 +22,32 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 EDGES = f"edges AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, {KINDS} AS relationship FROM lineitem)"
 
 
+#: Every edge kind that has a weight of its own, and one that has none.
+ALL_KINDS = [*graph.EDGE_WEIGHTS, "odd"]
+KIND_AT = "element_at(array({}), CAST((l_partkey + 3 * l_suppkey + l_linenumber) % {} + 1 AS INT))".format(", ".join(f"'{k}'" for k in ALL_KINDS), len(ALL_KINDS))
+ALL_EDGES = "edges AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, ([{}])[((l_partkey + 3 * l_suppkey + l_linenumber) % {} + 1)::INT] AS relationship FROM lineitem)".format(", ".join(f"'{k}'" for k in ALL_KINDS), len(ALL_KINDS))
+
+
 def _expand_sql(depth: int) -> str:
-    points = "greatest(1, (CASE relationship WHEN 'override' THEN 130 WHEN 'method-call' THEN 115 ELSE 85 END) + least(200, score // 4) - 15 * {n})"
-    ctes = [EDGES, "both_ways AS (SELECT source AS a, target AS b, relationship FROM edges UNION ALL SELECT target, source, relationship FROM edges)", "l0 AS (SELECT 'p' || p_partkey AS id, 400 AS score, 0 AS level FROM part WHERE p_name = 'red widget' AND p_size = 1)"]
+    weights = " ".join(f"WHEN '{k}' THEN {w}" for k, w in graph.EDGE_WEIGHTS.items())
+    points = f"greatest(1, (CASE relationship {weights} ELSE {graph.OTHER} END) + least(200, score // 4) - 15 * {{n}})"
+    ctes = [ALL_EDGES, "both_ways AS (SELECT source AS a, target AS b, relationship, 'uses' AS verb FROM edges UNION ALL SELECT target, source, relationship, 'used by' FROM edges)", "l0 AS (SELECT 'p' || p_partkey AS id, 400 + p_partkey % 300 AS score, 0 AS level, '' AS reasons FROM part WHERE p_partkey % 70 = 1)"]
     for n in range(1, depth + 1):
         known = " UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(n))
-        ctes.append(f"l{n} AS (SELECT b AS id, least(1000, sum({points.format(n=n)})) AS score, {n} AS level FROM both_ways JOIN l{n - 1} ON a = id WHERE b NOT IN ({known}) GROUP BY b)")
+        why = f"'graph depth {n}: ' || verb || ' ' || chr(39) || relationship || chr(39)"
+        ctes.append(f"l{n} AS (SELECT b AS id, least(1000, sum({points.format(n=n)})) AS score, {n} AS level, string_agg(DISTINCT {why}, '; ' ORDER BY {why}) AS reasons FROM both_ways JOIN l{n - 1} ON a = id WHERE b NOT IN ({known}) AND (starts_with(b, 's') OR substr(b, 2)::INT % 11 <> 0) GROUP BY b)")
     every = " UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(depth + 1))
-    return f"WITH {', '.join(ctes)} SELECT id, score::BIGINT AS score, level::BIGINT AS level FROM ({every})"
+    return f"WITH {', '.join(ctes)} SELECT id, score::BIGINT AS score, level::BIGINT AS level, reasons FROM ({every})"
 
 
 def _expand(spark: SparkSession, d: str, depth: int) -> DataFrame:
-    seeds = table(spark, d, "part").where("p_name = 'red widget' AND p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit(400).alias("score"))
-    return graph.expand(seeds, _edges(spark, d), depth)
+    """From every seventieth part over edges of all kinds; every eleventh part is not in the index."""
+    part = table(spark, d, "part")
+    name = F.concat(F.lit("p"), "p_partkey").alias("id")
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.expr(KIND_AT).alias("relationship"))
+    known = part.where("p_partkey % 11 <> 0").select(name).union(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey")))
+    found = graph.expand(part.where("p_partkey % 70 = 1").select(name, (F.col("p_partkey") % 300 + 400).alias("score")), edges, depth, known)
+    return found.withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query(_expand_sql(1))
@@ -58,9 +71,14 @@ def _relation_sql(end: str, kind: str) -> str:
     return f"WITH {EDGES} SELECT DISTINCT source, target, relationship FROM edges WHERE relationship = '{kind}' AND {end} IN ({given})"
 
 
-@query(_relation_sql("target", "method-call"))
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of an index that lacks some suppliers."""
+    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")).union(table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(F.concat(F.lit("s"), "s_suppkey")))
+
+
+@query(_relation_sql("target", "method-call") + " AND substr(source, 2)::INT % 7 <> 0")
 def relation_callers(spark: SparkSession, d: str) -> DataFrame:
-    return graph.relation(_edges(spark, d), _given(spark, d, "target"), "callers")
+    return graph.relation(_edges(spark, d), _given(spark, d, "target"), "callers", symbols=_known(spark, d))
 
 
 @query(_relation_sql("source", "method-call"))
@@ -225,18 +243,21 @@ SELECT path, rank FROM (SELECT path, row_number() OVER (ORDER BY coalesce(diagno
 FROM f LEFT JOIN u USING (k) LEFT JOIN c USING (k)) WHERE rank <= 25""")
 def hotspot_rank(spark: SparkSession, d: str) -> DataFrame:
     part, line = table(spark, d, "part"), table(spark, d, "lineitem")
-    used = line.groupBy(F.col("l_partkey").alias("k")).agg(F.count_distinct("l_suppkey").alias("fan_in"), F.count("*").alias("loc"), F.count_if(F.col("l_returnflag") == "R").alias("diagnostics"), F.floor(F.sum("l_quantity")).alias("churn"))
-    cover = line.where("l_quantity > 10").groupBy(F.col("l_partkey").alias("k")).agg(F.round(F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count("*"), 6).alias("coverage"))
     files = part.select(F.concat("p_name", F.lit("#"), "p_partkey").alias("path"), F.col("p_partkey").alias("k"), F.col("p_size").alias("complexity"))
-    joined = files.join(used, "k", "left").join(cover, "k", "left").fillna(0, ["fan_in", "loc", "diagnostics", "churn"]).withColumn("fan_out", F.lit(0))
-    return metrics.rank_hotspots(joined, 25).select("path", "rank")
+    used = line.join(files.select("path", F.col("k").alias("l_partkey")), "l_partkey")
+    sized = used.groupBy("path").agg(F.count("*").alias("loc"))
+    edges = used.select(F.col("l_suppkey").cast("string").alias("source"), F.col("path").alias("target"), F.col("l_suppkey").cast("string").alias("source_file"), F.col("path").alias("target_file"))
+    cover = used.where("l_quantity > 10").groupBy(F.col("path").alias("file")).agg(F.round(F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count("*"), 6).alias("coverage"))
+    history = used.groupBy(F.col("path").alias("file")).agg(F.floor(F.sum("l_quantity")).alias("churn"))
+    inputs = metrics.hotspot_inputs(files.join(sized, "path", "left"), used.where("l_returnflag = 'R'").select("path"), edges, cover, history)
+    return metrics.rank_hotspots(inputs, 25).select("path", "rank")
 
 
 @query("""SELECT l_orderkey AS owner, count(*) AS methods, count(*) FILTER (WHERE l_returnflag = 'N') AS public_methods, count(DISTINCT l_partkey) AS dependencies, round_even(avg(l_quantity)::DECIMAL(18, 6), 2)::DOUBLE AS mean_complexity, max(l_quantity)::BIGINT AS max_complexity FROM lineitem GROUP BY owner""")
 def type_metrics(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem")
-    mean = F.bround(F.avg("l_quantity").cast("decimal(18,6)"), 2).cast("double")
-    return line.groupBy(F.col("l_orderkey").alias("owner")).agg(F.count("*").alias("methods"), F.count_if(F.col("l_returnflag") == "N").alias("public_methods"), F.count_distinct("l_partkey").alias("dependencies"), mean.alias("mean_complexity"), F.max("l_quantity").cast("bigint").alias("max_complexity"))
+    line = table(spark, d, "lineitem").withColumn("owner", F.col("l_orderkey"))
+    methods = line.select("owner", (F.col("l_returnflag") == "N").alias("is_public"), F.col("l_quantity").alias("complexity"))
+    return metrics.type_metrics(methods, line.select("owner", F.col("l_partkey").alias("target")))
 
 
 @query("""WITH e AS (SELECT 'k' || (value::BIGINT % 7) AS rule, 'user' || user_id AS file FROM events WHERE event_type = 'error'),
@@ -244,9 +265,7 @@ n AS (SELECT rule, count(*) AS n FROM e GROUP BY rule)
 SELECT rule, n, (SELECT string_agg(file, ',' ORDER BY file) FROM (SELECT DISTINCT file FROM e WHERE e.rule = n.rule ORDER BY file LIMIT 10)) AS files FROM n ORDER BY n DESC, rule LIMIT 5""")
 def diagnostic_summary(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("k"), F.bround("value", 0).cast("bigint") % 7).alias("rule"), F.concat(F.lit("user"), "user_id").alias("file"))
-    top = e.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(5)
-    files = first_by(e.join(F.broadcast(top), "rule", "left_semi").distinct(), ["rule"], ["file"], 10).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
-    return top.join(files, "rule").select("rule", "n", "files")
+    return metrics.diagnostic_summary(e)
 
 
 @query("""SELECT identity, event_id FROM (SELECT sha256(event_type || '|' || user_id || '|' || props) AS identity, event_id, row_number() OVER (PARTITION BY event_type, user_id, props ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -290,10 +309,62 @@ def relationship_expectations(spark: SparkSession, d: str) -> DataFrame:
     return line.where("l_quantity > 45").select(*pair).distinct().join(line.where("l_discount > 0.05").select(*pair).distinct(), ["source", "target"], "left_anti")
 
 
-@query("SELECT o_orderpriority AS suite, count(*) AS total, count(*) FILTER (WHERE lower(o_orderstatus) IN ('f')) AS failed, count(*) FILTER (WHERE lower(o_orderstatus) IN ('o')) AS passed, count(*) FILTER (WHERE lower(o_orderstatus) IN ('p')) AS skipped, bool_and(o_totalprice > 0) AS complete FROM orders GROUP BY suite")
+WORDS = "CASE o_orderkey % 11 WHEN 0 THEN 'Passed' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'Timeout' WHEN 3 THEN 'NotExecuted' WHEN 4 THEN 'completed' WHEN 5 THEN 'Inconclusive' WHEN 6 THEN 'aborted' WHEN 7 THEN 'Error' WHEN 8 THEN 'odd' WHEN 9 THEN 'skipped' END"
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority AS suite, lower({WORDS}) AS w FROM orders)
+SELECT suite, count(*) AS total, count(*) FILTER (WHERE w IN ('failed', 'error', 'timeout', 'aborted')) AS failed, count(*) FILTER (WHERE w IN ('passed', 'completed')) AS passed, count(*) FILTER (WHERE w IN ('notexecuted', 'skipped', 'inconclusive')) AS skipped FROM o GROUP BY suite""")
 def test_outcome_counts(spark: SparkSession, d: str) -> DataFrame:
-    is_ = lambda x: F.count_if(F.lower("o_orderstatus") == x)
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("suite")).agg(F.count("*").alias("total"), is_("f").alias("failed"), is_("o").alias("passed"), is_("p").alias("skipped"), F.bool_and(F.col("o_totalprice") > 0).alias("complete"))
+    return metrics.test_counts(table(spark, d, "orders").select(F.col("o_orderpriority").alias("suite"), F.expr(WORDS).alias("outcome")), ["suite"])
+
+
+STATES = "CASE CAST(floor({}) AS INT) % 3 WHEN 0 THEN 'Succeeded' WHEN 1 THEN 'Failed' ELSE 'TimedOut' END"
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS run, {STATES.format("c_custkey / 5")} AS build_before, {STATES.format("c_custkey / 7")} AS build_now, {STATES.format("c_custkey / 3")} AS scan_before, {STATES.format("c_custkey / 2")} AS scan_now FROM customer),
+n AS (SELECT o_custkey AS run, count(DISTINCT o_orderkey % 97) FILTER (WHERE o_orderstatus = 'F') AS new_errors, count(DISTINCT o_orderkey % 97) FILTER (WHERE o_orderstatus = 'P') AS new_warnings, count(DISTINCT o_orderkey % 5) FILTER (WHERE o_orderdate >= '2001-06-01') AS new_failures FROM orders WHERE o_orderdate >= '2000-06-01' GROUP BY run)
+SELECT r.*, coalesce(new_errors, 0) AS new_errors, coalesce(new_warnings, 0) AS new_warnings, coalesce(new_failures, 0) AS new_failures,
+  (build_before = 'Succeeded' AND build_now <> 'Succeeded') OR (scan_before = 'Succeeded' AND scan_now <> 'Succeeded') OR coalesce(new_errors, 0) > 0 OR coalesce(new_failures, 0) > 0 OR coalesce(new_warnings, 0) > 0 AS regressed FROM r LEFT JOIN n USING (run)""")
+def regression_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's run against its baseline: states of build and scanner, new diagnostics, newly failing tests."""
+    state = lambda n, name: F.expr(STATES.format(f"c_custkey / {n}")).alias(name)
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), state(5, "build_before"), state(7, "build_now"), state(3, "scan_before"), state(2, "scan_now"))
+    orders = table(spark, d, "orders").withColumn("run", F.col("o_custkey"))
+    severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
+    found = orders.select("run", F.concat(F.col("o_orderkey") % 97, severity).alias("identity"), severity.alias("severity"), (F.col("o_orderdate") >= "2000-06-01").alias("is_new"))
+    failures = orders.select("run", (F.col("o_orderkey") % 5).alias("identity"), (F.col("o_orderdate") >= "2001-06-01").alias("is_new"))
+    return delta.regressions(runs, found, failures, "run", ["build", "scan"], warnings_count=True)
+
+
+@query("""SELECT count(*) AS projects, count(*) FILTER (WHERE c_custkey % 3 > 0) AS production, count(*) FILTER (WHERE c_custkey % 3 = 0) AS tests, (SELECT string_agg(f, ', ' ORDER BY f) FROM (SELECT DISTINCT 'net' || n_regionkey AS f FROM customer JOIN nation ON c_nationkey = n_nationkey)) AS frameworks,
+(SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS errors, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS warnings FROM customer""")
+def health_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Projects, frameworks and diagnostics of a repository at a glance."""
+    region = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("net"), "n_regionkey").alias("f"))
+    projects = table(spark, d, "customer").join(region, "c_nationkey").select((F.col("c_custkey") % 3 == 0).alias("is_test"), F.array("f").alias("frameworks"))
+    severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
+    return selection.project_counts(projects, table(spark, d, "orders").select(severity.alias("severity")))
+
+
+@query("""WITH h AS (SELECT source, count(*) AS hotspots, sum(n_chars)::BIGINT AS churn, count(quality) AS with_coverage, round(avg(quality * 100.0), 6) AS mean_coverage FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source),
+g AS (SELECT 'user' || user_id AS source, count(*) AS diagnostics FROM events WHERE event_type = 'error' GROUP BY ALL), t AS (SELECT source, count(*) AS failing_tests FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source)
+SELECT coalesce(h.source, g.source) AS source, coalesce(hotspots, 0) AS hotspots, coalesce(churn, 0) AS churn, coalesce(with_coverage, 0) AS with_coverage, mean_coverage, coalesce(diagnostics, 0) AS diagnostics, coalesce(failing_tests, 0) AS failing_tests FROM h FULL JOIN g ON h.source = g.source LEFT JOIN t ON h.source = t.source""")
+def trend_points(spark: SparkSession, d: str) -> DataFrame:
+    """A trend point for every source of documents and every user with errors."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    files = rows.select("source", F.col("n_chars").alias("churn"), (F.col("quality") * 100.0).alias("coverage"))
+    tests = rows.where("toxic is not null").select("source", F.when(F.col("toxic") == 1, "Failed").otherwise("Passed").alias("outcome"))
+    found = table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("user"), "user_id").alias("source"))
+    return metrics.trend_point(files, found, tests, ["source"]).withColumn("mean_coverage", F.round("mean_coverage", 6))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) + CASE WHEN c_nationkey = 3 THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment, 11 AS schema_version FROM customer WHERE c_nationkey <> 4")
+def published_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Customers published by nation; then nation 3 is published anew and nation 4 taken out; the version window holds on reading."""
+    path, rows = scratch_path(spark, "published"), table(spark, d, "customer").withColumn("c_acctbal", F.round("c_acctbal", 2))
+    store.publish_slices(rows, path, "c_nationkey")
+    store.publish_slices(rows.where("c_nationkey = 3").withColumn("c_acctbal", F.col("c_acctbal") + 1), path, "c_nationkey", gone=["4"])
+    return store.read_published(spark, path)
 
 
 @query("""SELECT source, CASE WHEN count(*) > 0 AND count(l.doc_id) = 0 THEN 'Failed' WHEN count(*) = count(l.doc_id) THEN 'Complete' ELSE 'Partial' END AS state FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.names import relative_file
+from cairn.operators import metrics
 from cairn.plans.registry import query
 from cairn.session import table
 from cairn.sources import parsers as P
@@ -73,6 +75,13 @@ def read_sarif(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("identity", "severity", "rule", "file", F.col("line").cast("long").alias("line"), "message")
 
 
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN concat('src/a b/', o_custkey, '.cs') WHEN 1 THEN concat('src/', o_custkey, '.cs') WHEN 2 THEN concat('/elsewhere/', o_custkey, '+1.cs') END AS file FROM orders""")
+def relative_files(spark: SparkSession, d: str) -> DataFrame:
+    """File references of scanner reports, decoded and made relative to the repository's root."""
+    uri = F.expr(r"CASE o_orderkey % 4 WHEN 0 THEN concat('file:///work/repo/src/a%20b/', o_custkey, '.cs') WHEN 1 THEN concat('./x/..\\src/', o_custkey, '.cs') WHEN 2 THEN concat('/work/repo/../../elsewhere/', o_custkey, '+1.cs') ELSE ' ' END")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), relative_file(uri, "/work/repo/").alias("file"))
+
+
 @query("""WITH r AS (SELECT concat('W', o_orderkey % 2) AS rule, concat('src/', o_custkey, '.cs') AS file, o_orderkey AS line FROM orders)
 SELECT sha256(concat_ws('|', 'format', 'warning', rule, file, 'fix')) AS identity, rule, file, min(line) AS line FROM r GROUP BY rule, file""")
 def read_format_report(spark: SparkSession, d: str) -> DataFrame:
@@ -80,23 +89,35 @@ def read_format_report(spark: SparkSession, d: str) -> DataFrame:
     return P.format_report(_files(spark, d, piece, ",", "[", "]")).select("identity", "rule", "file", F.col("line").cast("long").alias("line"))
 
 
-COVERED = "concat('<class filename=\"src/', o_custkey, '/', o_orderkey, '.cs\" line-rate=\"', CASE o_orderstatus WHEN 'P' THEN '1.5' ELSE '0.25' END, '\">', CASE o_orderstatus WHEN 'F' THEN concat('<lines><line number=\"', o_orderkey % 70, '\" hits=\"', o_custkey, '\"/></lines>') ELSE '' END, '</class>')"
+COVERED = "concat('<class filename=\"src/', o_custkey, '/', o_orderkey, '.cs\" line-rate=\"', CASE o_orderstatus WHEN 'P' THEN '1.5' ELSE '0.25' END, '\">', CASE o_orderstatus WHEN 'F' THEN concat('<lines><line number=\"', o_orderkey % 70, '\" hits=\"', o_custkey, '\"/></lines>') ELSE '' END, CASE WHEN o_orderkey % 4 = 0 THEN '<methods><method name=\"m\"><lines><line number=\"900\" hits=\"7\"/><line number=\"901\"/></lines></method></methods>' ELSE '' END, '</class>')"
 
 
 def _coverage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return P.cobertura(_files(spark, d, COVERED, "", "<coverage><packages><package><classes>", "</classes></package></packages></coverage>"))
 
 
-@query("SELECT concat('src/', o_custkey, '/', o_orderkey, '.cs') AS file, o_orderkey % 70 AS line, o_custkey AS hits FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT concat('src/', o_custkey, '/', o_orderkey, '.cs') AS file, o_orderkey % 70 AS line, o_custkey AS hits FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT concat('src/', o_custkey, '/', o_orderkey, '.cs'), 900, 7 FROM orders WHERE o_orderkey % 4 = 0")
 def read_coverage_lines(spark: SparkSession, d: str) -> DataFrame:
     return _coverage(spark, d)[0].select("file", F.col("line").cast("long").alias("line"), "hits")
 
 
-@query("SELECT concat('src/', o_custkey, '/', o_orderkey, '.cs') AS file, CASE o_orderstatus WHEN 'P' THEN 100.0::DOUBLE ELSE 25.0::DOUBLE END AS rate FROM orders WHERE o_orderstatus <> 'F'")
+@query("SELECT concat('src/', o_custkey, '/', o_orderkey, '.cs') AS file, CASE o_orderstatus WHEN 'P' THEN 100.0::DOUBLE ELSE 25.0::DOUBLE END AS rate FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 4 <> 0")
 def read_coverage_rates(spark: SparkSession, d: str) -> DataFrame:
     return _coverage(spark, d)[1].select("file", "rate")
 
 
+@query("""WITH c AS (SELECT concat('src/', o_custkey, '/', o_orderkey, '.cs') AS file, o_orderstatus AS s, o_orderkey AS k, o_custkey AS hits FROM orders),
+l AS (SELECT file, k % 70 AS line, hits FROM c WHERE s = 'F' UNION ALL SELECT file, 900, 7 FROM c WHERE k % 4 = 0),
+r AS (SELECT file, CASE s WHEN 'P' THEN 100.0::DOUBLE ELSE 25.0::DOUBLE END AS rate FROM c WHERE s <> 'F' AND k % 4 <> 0 UNION ALL SELECT upper(file), 50.0 FROM c WHERE k % 5 = 0),
+b AS (SELECT lower(file) AS f, line, max(hits) AS hits FROM l GROUP BY ALL), m AS (SELECT f, round(100.0 * count(*) FILTER (WHERE hits > 0) / count(*), 6) AS coverage FROM b GROUP BY f)
+SELECT * FROM m UNION ALL SELECT lower(file), round(avg(rate), 6) FROM r WHERE lower(file) NOT IN (SELECT f FROM m) GROUP BY lower(file)""")
+def coverage_with_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of every file of the reports, by rates where there are no lines; a second report names files in capitals."""
+    lines, rates = _coverage(spark, d)
+    other = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.expr("upper(concat('src/', o_custkey, '/', o_orderkey, '.cs'))").alias("file"), F.lit(50.0).alias("rate"))
+    return metrics.merge_coverage(lines, rates.union(other)).select(F.lower("file").alias("f"), F.round("coverage", 6).alias("coverage"))
+
+
 def _solutions_sql(suffix: str) -> str:
     return f"SELECT DISTINCT concat('f', o_custkey, '{suffix}') AS path, concat('src/', o_orderkey % 50, '.csproj') AS project FROM orders"
 
@@ -112,7 +133,7 @@ def read_solutions(spark: SparkSession, d: str) -> DataFrame:
 PROJECT_PIECE = "concat(CASE o_orderstatus WHEN 'P' THEN '<PackageReference Include=\"Microsoft.NET.Test.Sdk\" />' WHEN 'F' THEN concat('<ProjectReference Include=\"../p', o_orderkey, '/p.csproj\" />') ELSE '<ProjectReference Include=\"$(Root)/x.csproj\" />' END)"
 
 
-@query("""SELECT concat('f', o_custkey, '.csproj') AS path, concat('f', o_custkey) AS name, bool_or(o_orderstatus = 'P') AS is_test, 'net8,net9' AS target_frameworks, coalesce(string_agg('../p' || o_orderkey || '/p.csproj', ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F'), '') AS project_references FROM orders GROUP BY o_custkey""")
+@query("""SELECT concat('f', o_custkey, '.csproj') AS path, concat('f', o_custkey) AS name, bool_or(o_orderstatus = 'P') AS is_test, 'net8,net9' AS target_frameworks, coalesce(string_agg('../p' || o_orderkey || '/p.csproj', ',' ORDER BY '../p' || o_orderkey || '/p.csproj') FILTER (WHERE o_orderstatus = 'F'), '') AS project_references FROM orders GROUP BY o_custkey""")
 def read_project_files(spark: SparkSession, d: str) -> DataFrame:
     rows = P.project_file(_files(spark, d, PROJECT_PIECE, "", "<Project><TargetFrameworks>net8;net9</TargetFrameworks>", "</Project>", ".csproj"))
     return rows.select("path", "name", "is_test", F.array_join("target_frameworks", ",").alias("target_frameworks"), F.array_join("project_references", ",").alias("project_references"))

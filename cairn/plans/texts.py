@@ -56,6 +56,22 @@ def lexical_rank(spark: SparkSession, d: str) -> DataFrame:
     return lexical.rank(lexical.score(_symbols(spark, d), QUERY, TERMS), 20).select("identity", "file", "line", "score")
 
 
+def _reasons_sql() -> str:
+    quoted, why = (lambda text, t: f"'{text} ' || chr(39) || '{t}' || chr(39)"), []
+    for t in TERMS:
+        why.append(f"CASE WHEN list_contains(nw, '{t}') THEN {quoted('symbol word matches', t)} WHEN contains(lower(name), '{t}') THEN {quoted('symbol name contains', t)} WHEN list_contains(sw, '{t}') THEN {quoted('semantic name matches word', t)} END")
+        why.append(f"CASE WHEN list_contains(fw, '{t}') THEN {quoted('file name matches', t)} END")
+    exact = f"CASE WHEN lower(name) = '{QUERY.lower()}' OR lower(semantic_name) = '{QUERY.lower()}' THEN 'exact symbol match' END"
+    return f"""WITH {SYMBOLS}, r AS (SELECT identity, kind, list_filter([{", ".join([exact, *why])}], lambda x: x IS NOT NULL) AS why FROM w)
+SELECT identity, array_to_string(list_concat(why, CASE WHEN kind IN ('method', 'test') THEN ['focused executable declaration'] ELSE [] END), '; ') AS reasons FROM r WHERE len(why) > 0"""
+
+
+@query(_reasons_sql())
+def lexical_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why each symbol that scores does so."""
+    return lexical.score(_symbols(spark, d), QUERY, TERMS).select("identity", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query(_rank_sql("line <= 10", 20))
 def lexical_rank_changed_seed(spark: SparkSession, d: str) -> DataFrame:
     return lexical.rank(lexical.score(_symbols(spark, d), QUERY, TERMS, seeds=F.col("line") <= 10), 20).select("identity", "file", "line", "score")

@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.names import in_tool_folder
+from cairn.functions.names import beside, in_tool_folder, relative_file
 from cairn.functions.text import identity, normal_path
 from cairn.operators.keys import first_by
 
 # Fixed value: the shape of a build diagnostic line.
 DIAGNOSTIC = r"^(.+?)\((\d+),(\d+)\):\s+(?i:(warning|error))\s+([^:\s]+):\s+(.*?)(?:\s+\[(.+?)\])?$"
-OUTCOMES = {"failed": ["failed", "error", "timeout", "aborted"], "passed": ["passed", "passedbutrunaborted"], "skipped": ["notexecuted", "skipped", "inconclusive"]}
 
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -107,13 +106,13 @@ def trx(files: DataFrame) -> DataFrame:
     return joined.select(F.sha2(F.concat_ws("|", F.coalesce("class_name", F.lit("")), "name"), 256).alias("identity"), "name", "class_name", "outcome", ms.alias("duration_ms"), "error_message")
 
 
-def sarif(files: DataFrame) -> DataFrame:
-    """Diagnostics of SARIF files: first location, levels mapped to error, warning and info."""
+def sarif(files: DataFrame, root: str = "") -> DataFrame:
+    """Diagnostics of SARIF files: first location, relative to root where it is below it; levels mapped to error, warning and info."""
     schema = "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int>>>>>>>>"
     r = files.select(F.explode(F.from_json("content", schema)["runs"]).alias("run")).select(F.explode("run.results").alias("r"))
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
     level = F.when(F.lower("r.level") == "error", "error").when(F.lower("r.level").isin("note", "none"), "info").otherwise("warning")
-    rows = r.select(F.lit("qodana").alias("tool"), level.alias("severity"), F.coalesce("r.ruleId", F.lit("QODANA")).alias("rule"), normal_path(F.url_decode(F.regexp_replace(place["artifactLocation"]["uri"], "^file://", ""))).alias("file"), place["region"]["startLine"].alias("line"), place["region"]["startColumn"].alias("column"), F.col("r.message.text").alias("message"))
+    rows = r.select(F.lit("qodana").alias("tool"), level.alias("severity"), F.coalesce("r.ruleId", F.lit("QODANA")).alias("rule"), (relative_file(place["artifactLocation"]["uri"], root) if root else normal_path(F.url_decode(F.regexp_replace(place["artifactLocation"]["uri"], "^file://", "")))).alias("file"), place["region"]["startLine"].alias("line"), place["region"]["startColumn"].alias("column"), F.col("r.message.text").alias("message"))
     return rows.withColumn("identity", identity(F.col("tool"), F.col("severity"), F.col("rule"), F.coalesce("file", F.lit("")), F.col("message")))
 
 
@@ -127,32 +126,48 @@ def format_report(files: DataFrame) -> DataFrame:
 
 
 def cobertura(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(file, line, hits) and (file, rate) of Cobertura reports; the rate stands for classes without lines."""
-    schema = "struct<packages:struct<package:array<struct<classes:struct<class:array<struct<_filename:string,`_line-rate`:double,lines:struct<line:array<struct<_number:int,_hits:long>>>>>>>>>>"
+    """(file, line, hits) and (file, rate) of Cobertura reports: lines of classes and of their methods; the rate stands for classes without lines."""
+    line = "struct<line:array<struct<_number:int,_hits:long>>>"
+    schema = f"struct<packages:struct<package:array<struct<classes:struct<class:array<struct<_filename:string,`_line-rate`:double,lines:{line},methods:struct<method:array<struct<lines:{line}>>>>>>>>>>"
     classes = files.select(F.explode(F.flatten(F.transform(F.from_xml("content", schema)["packages"]["package"], lambda p: p["classes"]["class"]))).alias("c"))
-    named = classes.select(normal_path(F.col("c._filename")).alias("file"), F.col("c.lines.line").alias("lines"), (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c.`_line-rate`"))) * 100).alias("rate"))
+    none = F.array().cast("array<struct<_number:int,_hits:bigint>>")
+    own = F.coalesce("c.lines.line", none)
+    of_methods = F.flatten(F.transform(F.coalesce("c.methods.method", F.array().cast(f"array<struct<lines:{line.replace('long', 'bigint')}>>")), lambda m: F.coalesce(m["lines"]["line"], none)))
+    every = F.filter(F.concat(own, of_methods), lambda x: x["_number"].isNotNull() & x["_hits"].isNotNull())
+    named = classes.select(normal_path(F.col("c._filename")).alias("file"), every.alias("lines"), F.when(F.col("c.`_line-rate`").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c.`_line-rate`"))) * 100).alias("rate")).where(F.trim("file") != "")
     lines = named.select("file", F.explode("lines").alias("l")).select("file", F.col("l._number").alias("line"), F.col("l._hits").alias("hits"))
-    return lines, named.where("lines is null or size(lines) = 0").select("file", "rate")
+    return lines, named.where("size(lines) = 0 and rate is not null").select("file", "rate")
 
 
 def solution_projects(files: DataFrame) -> DataFrame:
-    """path (of the solution), project: project paths of .sln, .slnx and .slnf files, relative to the solution's root."""
-    sln = F.regexp_extract_all("content", F.lit(r'Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+proj)"'), F.lit(1))
-    slnx = F.regexp_extract_all("content", F.lit(r'<Project\s+[^>]*Path="([^"]+)"'), F.lit(1))
-    slnf = F.from_json("content", "solution struct<projects:array<string>>")["solution"]["projects"]
-    found = F.when(F.col("path").endswith(".slnx"), slnx).when(F.col("path").endswith(".slnf"), slnf).otherwise(sln)
-    return files.select("path", F.explode(found).alias("project")).select("path", normal_path(F.col("project")).alias("project")).distinct()
+    """path (of the solution), project: project paths of .sln, .slnx and .slnf files, from the root, as seen from the solution's folder.
+
+    A filter's paths are seen from the folder of the solution that it names. Only C#, F# and Visual Basic projects count.
+    """
+    sln = F.regexp_extract_all("content", F.lit(r'(?m)^Project\("[^"]+"\)\s*=\s*"[^"]*",\s*"([^"]+)"'), F.lit(1))
+    slnx = F.xpath(F.when(F.col("path").endswith(".slnx"), F.col("content")), F.lit("//*[local-name()='Project']/@Path"))
+    slnf = F.from_json("content", "solution struct<path:string,projects:array<string>>")["solution"]
+    found = F.when(F.col("path").endswith(".slnx"), slnx).when(F.col("path").endswith(".slnf"), slnf["projects"]).otherwise(sln)
+    seen_from = F.when(F.col("path").endswith(".slnf"), beside(F.col("path"), F.coalesce(slnf["path"], F.lit("x")))).otherwise(F.col("path"))
+    rows = files.select("path", seen_from.alias("__at"), F.explode(found).alias("project")).where(F.trim("project") != "")
+    return rows.select("path", beside(F.col("__at"), F.col("project")).alias("project")).where(F.lower("project").rlike(r"\.(?:cs|fs|vb)proj$")).distinct()
 
 
 def project_file(files: DataFrame) -> DataFrame:
-    """Project rows of project XML: references, packages, frameworks, and whether it is a test project. Only literal paths count."""
-    every = lambda tag: F.regexp_extract_all("content", F.lit(rf'<{tag}\s+[^>]*Include="([^"]+)"'), F.lit(1))
-    literal = F.filter(every("ProjectReference"), lambda p: ~p.rlike(r"\$\(|[*?%]"))
-    frameworks = F.split(F.regexp_extract("content", r"<TargetFrameworks?>([^<]*)<", 1), ";")
-    packages = every("PackageReference")
-    test = F.lower(F.regexp_extract("content", r"<IsTestProject>([^<]*)<", 1)) == "true"
+    """Project rows of project XML: references from the root, packages, frameworks, and whether it is a test project.
+
+    Elements count wherever they stand, with any quotes and attribute order. Only literal paths count. Of properties the last value holds.
+    """
+    of = lambda path: F.xpath("content", F.lit(path))
+    every = lambda tag: of(f"//*[local-name()='{tag}']/@Include")
+    last = lambda tag: F.trim(F.coalesce(F.try_element_at(F.filter(of(f"//*[local-name()='{tag}']/text()"), lambda x: F.trim(x) != ""), F.lit(-1)), F.lit("")))
+    literal = F.filter(every("ProjectReference"), lambda p: (F.trim(p) != "") & ~p.rlike(r"\$\(|[*?%]"))
+    updates = of("//*[local-name()='PackageReference'][not(@Include)]/@Update")
+    x = files.select("path", literal.alias("refs"), F.filter(F.concat(every("PackageReference"), updates), lambda p: p != "").alias("packages"), last("TargetFrameworks").alias("many"), last("TargetFramework").alias("one"), last("IsTestProject").alias("test"))
+    frameworks = F.filter(F.transform(F.split(F.when(F.col("many") != "", F.col("many")).otherwise(F.col("one")), ";"), lambda f: F.trim(f)), lambda f: f != "")
     by_name = F.lower("path").rlike(r"tests?\.\w+proj$")
-    return files.select(normal_path(F.col("path")).alias("path"), F.regexp_extract("path", r"([^/\\]*)\.\w+proj$", 1).alias("name"), (test | F.exists(packages, lambda p: F.lower(p) == "microsoft.net.test.sdk") | by_name).alias("is_test"), F.filter(frameworks, lambda f: f != "").alias("target_frameworks"), F.transform(literal, normal_path).alias("project_references"), packages.alias("packages"))
+    test = (F.lower("test") == "true") | F.exists("packages", lambda p: F.lower(p) == "microsoft.net.test.sdk") | by_name
+    return x.select(normal_path(F.col("path")).alias("path"), F.regexp_extract("path", r"([^/\\]*)\.\w+proj$", 1).alias("name"), test.alias("is_test"), frameworks.alias("target_frameworks"), F.array_sort(F.transform("refs", lambda r: beside(F.col("path"), r))).alias("project_references"), "packages")
 
 
 def evaluation(files: DataFrame) -> DataFrame:

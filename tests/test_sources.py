@@ -44,7 +44,7 @@ def test_xml_formats(spark):
     sln = files(spark, ("x.sln", 'Project("{F}") = "A", "src\\A\\A.csproj", "{G}"'), ("x.slnx", '<Solution><Project Path="src/A/A.csproj"/></Solution>'), ("x.slnf", '{"solution":{"projects":["src\\\\A\\\\A.csproj"]}}'))
     assert {r.project for r in P.solution_projects(sln).collect()} == {"src/A/A.csproj"}
     proj = P.project_file(files(spark, ("t/A.Tests.csproj", '<Project><TargetFramework>net8.0</TargetFramework><ProjectReference Include="..\\A\\A.csproj"/><ProjectReference Include="$(X)"/></Project>'))).head()
-    assert proj.is_test and proj.project_references == ["../A/A.csproj"] and proj.target_frameworks == ["net8.0"]
+    assert proj.is_test and proj.project_references == ["A/A.csproj"] and proj.target_frameworks == ["net8.0"]
 
 
 def test_store_and_stream(spark, tmp_path):
