@@ -23,7 +23,7 @@ def camel_parts(token: Column) -> Column:
 
 def identifier_words(text: Column) -> Column:
     """Lower-case words of an identifier or text: whole tokens and their camel parts, two characters or more."""
-    whole = tokens(text)
+    whole = F.array_distinct(tokens(text))  # a text repeats its words; each is split once
     every = F.concat(whole, F.flatten(F.transform(whole, camel_parts)))
     low = F.transform(every, F.lower)
     return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS)))

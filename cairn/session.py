@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import threading
 import time
 import uuid
 
@@ -46,8 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of staged tables that still exist, in order.
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths of staged tables that still exist, in order. Each thread has its own, so that two queries at once in one session do not delete each other's tables."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +62,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
@@ -93,20 +100,20 @@ def unstage(*dfs: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in dfs:
         drop_path(df.sparkSession, df._cairn_path)
-        _made.remove(df._cairn_path)
+        _made.paths.remove(df._cairn_path)
 
 
 def made_so_far() -> int:
     """A mark for tidy()."""
-    return len(_made)
+    return len(_made.paths)
 
 
 def tidy(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Delete the tables staged since the mark, but for those that the result still reads."""
     kept = {df._cairn_path for df in keep}
-    for path in [p for p in _made[since:] if p not in kept]:
+    for path in [p for p in _made.paths[since:] if p not in kept]:
         drop_path(spark, path)
-        _made.remove(path)
+        _made.paths.remove(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
