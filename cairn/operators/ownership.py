@@ -43,26 +43,18 @@ def suffix_lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
     return first_by(both, ["path"], [F.desc((F.col("path") == F.col("key")).cast("int")), F.desc(F.length("key")), "key"])
 
 
-def span_keys(first: Column, last: Column, levels: int) -> Column:
-    """The dyadic blocks (level, number) that make up the lines first to last: two a level at most.
+def span_blocks(spans: DataFrame, first: str, last: str) -> DataFrame:
+    """spans with `level` and `number`: a row for each dyadic block that the lines first to last are made of, two a level at most.
 
     At level k the lines from ceil(first / 2^k) to floor((last + 1) / 2^k) are still to be covered, in blocks of 2^k; an odd
-    block at either end belongs to no larger block inside and is taken.
+    block at either end belongs to no larger block inside and is taken. Levels end where no block fits into the span.
     """
-
-    def ends(k: Column) -> Column:
-        low, high = -F.call_function("shiftright", -first, k), F.call_function("shiftright", last + 1, k)
-        block = lambda n: F.struct(k.cast("int").alias("level"), n.cast("long").alias("number"))
-        left = F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), block(low))
-        right = F.when((low < high) & (F.pmod(high, F.lit(2)) == 1) & ((low < high - 1) | (F.pmod(low, F.lit(2)) == 0)), block(high - 1))
-        return F.array(left, right)
-
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), ends)), lambda x: x.isNotNull())
-
-
-def point_keys(at: Column, levels: int) -> Column:
-    """The dyadic blocks that hold a line, one a level."""
-    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.cast("int").alias("level"), F.call_function("shiftright", at, k).cast("long").alias("number")))
+    levels = F.length(F.bin(F.col(last) - F.col(first) + 1)) - 1
+    dealt = spans.withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
+    dealt = dealt.withColumn("__low", F.expr(f"-shiftright(-{first}, level)")).withColumn("__high", F.expr(f"shiftright({last} + 1, level)")).where("__low < __high")
+    left = F.when(F.pmod("__low", F.lit(2)) == 1, F.col("__low"))
+    right = F.when((F.pmod("__high", F.lit(2)) == 1) & ((F.col("__low") < F.col("__high") - 1) | (F.pmod("__low", F.lit(2)) == 0)), F.col("__high") - 1)
+    return dealt.withColumn("number", F.explode(F.array(left, right))).where("number is not null").drop("__low", "__high")
 
 
 def containing_interval(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -73,15 +65,12 @@ def containing_interval(points: DataFrame, spans: DataFrame) -> DataFrame:
     spans of one block only the first can be a point's answer there, so a block that many spans share is one row.
     """
     spans = spans.withColumn("end_line", F.coalesce("end_line", "line")).where("end_line >= line")
-    longest = spans.agg(F.max(F.col("end_line") - F.col("line") + 1)).head()[0]  # one number
-    if longest is None:
-        return points.join(spans, "file").select(*points.columns, *[c for c in spans.columns if c != "file"])  # no spans, no rows
-    levels = int(longest).bit_length()
     rest = [c for c in spans.columns if c not in ("file", "line", "end_line", "identity")]
     order = F.struct((-F.col("line")).alias("o"), (F.col("end_line") - F.col("line")).alias("n"), "identity", "line", "end_line", *rest)
-    blocks = spans.select("file", order.alias("__span"), F.explode(span_keys(F.col("line"), F.col("end_line"), levels)).alias("__k"))
-    blocks = blocks.groupBy("file", "__k.level", "__k.number").agg(F.min("__span").alias("__span"))
-    dealt = points.distinct().withColumn("__k", F.explode(point_keys(F.col("at"), levels))).select(*points.columns, "__k.level", "__k.number")
+    blocks = span_blocks(spans, "line", "end_line").groupBy("file", "level", "number").agg(F.min(order).alias("__span"))
+    longest = spans.agg(F.max(F.col("end_line") - F.col("line") + 1)).head()[0]  # one number
+    levels = int(longest or 1).bit_length() - 1
+    dealt = points.distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("number", F.expr("shiftright(at, level)"))
     best = dealt.join(blocks, ["file", "level", "number"]).groupBy(*points.columns).agg(F.min("__span").alias("__span"))
     return best.select(*points.columns, *[F.col(f"__span.{c}").alias(c) for c in ("line", "end_line", "identity", *rest)])
 

@@ -242,15 +242,16 @@ c AS (SELECT l_partkey AS k, round(100.0 * count(*) FILTER (WHERE l_linestatus =
 SELECT path, rank FROM (SELECT path, row_number() OVER (ORDER BY coalesce(diagnostics, 0) DESC, complexity DESC, coalesce(fan_in, 0) DESC, coalesce(coverage, 1e308), coalesce(churn, 0) DESC, coalesce(loc, 0) DESC, path) AS rank
 FROM f LEFT JOIN u USING (k) LEFT JOIN c USING (k)) WHERE rank <= 25""")
 def hotspot_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Files are parts, by key until the last step, which names them."""
     part, line = table(spark, d, "part"), table(spark, d, "lineitem")
-    files = part.select(F.concat("p_name", F.lit("#"), "p_partkey").alias("path"), F.col("p_partkey").alias("k"), F.col("p_size").alias("complexity"))
-    used = line.join(files.select("path", F.col("k").alias("l_partkey")), "l_partkey")
-    sized = used.groupBy("path").agg(F.count("*").alias("loc"))
-    edges = used.select(F.col("l_suppkey").cast("string").alias("source"), F.col("path").alias("target"), F.col("l_suppkey").cast("string").alias("source_file"), F.col("path").alias("target_file"))
-    cover = used.where("l_quantity > 10").groupBy(F.col("path").alias("file")).agg(F.round(F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count("*"), 6).alias("coverage"))
-    history = used.groupBy(F.col("path").alias("file")).agg(F.floor(F.sum("l_quantity")).alias("churn"))
-    inputs = metrics.hotspot_inputs(files.join(sized, "path", "left"), used.where("l_returnflag = 'R'").select("path"), edges, cover, history)
-    return metrics.rank_hotspots(inputs, 25).select("path", "rank")
+    key = F.col("l_partkey")
+    sized = line.groupBy(key.alias("path")).agg(F.count("*").alias("loc"))
+    edges = line.select(F.col("l_suppkey").alias("source"), key.alias("target"), (-1 - F.col("l_suppkey")).alias("source_file"), key.alias("target_file"))
+    cover = line.where("l_quantity > 10").groupBy(key.alias("file")).agg(F.round(F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count("*"), 6).alias("coverage"))
+    history = line.groupBy(key.alias("file")).agg(F.floor(F.sum("l_quantity")).alias("churn"))
+    files = part.select(F.col("p_partkey").alias("path"), F.concat("p_name", F.lit("#"), "p_partkey").alias("name"), F.col("p_size").alias("complexity")).join(sized, "path", "left")
+    inputs = metrics.hotspot_inputs(files, line.where("l_returnflag = 'R'").select(key.alias("path")), edges, cover, history)
+    return metrics.rank_hotspots(inputs.withColumn("path", F.col("name")), 25).select("path", "rank")
 
 
 @query("""SELECT l_orderkey AS owner, count(*) AS methods, count(*) FILTER (WHERE l_returnflag = 'N') AS public_methods, count(DISTINCT l_partkey) AS dependencies, round_even(avg(l_quantity)::DECIMAL(18, 6), 2)::DOUBLE AS mean_complexity, max(l_quantity)::BIGINT AS max_complexity FROM lineitem GROUP BY owner""")

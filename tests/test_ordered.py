@@ -36,11 +36,14 @@ def test_running_sums_and_carried_values(many_parts):
 
 def test_dyadic_blocks_cover_a_span_exactly(spark):
     spans = [(a, a + n) for a in (-7, 0, 1, 5, 8, 63) for n in (0, 1, 2, 7, 8, 30)] + [(3, 10**9 + 2)]
-    df = spark.createDataFrame(spans, "a long, b long").withColumn("k", ownership.span_keys(F.col("a"), F.col("b"), 31))
-    for r in df.collect():
-        covered = sorted((x.number << x.level, (x.number + 1) << x.level) for x in r.k)
-        assert covered[0][0] == r.a and covered[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(covered, covered[1:], strict=False))
-        assert len(covered) <= 60
+    covered = {}
+    for r in ownership.span_blocks(spark.createDataFrame(spans, "a long, b long"), "a", "b").collect():
+        covered.setdefault((r.a, r.b), []).append((r.number << r.level, (r.number + 1) << r.level))
+    assert set(covered) == set(spans)
+    for (a, b), blocks in covered.items():
+        blocks.sort()
+        assert blocks[0][0] == a and blocks[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(blocks, blocks[1:], strict=False))
+        assert len(blocks) <= 60
 
 
 def test_intervals_match_brute_force(spark):
