@@ -29,13 +29,15 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "del", "las", "se", "por", "con"],
 }
-#: Shares of these words, and of the rest, in the documents of sf0.1 that are labelled good (1.38 million words).
-WORD_PROFILES = {
-    "en": [0.05031, 0.0262, 0.02123, 0.01547, 0.01078, 0.00963, 0.00847, 0.00717, 0.00706, 0.00537, 0.00604, 0.00479, 0.82748],
-    "de": [0.04997, 0.02612, 0.02107, 0.01542, 0.01342, 0.01063, 0.0091, 0.00881, 0.00474, 0.00589, 0.00411, 0.00427, 0.82644],
-    "fr": [0.05084, 0.0273, 0.02002, 0.01554, 0.01287, 0.0111, 0.00978, 0.00875, 0.00709, 0.00657, 0.00597, 0.00581, 0.81837],
-    "es": [0.05078, 0.02636, 0.02018, 0.01512, 0.01319, 0.01049, 0.00977, 0.00696, 0.00731, 0.00838, 0.00633, 0.00523, 0.8199],
+# Usual shares of these words in running text of the language, in percent, as frequency lists give them.
+WORD_PERCENT = {
+    "en": [6.0, 3.0, 2.7, 2.6, 1.9, 1.0, 1.1, 1.0, 0.9, 0.7, 0.7, 0.7],
+    "de": [3.2, 3.3, 2.9, 1.7, 1.4, 1.1, 1.2, 1.2, 0.9, 0.9, 0.7, 0.9],
+    "fr": [4.8, 2.7, 2.2, 2.1, 1.9, 1.6, 1.3, 1.2, 1.1, 1.0, 1.0, 1.0],
+    "es": [6.0, 3.8, 3.0, 2.7, 2.6, 2.5, 1.7, 1.1, 1.1, 1.2, 0.9, 0.9],
 }
+#: The same as shares, and the rest's.
+WORD_PROFILES = {name: [x / 100 for x in xs] + [1 - sum(xs) / 100] for name, xs in WORD_PERCENT.items()}
 #: Character classes, taken out of the text one after the other, largest first; what is left is the last bin.
 CLASSES = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"[.,;:!?'\"()-]", r"\p{Nd}", r"[#*$%&|<>]"]
 SPACE_CLASS, SYMBOL_CLASS = 1, 5
@@ -121,16 +123,17 @@ def with_common(df: DataFrame, lang: str = "lang") -> DataFrame:
     return out.withColumn("__common", F.concat("__counts", F.array(rest)))
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """For each language its histograms over all documents, as shares. At most len(COMMON_WORDS) rows reach the driver."""
+def references(df: DataFrame, text: str = "text", lang: str = "lang", words: bool = True) -> dict[str, tuple[list[float], list[float]]]:
+    """For each language its histograms over all documents, as shares (without words, of characters alone). At most len(COMMON_WORDS) rows reach the driver."""
     source = df.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("__body")).where(F.col("lang").isin(list(COMMON_WORDS)))
-    made = with_common(with_classes(source.withColumn("__words", words_of(F.col("__body")))))
-    n_classes, n_words = len(CLASSES) + 1, len(next(iter(COMMON_WORDS.values()))) + 1
+    made = with_classes(source)
+    made = with_common(made.withColumn("__words", words_of(F.col("__body")))) if words else made
+    n_classes, n_words = len(CLASSES) + 1, len(next(iter(COMMON_WORDS.values()))) + 1 if words else 0
     sums = [F.sum(F.get("__classes", F.lit(i)).cast("long")).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("__common", F.lit(i)).cast("long")).alias(f"w{i}") for i in range(n_words)]
     out = {}
     for row in made.groupBy("lang").agg(*sums).collect():
         classes, common = [row[f"c{i}"] or 0 for i in range(n_classes)], [row[f"w{i}"] or 0 for i in range(n_words)]
-        if sum(classes) and sum(common):
+        if sum(classes) and (sum(common) or not words):
             out[row["lang"]] = ([x / sum(classes) for x in classes], [x / sum(common) for x in common])
     return out
 
@@ -167,7 +170,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str =
 
     Columns of df named like a result are replaced; all others stay, whatever they are called.
     """
-    known = references(df, text, lang) if known is None else known
+    known = references(df, text, lang, rules.word_share is None) if known is None else known
     if rules.word_share is not None:
         known = {name: (known[name][0] if name in known else None, shares) for name, shares in WORD_PROFILES.items()}
     # df's columns wait under other names, so that none clashes with a name used here.

@@ -44,3 +44,45 @@ def test_result_can_be_filtered(spark):
         got = {r.doc_id for r in found.select("doc_id").collect()}
         assert time.monotonic() - began < 60
         assert got == {i for i, r in whole.items() if {"kept": r.kept, "not base_failed": not r.base_failed}.get(wanted, r.n_words > 200)}
+
+
+def twin(text, lang, shares_of_classes, rules):
+    """The verdict's second half in Python: distances of one document to given references."""
+    import math
+    import re
+
+    def distance(counts, reference):
+        total = sum(counts)
+        if not total:
+            return None
+        parts = 0.0
+        for c, q in zip(counts, reference, strict=True):
+            p = c / total
+            m = (p + q) / 2
+            parts += (p * math.log2(p / m) if p else 0) + (q * math.log2(q / m) if q else 0)
+        return math.sqrt(max(parts, 0) / 2)
+
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text) if w]
+    common = [words.count(w) for w in quality.COMMON_WORDS[lang]]
+    common.append(len(words) - sum(common))
+    classes = [0] * 7
+    for c in text:
+        classes[0 if c.islower() else 1 if c in " \t\n\x0b\x0c\r" else 2 if c.isupper() else 3 if c in ".,;:!?'\"()-" else 4 if c.isdigit() else 5 if c in "#*$%&|<>" else 6] += 1
+    cd = distance(classes, shares_of_classes) if len(text) >= rules.min_chars else None
+    profile = quality.WORD_PROFILES[lang]
+    wd = distance(common, profile) if len(words) >= rules.min_words_for_distance else None
+    cutoff = distance([0] * 12 + [1], profile) * min(rules.word_share + rules.word_noise / math.sqrt(max(len(words), 1)), 0.99)
+    return cd, wd, not (cd is not None and cd > rules.char_distance) and not (wd is not None and wd > cutoff and common[-1] > profile[-1] * len(words))
+
+
+def test_distances_match_a_python_version(spark):
+    rng = random.Random(9)
+    texts = [made(rng, rng.randrange(20, 400), rng.choice([0, 4, 8, 17, 30])) for _ in range(60)] + ["x! " * 30_000, "AB12 #*$ " * 200, "the of and " * 9]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    shares = quality.references(df, words=False)["en"][0]
+    for r in quality.judge(df, quality.STEADY).collect():
+        cd, wd, near = twin(texts[r.doc_id], "en", shares, quality.STEADY)
+        assert (r.class_distance is None) == (cd is None) and (cd is None or abs(r.class_distance - cd) < 1e-9)
+        assert (r.word_distance is None) == (wd is None) and (wd is None or abs(r.word_distance - wd) < 1e-9)
+        assert r.kept == (near and not r.base_failed)
