@@ -1,14 +1,18 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and template comparison.
 
-A paragraph is a line. Features are its word n-grams (1 to 3) that hold an anchor word and occur in the training
-texts. A multinomial logistic regression gives a probability to every licence family and to `unknown`. It is
-trained on the driver from the seed texts and identifier forms below, each cut and reworded by rule, and from a bounded sample of
-lines of the corpus (BACKGROUND lines of documents without anchor words' n-grams being licences, chosen by hash)
-as unknown. Weights below MIN_WEIGHT are dropped, and a temperature is fitted on held-out texts, so that
-probabilities are calibrated. A prediction counts if its probability reaches `threshold` and is confirmed if at
-least `min_cover` of some template's bigrams of that family, or of the paragraph's own, are shared.
-
-Scoring is column expressions only. Lines without an anchor word cannot have a feature and are unknown without
+A paragraph ends at a blank line or at a line that ends a sentence, so a notice wrapped over lines is one and a line of
+its own is one. Features are its word n-grams (1 to 3) that hold an anchor word and occur in the training texts; numbers
+count as one word. A multinomial logistic regression gives a probability to every licence family and to `unknown`.
+
+It is trained on the driver from the seed texts and identifier forms below, each cut and reworded by rule, and, as unknown,
+from whole paragraphs of the corpus: BACKGROUND without anchor words, and HARD with them that are near no template, both
+of least hash in their buckets and of LONGEST characters at most. Half of these and other variants are held out; a
+temperature is fitted on them, so that probabilities, that of unknown too, are calibrated. Weights below MIN_WEIGHT are dropped.
+
+A prediction counts if its probability reaches `threshold` and some template of its family confirms it: `min_cover` of the
+template's bigrams, or of the paragraph's own, are shared. Unconfirmed predictions count nowhere but in n_unconfirmed.
+
+Scoring is column expressions only. Paragraphs without an anchor word cannot have a feature and are unknown without
 being scored. Null and empty texts have no paragraphs and family null. Repeated rows are scanned alike.
 """
 
@@ -46,6 +50,8 @@ SEEDS = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Distributed under the GNU GPL v2 or later.",
+        "Licensed under the GNU Lesser General Public License, version 2.1 or any later version.",
+        "This library is covered by the GNU Affero General Public License.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "CC-BY-NC": [
@@ -89,16 +95,29 @@ NEGATIVES = [
 ANCHORS = [
     "licensed", "license", "licence", "licenced", "copyright", "permission", "permitted", "redistribution", "redistribute", "reserved", "apache", "mit", "bsd", "gnu", "gpl", "cc", "creative", "commons", "mozilla", "mpl", "spdx",
 ]
-BACKGROUND, MIN_WEIGHT = 2000, 0.05
+BACKGROUND, HARD, LONGEST, MIN_WEIGHT = 2000, 500, 2000, 0.05
+#: A corpus paragraph that shares less than this of any template's bigrams, and of its own, is no licence.
+FAR = 0.2
 UNKNOWN = "unknown"
-#: Words are runs of letters or of digits, so that identifiers fall into a family's stem and the rest: cc-by-4.0, apache2.
+#: Words are runs of letters or of digits (all numbers are one word), so that identifiers fall into a family's stem and the rest: cc-by-4.0, apache2.
 _WORD = r"[a-z]+|[0-9]+"
 #: gplv3, lgpl and agpl count as gpl, mplv2 as mpl.
 _STEM = r"(?<![a-z])(?:[al]?(gpl)v?|(mpl|apache|bsd|mit)v)(?![a-z])"
 
 
+_ANCHOR = r"(?<![a-z])(?:" + "|".join(ANCHORS) + r")(?![a-z])|" + _STEM
+
+
 def words_of(line: str) -> list[str]:
-    return re.findall(_WORD, re.sub(_STEM, lambda m: m[1] or m[2], line.lower()))
+    return re.findall(_WORD, re.sub("[0-9]+", "0", re.sub(_STEM, lambda m: m[1] or m[2], line.lower())))
+
+
+#: Where a paragraph ends: behind a line that ends a sentence, and at a blank line.
+_END = r"(?<=[.!?:;])[ \t\r\x0b\x0c]*\n|\n[ \t\r\x0b\x0c]*(?=\n)"
+
+
+def paragraphs_of(text: str) -> list[str]:
+    return [p for p in re.split(_END, text) if p.strip(" \t\n\r\x0b\x0c")]
 
 
 def features_of(words: list[str]) -> set[str]:
@@ -140,6 +159,21 @@ def variants(rng: random.Random, text: str, n: int) -> list[str]:
     return out
 
 
+def bigrams(line: str) -> list[str]:
+    """The distinct bigrams of a text; the word itself, if it has but one."""
+    ws = words_of(line)
+    return sorted({" ".join(p) for p in zip(ws, ws[1:], strict=False)}) or sorted(set(ws))
+
+
+TEMPLATES = {f: [bigrams(s) for s in [*SEEDS[f], *FORMS.get(f, [])]] for f in SEEDS}
+
+
+def cover(line: str, families: list[str] | None = None) -> float:
+    """The largest share of a template's bigrams that a text has, or of its own that a template has."""
+    own = set(bigrams(line))
+    return max((max(len(own & set(t)) / len(t), len(own & set(t)) / max(len(own), 1)) for f in families or TEMPLATES for t in TEMPLATES[f]), default=0.0)
+
+
 def labelled(background: list[str], seed: int, n: int) -> tuple[list[str], list[str]]:
     rng = random.Random(seed)
     texts = [(v, family) for family, seeds in SEEDS.items() for s in seeds for v in variants(rng, s, n)]
@@ -149,9 +183,9 @@ def labelled(background: list[str], seed: int, n: int) -> tuple[list[str], list[
 
 
 def fit(background: list[str], seed: int = 11, rounds: int = 400) -> Model:
-    """Train on variants of the seeds and on background lines; calibrate on others."""
+    """Train on variants of the seeds and on every other background paragraph; calibrate on others."""
     families = [*SEEDS, UNKNOWN]
-    texts, labels = labelled(background, seed, 12)
+    texts, labels = labelled(background[::2], seed, 12)
     sets = [features_of(words_of(t)) for t in texts]
     vocabulary = sorted({f for s, label in zip(sets, labels, strict=True) for f in s if label != UNKNOWN or len(f.split()) < 3})
     column = {f: i for i, f in enumerate(vocabulary)}
@@ -177,27 +211,25 @@ def fit(background: list[str], seed: int = 11, rounds: int = 400) -> Model:
         vw, vb = 0.9 * vw - 4.0 * (x.T @ gradient + 1e-4 * w), 0.9 * vb - 4.0 * gradient.sum(0)
         w, b = w + vw, b + vb
         w = np.sign(w) * np.maximum(np.abs(w) - 2e-4, 0)
-    b = b - 0.0
     kept = np.abs(w).max(1) >= MIN_WEIGHT
     w[~kept] = 0
-    held, truth = labelled([], seed + 1, 6)
+    held, truth = labelled(background[1::2], seed + 1, 6)
     z, t = matrix([features_of(words_of(h)) for h in held]) @ w + b, [families.index(f) for f in truth]
-    scale = min((0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0), key=lambda s: -np.log(softmax(z * s)[np.arange(len(t)), t].clip(1e-9)).mean())
-    # A line without any feature is unknown.
+    balance = (1 / np.bincount(t, minlength=len(families)).clip(1))[t]
+    scale = min((0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0), key=lambda s: -(balance * np.log(softmax(z * s)[np.arange(len(t)), t].clip(1e-9))).sum())
     b = b * scale
-    b[-1] = max(b[-1], b[:-1].max() + 4.0)
     weights = {f: [float(round(v * scale, 6)) for v in w[i]] for f, i in column.items() if kept[i]}
-    templates = {f: [sorted({" ".join(p) for p in zip(ws, ws[1:], strict=False)}) for s in seeds if len(ws := words_of(s)) > 1] for f, seeds in SEEDS.items()}
-    return Model(families, weights, [float(round(v, 6)) for v in b], templates)
+    return Model(families, weights, [float(round(v, 6)) for v in b], TEMPLATES)
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """fit() with BACKGROUND lines of the corpus; only these reach the driver."""
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(~F.lower("line").rlike("licen|copyright|reserved|permission|apache|creative commons|gnu|mozilla|redistribut"))
-    hashed = lines.select(F.substring("line", 1, 400).alias("line"), F.xxhash64("line").alias("h"))
-    # The line of least hash in each of BACKGROUND buckets: a partial minimum, so tasks send at most that many rows.
-    rows = hashed.groupBy(F.pmod("h", F.lit(BACKGROUND)).alias("b")).agg(F.min(F.struct("h", "line")).alias("first")).select("first.line").collect()
-    return fit(sorted(r.line for r in rows))
+    """fit() with bounded samples of the corpus's paragraphs; BACKGROUND + HARD whole paragraphs of LONGEST characters at most reach the driver."""
+    parts = docs.select(F.explode(F.split(F.col(text), _END)).alias("line")).where((F.length("line") <= LONGEST) & (F.trim("line") != ""))
+    hashed = parts.select("line", F.xxhash64("line").alias("h"), F.lower("line").rlike(_ANCHOR).alias("hard"))
+    bucket = F.when(F.col("hard"), F.pmod("h", F.lit(HARD))).otherwise(F.pmod("h", F.lit(BACKGROUND)))
+    # The paragraph of least hash in each bucket: a partial minimum, so tasks send at most that many rows.
+    rows = hashed.groupBy("hard", bucket.alias("b")).agg(F.min(F.struct("h", "line")).alias("first")).select("hard", "first.line").collect()
+    return fit(sorted(r.line for r in rows if not r.hard or cover(r.line) < FAR))
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -205,12 +237,11 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, model: Model, threshold: float = 0.5, min_cover: float = 0.5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: id, n_paragraphs, n_licences, families (sorted, joined by commas), family (the most probable), probability, confirmed."""
-    anchor = r"(?<![a-z])(?:" + "|".join(ANCHORS) + r")(?![a-z])|" + _STEM
-    out = docs.select(F.col(id_column), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    """Per row of docs: id, n_paragraphs, n_licences, n_unconfirmed, families (sorted, joined by commas), family (the most probable) and probability."""
+    out = docs.select(F.col(id_column), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _END), lambda x: x.rlike("[^ \\t\\n\\r\\x0b\\x0c]")).alias("lines"))
     out = out.withColumn("n_paragraphs", F.size("lines").cast("long"))
-    out = out.withColumn("hits", F.filter("lines", lambda x: F.lower(x).rlike(anchor)))
-    words = lambda x: F.regexp_extract_all(F.regexp_replace(F.lower(x), _STEM, "$1$2"), F.lit(_WORD), F.lit(0))
+    out = out.withColumn("hits", F.filter("lines", lambda x: F.lower(x).rlike(_ANCHOR)))
+    words = lambda x: F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.lower(x), _STEM, "$1$2"), "[0-9]+", "0"), F.lit(_WORD), F.lit(0))
     out = out.withColumn("said", F.transform("hits", words))
     vocabulary = sorted(model.weights)
     tables = F.create_map(*[v for f in vocabulary for v in (F.lit(f), F.array(*map(F.lit, model.weights[f])))]) if vocabulary else F.lit(None).cast("map<string,array<double>>")
@@ -225,14 +256,15 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5, min_cover: float
     cover = F.array(*[F.array(*[F.array(*map(F.lit, t)) for t in model.templates[f]]) for f in model.families[:-1]])
     both = lambda own, t: F.size(F.array_intersect(own, t))
     near = lambda own, t: F.greatest(both(own, t) / F.size(t), both(own, t) / F.greatest(F.size(own), F.lit(1)))
-    closest = lambda ws, k: F.array_max(F.transform(F.element_at(cover, k), lambda t: near(F.array_distinct(_grams(ws, 2)), t)))
-    judged = F.zip_with("best", "said", lambda b, ws: F.struct(b["p"].alias("p"), F.when((b["k"] < n) & (b["p"] >= threshold), b["k"]).alias("k"), F.when((b["k"] < n) & (b["p"] >= threshold), closest(ws, b["k"]) >= min_cover).alias("confirmed")))
-    out = out.withColumn("judged", F.filter(judged, lambda b: b["k"].isNotNull()))
+    pairs = lambda ws: F.when(F.size(ws) > 1, F.array_distinct(_grams(ws, 2))).otherwise(F.array_distinct(ws))
+    closest = lambda ws, k: F.array_max(F.transform(F.element_at(cover, k), lambda t: near(pairs(ws), t)))
+    found = lambda b: (b["k"] < n) & (b["p"] >= threshold)
+    judged = F.zip_with("best", "said", lambda b, ws: F.struct(b["p"].alias("p"), F.when(found(b), b["k"]).alias("k"), F.when(found(b), closest(ws, b["k"]) >= min_cover).alias("confirmed")))
+    out = out.withColumn("predicted", F.filter(judged, lambda b: b["k"].isNotNull())).withColumn("judged", F.filter("predicted", lambda b: b["confirmed"]))
     names = F.array(*map(F.lit, model.families))
-    top = F.array_max(F.transform("judged", lambda b: F.struct(b["confirmed"].alias("confirmed"), b["p"].alias("p"), (-b["k"]).alias("k"))))
-    out = out.withColumn("top", top)
+    out = out.withColumn("top", F.array_max(F.transform("judged", lambda b: F.struct(b["p"].alias("p"), (-b["k"]).alias("k")))))
     return out.select(
-        id_column, "n_paragraphs", F.size("judged").cast("long").alias("n_licences"),
+        id_column, "n_paragraphs", F.size("judged").cast("long").alias("n_licences"), (F.size("predicted") - F.size("judged")).cast("long").alias("n_unconfirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("judged", lambda b: F.element_at(names, b["k"])))), ",").alias("families"),
-        F.when(F.col("top").isNotNull(), F.element_at(names, -F.col("top.k"))).alias("family"), F.round("top.p", 6).alias("probability"), F.col("top.confirmed").alias("confirmed"),
+        F.when(F.col("top").isNotNull(), F.element_at(names, -F.col("top.k"))).alias("family"), F.round("top.p", 6).alias("probability"),
     )
