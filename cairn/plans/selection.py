@@ -163,16 +163,19 @@ def relation_subtypes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _absence(spark: SparkSession, d: str, outbound: bool) -> DataFrame:
-    deps = table(spark, d, "customer").where("c_custkey > 0").selectExpr("c_custkey AS source", "c_custkey div 3 AS target")
-    return selection.absence_scope(spark.createDataFrame([(4,)], "id bigint"), outbound, deps)
+    """Projects are customers, each depends on the one of a third of its key; asked for are the projects of the symbols (suppliers) in debt."""
+    customer = table(spark, d, "customer")
+    asked = table(spark, d, "supplier").where("s_acctbal < 0").select((F.col("s_suppkey") * 3).alias("id"))
+    deps = customer.where("c_custkey > 0").select(F.col("c_custkey").alias("source"), F.expr("c_custkey div 3").alias("target"))
+    return selection.absence_scope(asked, outbound, deps)
 
 
-@query("WITH RECURSIVE deps AS (SELECT c_custkey AS source, c_custkey // 3 AS target FROM customer WHERE c_custkey > 0), hit(id) AS (SELECT 4::BIGINT UNION SELECT source FROM deps JOIN hit ON target = id) SELECT id FROM hit")
+@query("WITH RECURSIVE deps AS (SELECT c_custkey AS source, c_custkey // 3 AS target FROM customer WHERE c_custkey > 0), hit(id) AS (SELECT s_suppkey * 3 FROM supplier WHERE s_acctbal < 0 UNION SELECT source FROM deps JOIN hit ON target = id) SELECT id FROM hit")
 def absence_scope_inbound(spark: SparkSession, d: str) -> DataFrame:
     return _absence(spark, d, False)
 
 
-@query("SELECT 4::BIGINT AS id")
+@query("SELECT DISTINCT s_suppkey * 3 AS id FROM supplier WHERE s_acctbal < 0")
 def absence_scope_outbound(spark: SparkSession, d: str) -> DataFrame:
     return _absence(spark, d, True)
 
@@ -192,8 +195,7 @@ RUNS = f"SELECT o_orderkey, {STATES.format(x='o_orderkey')} AS build, {STATES.fo
 (build IN ('Unavailable', 'TimedOut') OR tests IN ('Unavailable', 'TimedOut') OR (tests = 'Failed' AND outcomes = 0) OR (enabled AND provider IN ('Failed', 'Unavailable', 'TimedOut')) OR NOT complete) AS failed,
 (build = 'Unavailable' OR tests = 'Unavailable' OR (tests = 'Failed' AND outcomes = 0) OR (enabled AND provider IN ('Failed', 'Unavailable'))) AS review_failed FROM ({RUNS})""")
 def execution_failures(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "orders").createOrReplaceTempView("cairn_orders")
-    rows = spark.sql(RUNS.replace("FROM orders", "FROM cairn_orders"))
+    rows = spark.sql(RUNS.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
     state = lambda t: decisions.execution_failed(F.col("build"), F.col("tests"), F.col("outcomes"), [(F.col("enabled"), F.col("provider"))], F.col("complete"), t)
     return rows.select("o_orderkey", state(True).alias("failed"), state(False).alias("review_failed"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import lexical, metrics, ownership
+from cairn.operators import lexical, markup, metrics, ownership
 from cairn.operators.fingerprint import fingerprint_sql, fingerprints
 from cairn.operators.keys import first_struct
 from cairn.plans.registry import query
@@ -184,8 +184,8 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) SELECT page_id, target, count(*) AS uses FROM m GROUP BY ALL""")
 def markup_refs(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('<a href="([^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.explode(found).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("uses"))
+    found = markup.positions(table(spark, d, "pages"), ["page_id"], "html", {}, {0: ('<a href="([^"]*)"', 1)})
+    return found.groupBy("page_id", F.col("first").alias("target")).agg(F.count("*").alias("uses"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs FROM pages""")
