@@ -135,21 +135,41 @@ class ShardWriter:
         yield FOOTER.pack(index_at, len(index), bloom_at, len(raw), self.docs, self.tokens, self.shard, self.width, MAGIC)
 
 
+class RemoteFile:
+    """Parts of a file of any store, read by seeking through Hadoop's file system API; sliced and indexed like bytes."""
+
+    def __init__(self, spark: SparkSession, path: str, length: int):
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.length, self.read = length, spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+        self.stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
+        self.bytes_read = 0
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        low, high, _ = at.indices(self.length) if isinstance(at, slice) else (at, at + 1, 1)
+        self.stream.seek(low)
+        raw = bytes(self.read(self.stream, high - low))
+        self.bytes_read += len(raw)
+        return raw if isinstance(at, slice) else raw[0]
+
+    def close(self) -> None:
+        self.stream.close()
+
+
 class Shard:
-    """Reads one shard file, block by block."""
+    """Reads one shard file, block by block; of a RemoteFile only footer, index, and what is asked for."""
 
-    def __init__(self, raw: bytes | memoryview):
+    def __init__(self, raw: bytes | memoryview | RemoteFile):
         self.raw = raw
         self.index_at, index_n, self.bloom_at, self.bloom_n, self.docs, self.tokens, self.shard, self.width, magic = FOOTER.unpack(raw[-FOOTER.size - PAD : -PAD])
         if magic != MAGIC:
             raise ValueError("not a shard file")
         self.first_keys: list[bytes] = []
         self.blocks: list[tuple[int, int]] = []
-        at = self.index_at
-        while at < self.index_at + index_n:
-            n = raw[at]
-            self.first_keys.append(bytes(raw[at + 1 : at + 1 + n]))
-            self.blocks.append(struct.unpack_from("<QQ", raw, at + 1 + n))
+        at, index = 0, bytes(raw[self.index_at : self.index_at + index_n])
+        while at < index_n:
+            n = index[at]
+            self.first_keys.append(index[at + 1 : at + 1 + n])
+            self.blocks.append(struct.unpack_from("<QQ", index, at + 1 + n))
             at += n + 17
 
     def entries(self, block: int) -> Iterator[tuple[bytes, bytes]]:
@@ -318,19 +338,36 @@ def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> D
     return found.join(offsets, "shard").select(id_column, (F.col("offset") + F.col("start_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> list[tuple]:
-    """Point lookups: (id, token ids) of each stored document with one of these ids."""
-    wanted = list(doc_ids)
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None], opened: list[RemoteFile] | None = None) -> list[tuple]:
+    """Point lookups: (id, token ids) of each stored document with one of these ids.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                shard = Shard(memoryview(raw.as_buffer()))
-                hits = [(d, ids.astype("<i4")) for d in wanted for ids in shard.lookup(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").where("length > 0")
-    return [(r.doc_id, list(r.ids)) for r in files.mapInArrow(run, "doc_id bigint, ids array<int>").collect()]
+    Shards are in key order by file name and a key is in one of them, so the files are searched by halving: of each that
+    is probed footer and index are read, of the one that may hold the key its Bloom filter's bits and the blocks of the
+    key. Nothing else is read, and no job runs. opened: gets the files that were opened.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    files = sorted((x.getPath().toString(), x.getLen()) for x in listed if x.getPath().getName().startswith("part-") and x.getLen() > 0)
+    shards: dict[int, Shard] = {}
+
+    def shard(n: int) -> Shard:
+        if n not in shards:
+            shards[n] = Shard(RemoteFile(spark, *files[n]))
+        return shards[n]
+
+    out = []
+    for d in doc_ids:
+        key, low, high = key_of(d), 0, len(files)
+        while high - low > 1:  # the last shard whose first key is not beyond the key
+            middle = (low + high) // 2
+            low, high = (middle, high) if shard(middle).first_keys[0] <= key else (low, middle)
+        if files:
+            out += [(d, ids.tolist()) for ids in shard(low).lookup(d)]
+    for s in shards.values():
+        s.raw.close()
+    if opened is not None:
+        opened += [s.raw for s in shards.values()]
+    return out
 
 
 def round_trip(df: DataFrame, vocabulary_path: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:

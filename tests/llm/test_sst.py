@@ -33,11 +33,14 @@ def test_round_trip(spark):
 
 
 def test_lookup(spark):
-    rows = [(i * 3, f"doc {i} " + "text " * 800, "") for i in range(300)] + [(9, "again", "")]
+    rows = [(i * 3, f"doc {i} " + "text " * 800, "") for i in range(2000)] + [(9, "again", "")]
     path = scratch_path(spark, "sst")
     sst.write_shards(spark.createDataFrame(rows, SCHEMA), path, PATH, 2)
     own = Tokenizer.from_file(PATH)
-    got = sst.lookup(spark, path, [9, 10, 600, None])
+    opened = []
+    got = sst.lookup(spark, path, [9, 10, 600, None, -5, 10**15], opened)
+    assert all(f.bytes_read < f.length / 2 for f in opened) and len(opened) > 1
+    assert sst.lookup(spark, path, []) == []
     assert sorted(map(str, got)) == sorted(str((d, [*own.encode(t).ids, 2])) for d, t, _ in rows if d in (9, 600))
 
 
