@@ -21,12 +21,20 @@ def camel_parts(token: Column) -> Column:
     return F.regexp_extract_all(token, F.lit(f"({CAMEL})"), F.lit(1))
 
 
+#: Words of one character, and none at all: never terms.
+_TOO_SHORT = ["", "_", *"abcdefghijklmnopqrstuvwxyz0123456789"]
+
+
 def identifier_words(text: Column) -> Column:
-    """Lower-case words of an identifier or text: whole tokens and their camel parts, two characters or more."""
-    whole = F.array_distinct(tokens(text))  # a text repeats its words; each is split once
-    every = F.concat(whole, F.flatten(F.transform(whole, camel_parts)))
-    low = F.transform(every, F.lower)
-    return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS)))
+    """Lower-case words of an identifier or text: whole tokens and their camel parts, two characters or more.
+
+    Tokens hold no spaces, so all distinct ones are joined by spaces, split into parts by one pattern, lowered and taken
+    apart again: a handful of calls a text, and no loop over its words.
+    """
+    whole = F.array_join(F.array_distinct(tokens(text)), " ")
+    parts = F.array_join(F.array_distinct(camel_parts(whole)), " ")
+    low = F.split(F.lower(F.concat_ws(" ", whole, parts)), " ")
+    return F.array_except(low, F.lit([*STOP_WORDS, *_TOO_SHORT]))
 
 
 def query_terms(query: str) -> list[str]:
