@@ -199,9 +199,26 @@ def narrative_prefix_bound(spark: SparkSession, d: str) -> DataFrame:
     return metrics.prefix_within(rows, "source", "doc_id", "tokens", 8000).select("source", "doc_id", "used")
 
 
-@query()
+def _pack_sql() -> str:
+    return f"""WITH RECURSIVE found AS ({_line_scan_sql()}),
+top AS (SELECT file_score AS score, source AS file, best_line AS line, best_line + 12 AS end_line, doc_id AS id, string_split_regex(text, '\\r?\\n') AS ls FROM found JOIN documents USING (doc_id) ORDER BY score DESC, file, line, id LIMIT 20),
+n AS (SELECT row_number() OVER (ORDER BY score DESC, file, line, id) AS i, file, line, end_line, ls[line:least(len(ls), end_line)] AS ls FROM top),
+sized AS (SELECT i, file, line, end_line, list_transform(range(1, len(ls) + 1), lambda k: array_to_string(ls[1:k], chr(10))) AS sizes FROM n),
+walk(i, rem, chosen) AS (
+  SELECT 0::BIGINT, {max(64, 3000 - 550)}::BIGINT, []::STRUCT(file VARCHAR, line BIGINT, end_line BIGINT, text VARCHAR, cost BIGINT)[]
+  UNION ALL
+  SELECT i, CASE WHEN take THEN rem - cost ELSE rem END, CASE WHEN take THEN list_append(chosen, {{'file': file, 'line': line, 'end_line': end_line, 'text': cut, 'cost': cost}}) ELSE chosen END FROM (
+    SELECT *, rem >= 32 AND cost <= rem AND len(list_filter(chosen, lambda c: lower(c.file) = lower(file) AND c.line <= end_line AND line <= c.end_line)) = 0 AS take FROM (
+      SELECT *, (ceil(length(cut) / 4.0) + 16)::BIGINT AS cost FROM (
+        SELECT s.*, rem, chosen, coalesce(list_filter(sizes, lambda x: length(x) <= greatest(32, (rem - 16) * 4))[-1], substr(sizes[1], 1, greatest(32, (rem - 16) * 4))) AS cut FROM walk JOIN sized s ON s.i = walk.i + 1)))
+),
+done AS (SELECT chosen FROM walk ORDER BY i DESC LIMIT 1)
+SELECT p - 1 AS position, chosen[p].file AS file, chosen[p].line AS line, chosen[p].text AS text, chosen[p].cost AS cost FROM (SELECT chosen, unnest(range(1, len(chosen) + 1)) AS p FROM done)"""
+
+
+@query(_pack_sql())
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Packing is sequential: no SQL; tests hold it to a Python version."""
+    """Blocks of the best documents packed into a budget; SQL walks the twenty ranked rows one by one."""
     docs = table(spark, d, "documents")
     found = lexical.scan_lines(docs.select("doc_id", "text", "source"), SCAN, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
     # Ids are ranked first: only the 20 texts that can be packed are fetched.
