@@ -9,9 +9,10 @@ A distance counts only for documents that are long enough (min_chars, min_words)
 without a reference, or with null lang, are judged by the base rules alone. Null text counts as empty, with
 zero counts and base_failed. Repeated rows are judged alike. Other columns do not matter.
 
-With Rules.word_share the words' reference is the language's fixed profile, which junk cannot shift, and the cutoff
-is a share of the distance that a document without common words has, plus sampling noise at its length. It holds for
-documents with fewer common words than the profile.
+With Rules.word_share the words are compared with the language's fixed profile too, which junk cannot shift, and the
+cutoff there is a share of the distance that a document without common words has, plus sampling noise at its length.
+It holds for documents with fewer common words than the profile. word_distance is then the distance to the profile;
+the distance to the corpus counts as it does without word_share.
 """
 
 from __future__ import annotations
@@ -53,12 +54,12 @@ class Rules:
     min_chars: int = 300
     word_distance: float = 0.27
     min_words_for_distance: int = 80
-    #: Cutoff by the fixed profiles, instead of word_distance: word_share + word_noise / sqrt(words) of the ceiling.
+    #: Cutoff by the fixed profiles, beside word_distance to the corpus: word_share + word_noise / sqrt(words) of the ceiling.
     word_share: float | None = None
     word_noise: float = 1.2
 
 
-#: Rules whose effect does not depend on how much of the corpus is junk.
+#: Rules that find documents without common words however much of the corpus is junk.
 STEADY = Rules(word_share=0.8)
 
 
@@ -170,24 +171,26 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str =
 
     Columns of df named like a result are replaced; all others stay, whatever they are called.
     """
-    known = references(df, text, lang, rules.word_share is None) if known is None else known
-    if rules.word_share is not None:
-        known = {name: (known[name][0] if name in known else None, shares) for name, shares in WORD_PROFILES.items()}
+    known = references(df, text, lang) if known is None else known
     # df's columns wait under other names, so that none clashes with a name used here.
     own = {f"__own{i}": c for i, c in enumerate(df.columns) if c not in RESULTS}
     held = df.select(*[F.col(f"`{c}`").alias(o) for o, c in own.items()], F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     lang = "__lang"
     out = with_common(base_counts(held, "__text"), lang)
-    classes, common = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
+    classes, common, profile = [F.lit(None).cast("array<double>")] * 3
     for name, (c, w) in known.items():
-        classes = F.when(F.col(lang) == name, F.array(*map(F.lit, c))).otherwise(classes) if c else classes
+        classes = F.when(F.col(lang) == name, F.array(*map(F.lit, c))).otherwise(classes)
         common = F.when(F.col(lang) == name, F.array(*map(F.lit, w))).otherwise(common)
-    out = out.withColumn("__rc", classes).withColumn("__rw", common)
+    for name, shares in WORD_PROFILES.items():
+        profile = F.when(F.col(lang) == name, F.array(*map(F.lit, shares))).otherwise(profile)
+    out = out.withColumn("__rc", classes).withColumn("__rw", common).withColumn("__rp", profile)
     out = out.withColumn("class_distance", F.when(F.length("__body") >= rules.min_chars, js_distance(F.col("__classes"), F.col("__rc"))))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_words_for_distance, js_distance(F.col("__common"), F.col("__rw"))))
+    words_to = lambda reference: F.when(F.col("n_words") >= rules.min_words_for_distance, js_distance(F.col("__common"), F.col(reference)))
+    out = out.withColumn("__corpus_distance", words_to("__rw"))
+    out = out.withColumn("word_distance", F.col("__corpus_distance") if rules.word_share is None else words_to("__rp"))
     out = out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
-    wrong_words = F.col("word_distance") > rules.word_distance if rules.word_share is None else missing_words(rules, lang)
-    far = F.coalesce(F.col("class_distance") > rules.char_distance, F.lit(False)) | F.coalesce(wrong_words, F.lit(False))
+    far = F.coalesce(F.col("class_distance") > rules.char_distance, F.lit(False)) | F.coalesce(F.col("__corpus_distance") > rules.word_distance, F.lit(False))
+    far = far if rules.word_share is None else far | F.coalesce(missing_words(rules, lang), F.lit(False))
     out = out.withColumn("kept", ~F.col("base_failed") & ~far)
     # Each result gets a zero that is not deterministic, so a filter on it stays above this projection and nothing is computed twice.
     zero = F.shiftrightunsigned(F.monotonically_increasing_id(), 63)

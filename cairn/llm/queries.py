@@ -75,7 +75,7 @@ def _op2_sql() -> str:
     for k, pattern in enumerate(quality.CLASSES):
         chain.append(f"r{k} AS (SELECT *, regexp_replace({left}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS left{k} FROM {'d' if k == 0 else f'r{k - 1}'})")
         left = f"left{k}"
-    n = len(quality.CLASSES)
+    n, n_bins = len(quality.CLASSES), len(next(iter(quality.COMMON_WORDS.values()))) + 1
     sizes = ", ".join([f"length({'body' if k == 0 else f'left{k - 1}'}) - length(left{k})" for k in range(n)] + [f"length(left{n - 1})"])
     distance = lambda c, q: f"sqrt(greatest(list_sum([(CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0 END) + (CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0 END) FOR x IN list_transform(list_zip({c}, {q}), lambda y: [y[1] / list_sum({c}), y[2]])]) / 2, 0))"
     return f"""
@@ -87,10 +87,10 @@ w AS (SELECT *, list_filter(string_split_regex(body, '[\\x20\\x09-\\x0D]+'), lam
 h AS (SELECT *, list_transform(common, lambda b: len(list_filter(words, lambda x: x = b))) AS bins FROM w),
 f AS (SELECT *, list_append(bins, len(words) - list_sum(bins)) AS hist FROM h),
 refs AS (
-  SELECT lang, [{", ".join(f"sum(classes[{i + 1}])" for i in range(n + 1))}] AS cs
+  SELECT lang, [{", ".join(f"sum(classes[{i + 1}])" for i in range(n + 1))}] AS cs, [{", ".join(f"sum(hist[{i + 1}])" for i in range(n_bins))}] AS ws
   FROM f WHERE common IS NOT NULL GROUP BY lang
 ),
-shares AS (SELECT lang, list_transform(cs, lambda x: x / list_sum(cs)) AS rc FROM refs WHERE list_sum(cs) > 0),
+shares AS (SELECT lang, list_transform(cs, lambda x: x / list_sum(cs)) AS rc, list_transform(ws, lambda x: x / list_sum(ws)) AS cw FROM refs WHERE list_sum(cs) > 0 AND list_sum(ws) > 0),
 win AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
 keyed AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM win),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1),
@@ -99,13 +99,15 @@ j AS (
   SELECT f.doc_id, len(words)::BIGINT AS n_words, (length(body) - classes[{quality.SPACE_CLASS + 1}])::BIGINT AS word_chars, classes[{quality.SYMBOL_CLASS + 1}]::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
     CASE WHEN length(body) >= {rules.min_chars} AND rc IS NOT NULL THEN {distance("classes", "rc")} END AS cd,
+    CASE WHEN len(words) >= {rules.min_words_for_distance} AND cw IS NOT NULL THEN {distance("hist", "cw")} END AS corpus_wd,
     CASE WHEN len(words) >= {rules.min_words_for_distance} AND rw IS NOT NULL THEN {distance("hist", "rw")} END AS wd, ceiling, rest, hist
   FROM f LEFT JOIN cov ON f.doc_id = cov.doc_id LEFT JOIN shares ON f.lang = shares.lang
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words) AS base_failed,
   NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)
-    AND NOT coalesce(cd > {rules.char_distance}, false) AND NOT coalesce(wd > ceiling * least({rules.word_share} + {rules.word_noise} / sqrt(n_words), 0.99) AND hist[-1] > rest * n_words, false) AS kept
+    AND NOT coalesce(cd > {rules.char_distance}, false) AND NOT coalesce(corpus_wd > {rules.word_distance}, false)
+    AND NOT coalesce(wd > ceiling * least({rules.word_share} + {rules.word_noise} / sqrt(n_words), 0.99) AND hist[-1] > rest * n_words, false) AS kept
 FROM j
 """
 

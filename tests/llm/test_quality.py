@@ -86,3 +86,13 @@ def test_distances_match_a_python_version(spark):
         assert (r.class_distance is None) == (cd is None) and (cd is None or abs(r.class_distance - cd) < 1e-9)
         assert (r.word_distance is None) == (wd is None) and (wd is None or abs(r.word_distance - wd) < 1e-9)
         assert r.kept == (near and not r.base_failed)
+
+
+def test_words_are_held_to_the_corpus_too(spark):
+    """A text of one common word has more of them than the profile, so only the corpus's words tell it from the rest."""
+    rng = random.Random(12)
+    good = [made(rng, rng.randrange(80, 300), 17) for _ in range(60)]
+    odd = " ".join(x for _ in range(60) for x in ("as", "".join(rng.choices("abcdefgh", k=7))))
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, odd])], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in quality.judge(df, quality.STEADY).collect()}
+    assert not rows[60].base_failed and {i for i, r in rows.items() if r.kept} == set(range(60))
