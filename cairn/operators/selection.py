@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions.names import is_within
 from cairn.operators import graph
+from cairn.session import staged
 
+#: Rows of a side in one cell of a shared key, pairs in one task, about, and the most tasks of one join.
+CELL, TASK, MOST_TASKS = 1024, 4 << 20, 50_000
 TYPE_KINDS = ["class", "record", "struct", "interface", "enum"]
 
 
@@ -119,27 +122,72 @@ def project_counts(projects: DataFrame, diagnostics: DataFrame | None = None) ->
     return counts.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")  # two rows
 
 
+def dependency_keys(dependencies: DataFrame, kinds: list[str]) -> DataFrame:
+    """Distinct (source, relationship, key, whole) of dependencies (symbol, related, relationship) of these kinds: what a display string may
+    name a type by. Keys are the string and what stands behind each of its dots, and once more the whole string."""
+    bare = F.replace("related", F.lit("global::"), F.lit(""))
+    parts = F.split(bare, r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, n, F.size(parts)), ".").alias("key"), F.lit(False).alias("whole")))
+    keys = F.concat(tails, F.array(F.struct(bare.alias("key"), F.lit(True).alias("whole"))))
+    return dependencies.where(F.col("relationship").isin(kinds)).select(F.col("symbol").alias("source"), "relationship", F.inline(keys)).distinct()
+
+
+def type_keys(types: DataFrame) -> DataFrame:
+    """Distinct (target, key, whole, many) of types (id, name, semantic_name): the name, and the semantic name as a whole where it does not
+    end in the name, which finds it then. many: the type has several keys."""
+    ends = F.coalesce((F.col("semantic_name") == F.col("name")) | F.endswith("semantic_name", F.concat(F.lit("."), F.col("name"))), F.lit(False))
+    names = types.select(F.col("id").alias("target"), F.col("name").alias("key"), F.lit(False).alias("whole"))
+    names = names.union(types.where(~ends).select("id", "semantic_name", F.lit(True))).where("target is not null and key is not null")
+    spread = names.groupBy("target").agg(F.min(F.struct("key", "whole")).alias("first"), F.max(F.struct("key", "whole")).alias("last"))
+    one = spread.where("first = last").select("target", "first.key", "first.whole", F.lit(False).alias("many"))
+    return one.union(names.join(spread.where("first <> last"), "target", "left_semi").distinct().withColumn("many", F.lit(True)))
+
+
+def key_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (source, target, relationship) of dependency_keys() and type_keys() that share a key; both should be staged, they are read more than once.
+
+    A key's pairs are cut into cells of some CELL rows by CELL rows, and a task gets some TASK pairs, whatever share of the rows
+    has the key. A type of one key gives a pair once, so only pairs of types with many keys are compared with each other.
+    """
+    on = ["key", "whole"]
+    sizes = staged(asked.groupBy(*on).agg(F.count("*").alias("n")).join(names.groupBy(*on).agg(F.count("*").alias("m")), on), "sizes")
+    total = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    tasks = min(int(total // TASK) + 1, MOST_TASKS)
+    sizes = sizes.select(*on, F.ceil(F.col("n") / CELL).alias("n"), F.ceil(F.col("m") / CELL).alias("m"))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = [*on, "i", "j"]
+    left = asked.join(sizes, on).select(*on, F.pmod(F.xxhash64("source", "relationship"), "n").alias("i"), blocks("m").alias("j"), "source", "relationship").repartition(tasks, *cell)
+
+    def meet(side: DataFrame) -> DataFrame:
+        right = side.join(sizes, on).select(*on, blocks("n").alias("i"), F.pmod(F.xxhash64("target"), "m").alias("j"), "target").repartition(tasks, *cell)
+        return left.join(right.hint("merge"), cell).select("source", "target", "relationship")
+
+    return meet(names.where("not many")).union(meet(names.where("many")).distinct())
+
+
 def related_types(dependencies: DataFrame, types: DataFrame, kinds: list[str]) -> DataFrame:
     """Dependencies (symbol, related, relationship) of these kinds, related by display string, to types (id, name, semantic_name).
 
     A display string names a type by its name, its semantic name, or by ending in a dot and its name. Its candidate
     names become keys of one equi-join: the whole string, and what stands behind each of its dots.
     """
-    bare = F.replace("related", F.lit("global::"), F.lit(""))
-    parts = F.split(bare, r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
-    keyed = dependencies.where(F.col("relationship").isin(kinds)).select("symbol", "relationship", bare.alias("__bare"), F.explode(tails).alias("__key"))
-    names = types.select("id", F.col("name").alias("__key"), F.lit(False).alias("__semantic")).union(types.select("id", "semantic_name", F.lit(True)))
-    found = keyed.join(names, "__key").where(~F.col("__semantic") | (F.col("__key") == F.col("__bare")))
-    return found.select(F.col("symbol").alias("source"), F.col("id").alias("target"), "relationship").distinct()
+    return key_pairs(staged(dependency_keys(dependencies, kinds), "asked"), staged(type_keys(types), "names"))
 
 
 def type_relation(edges: DataFrame, dependencies: DataFrame, types: DataFrame, symbols: DataFrame, given: DataFrame, name: str) -> DataFrame:
-    """implementers or subtypes of given (id): by edges, and by the display strings of type dependencies. Both ends must be symbols (id)."""
+    """implementers or subtypes of given (id): by edges, and by the display strings of type dependencies. Both ends must be symbols (id).
+
+    The ends are checked before names are matched, and an edge that the names give too is left out by its keys: the pairs of
+    names, which may be far more than the rows, are not shuffled again.
+    """
     kinds = {"implementers": ["interface"], "subtypes": ["base-type", "interface"]}[name]
-    wanted = types.join(given.select("id").distinct(), "id", "left_semi")
-    both = graph.relation(edges, given, name).union(related_types(dependencies, wanted, kinds)).distinct()
-    return known_ends(both, symbols)
+    ids = symbols.select("id").distinct()
+    asked = staged(dependency_keys(dependencies.join(ids.withColumnRenamed("id", "symbol"), "symbol", "left_semi"), kinds), "asked")
+    names = staged(type_keys(types.join(given.select("id").distinct(), "id", "left_semi").join(ids, "id", "left_semi")), "names")
+    keyed = known_ends(graph.relation(edges, given, name), symbols).join(names.drop("many"), "target", "left")
+    marked = keyed.join(asked.withColumn("__named", F.lit(True)), ["source", "relationship", "key", "whole"], "left")
+    alone = marked.groupBy("source", "target", "relationship").agg(F.max("__named").alias("__named")).where("__named is null")
+    return alone.drop("__named").union(key_pairs(asked, names))
 
 
 def known_ends(edges: DataFrame, symbols: DataFrame) -> DataFrame:

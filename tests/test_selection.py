@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,34 @@ def test_reserved_place():
     m, a, g, cut = bundle.shrink_references(["m" * 40] * 3, ["a" * 40], ["g"], 12, lambda *x: "".join(map("".join, x)))
     assert (len(m), len(a), len(g), cut) == (0, 1, 1, True)
     assert bundle.capped_list("T", [str(i) for i in range(23)]).splitlines()[-1] == "  … and 3 more"
+
+
+def _brute_force(edges, dependencies, types, symbols, edge_kinds, kinds):
+    ids = {i for i, _, _ in types}
+    pairs = {(s, t, r) for s, t, r in edges if r in edge_kinds and t in ids}
+    for symbol, related, relationship in dependencies:
+        bare = None if related is None else related.replace("global::", "")
+        if bare is not None and relationship in kinds:
+            pairs |= {(symbol, i, relationship) for i, name, whole in types if bare in (name, whole) or (name is not None and bare.endswith("." + name))}
+    return sorted((s, t, r) for s, t, r in pairs if s in symbols and t in symbols)
+
+
+def test_type_relations_match_brute_force_in_small_cells(spark, monkeypatch):
+    """Nulls, empty names, names with dots, types of several names, edges that the names give too; every key is cut into cells."""
+    monkeypatch.setattr(selection, "CELL", 3, raising=False)
+    monkeypatch.setattr(selection, "TASK", 20, raising=False)
+    rng = random.Random(21)
+    parts = ["A", "B", "A.B", "", "global::A", None]
+    text = lambda: rng.choice([None, *(".".join(x for x in rng.choices(parts, k=n) if x is not None) for n in (1, 2, 3))])
+    types = [(rng.choice([None, *range(40)]), rng.choice(["A", "B", "A.B", "", None]), text()) for _ in range(60)]
+    dependencies = [(rng.choice([None, *range(60)]), text(), rng.choice(["interface", "base-type", "attribute"])) for _ in range(200)]
+    edges = [(rng.randrange(60), rng.randrange(60), rng.choice(["interface", "base-type", "interface-implementation"])) for _ in range(300)]
+    symbols = [i for i in range(60) if i % 7]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    given = (
+        frame(edges, "source long, target long, relationship string"), frame(dependencies, "symbol long, related string, relationship string"),
+        frame(types, "id long, name string, semantic_name string"), frame([(i,) for i in symbols], "id long"),
+    )
+    for name, edge_kinds, kinds in (("subtypes", {"base-type", "interface"}, {"base-type", "interface"}), ("implementers", {"interface-implementation"}, {"interface"})):
+        got = selection.type_relation(*given, given[2], name)
+        assert sorted(map(tuple, got.collect())) == _brute_force(edges, dependencies, types, set(symbols), edge_kinds, kinds)
