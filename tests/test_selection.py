@@ -82,3 +82,16 @@ def test_type_relations_match_brute_force_in_small_cells(spark, monkeypatch):
     for name, edge_kinds, kinds in (("subtypes", {"base-type", "interface"}, {"base-type", "interface"}), ("implementers", {"interface-implementation"}, {"interface"})):
         got = selection.type_relation(*given, given[2], name)
         assert sorted(map(tuple, got.collect())) == _brute_force(edges, dependencies, types, set(symbols), edge_kinds, kinds)
+
+
+def test_one_name_in_many_rows_is_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(selection, "CELL", 16, raising=False)
+    monkeypatch.setattr(selection, "TASK", 2000, raising=False)
+    types = spark.range(100).selectExpr("id", "'Hot' AS name", "concat('Shop.', id, '.Hot') AS semantic_name")
+    dependencies = spark.range(1000, 1400).selectExpr("id AS symbol", "'Other.Hot' AS related", "'interface' AS relationship")
+    symbols = spark.range(2000)
+    edges = spark.createDataFrame([(1000, 5, "interface"), (3, 5, "interface"), (3, 5, "interface")], "source long, target long, relationship string")
+    found = selection.type_relation(edges, dependencies, types, symbols, types, "subtypes")
+    assert found.count() == found.distinct().count() == 400 * 100 + 1
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 400 * 100 / 4
