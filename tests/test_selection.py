@@ -95,3 +95,18 @@ def test_one_name_in_many_rows_is_not_one_task(spark, monkeypatch):
     assert found.count() == found.distinct().count() == 400 * 100 + 1
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 400 * 100 / 4
+
+
+def test_largest_task_of_implementers_does_not_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(selection, "CELL", 16, raising=False)
+    monkeypatch.setattr(selection, "TASK", 2000, raising=False)
+    edges = spark.createDataFrame([(1000, 5, "interface-implementation"), (3, 5, "interface-implementation"), (3, 5, "interface")], "source long, target long, relationship string")
+    most = []
+    for n in (200, 800):  # types and dependencies both; pairs grow by 16
+        types = spark.range(n // 4).selectExpr("id", "'Hot' AS name", "concat('Shop.', id, '.Hot') AS semantic_name")
+        dependencies = spark.range(1000, 1000 + n).selectExpr("id AS symbol", "'Other.Hot' AS related", "'interface' AS relationship")
+        found = selection.type_relation(edges, dependencies, types, spark.range(2000), types, "implementers")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n * (n // 4) + 2
+        most.append(max(sizes))
+    assert most[1] < 2 * most[0]
